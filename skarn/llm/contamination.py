@@ -111,7 +111,7 @@ def _ids_digest(ids: list[str]) -> str:
 _OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, broadcast_words: int = BROADCAST_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Words of each document that lie in a passage shared with a benchmark item.
 
     Words are runs of digits, a-z (A-Z lower-cased) and non-ASCII characters.
@@ -130,13 +130,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     One row per input row: id, n_words, n_hit, n_items, items_sha256 (of the
     hit items' distinct ids, sorted as strings, comma-joined), contaminated.
     Null texts have no words; empty tables give no rows, an empty benchmark no
-    hits. Items that share an id count once. Further columns are ignored.
+    hits. Items that share an id count once. Columns named in keep come along,
+    others are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    names = {"doc_id": id_col} | {f"keep_{c}": c for c in keep}
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text).alias("text"))
     size = items.select(F.sum(F.length(F.coalesce("text", F.lit(""))))).first()[0] or 0
     if size > 2 * broadcast_words:  # a word has a character and, but for the last, a gap
-        return _joined(docs, items, window, k).withColumnRenamed("doc_id", id_col)
+        return _joined(docs, items, window, k).withColumnsRenamed(names)
     rows = items.where("text is not null").collect()
     texts = [r["text"].encode() for r in rows]
     offs = np.cumsum([0, *map(len, texts)])
@@ -162,11 +164,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     own = {b.ids[j] for j in pairs[1][pairs[0] == d]}
                     n_items[d], digest[d] = len(own), _ids_digest(list(own))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[first:end], pa.array(np.diff(bounds)), pa.array(n_hit), pa.array(n_items), pa.array(digest), pa.array(n_hit > 0)],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                    [batch.column(0)[first:end], pa.array(np.diff(bounds)), pa.array(n_hit), pa.array(n_items), pa.array(digest), pa.array(n_hit > 0), *(batch.column(2 + j)[first:end] for j in range(len(keep)))],
+                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(f"keep_{c}" for c in keep)],
                 )
 
-    return docs.mapInArrow(judge, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_OUT}").withColumnRenamed("doc_id", id_col)
+    schema = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", _OUT, *(f"`keep_{c}` {docs.schema[f'keep_{c}'].dataType.simpleString()}" for c in keep)])
+    return docs.mapInArrow(judge, schema).withColumnsRenamed(names)
 
 
 def _fingerprints(df: DataFrame, key: str, window: int, k: int, lengths: list[int], whole_short: bool) -> DataFrame:
@@ -216,7 +219,7 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
     items = cut(_fingerprints(items, "item_id", window, k, list(range(1, window)), True))
     lengths = [r[0] for r in items.where(f"n_words between 1 and {window - 1}").select("n_words").distinct().collect()]
     docs = docs.withColumn("row_id", F.monotonically_increasing_id())
-    ids = cut(docs.select("row_id", "doc_id"))
+    ids = cut(docs.drop("text"))
     parts = cut(_fingerprints(docs.select("row_id", "text"), "row_id", window, k, lengths, False))
     a = parts.select("row_id", F.explode("fps").alias("f")).select("row_id", "f.*")
     b = items.select("item_id", F.explode("fps").alias("f")).select("item_id", F.col("f.fp").alias("fp"), F.col("f.len").alias("len"), F.col("f.around").alias("theirs")).distinct()
@@ -231,5 +234,5 @@ def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame
     out = parts.select("row_id", "n_words").join(ids, "row_id").join(per_doc, "row_id", "left")
     return out.select(
         "doc_id", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("own"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("own", ","), F.lit("")), 256).alias("items_sha256"), F.coalesce(covered > 0, F.lit(False)).alias("contaminated"),
+        F.sha2(F.coalesce(F.array_join("own", ","), F.lit("")), 256).alias("items_sha256"), F.coalesce(covered > 0, F.lit(False)).alias("contaminated"), *(c for c in docs.columns if c.startswith("keep_")),
     )

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import _MULT, U64, cut, mix64, powers, text_slices
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return Model(langs, vocabulary, grams)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str | Column, ...] = ()) -> DataFrame:
     """Language and certainty of every document.
 
     A known word scores by its log frequency in each language; an unseen one by
