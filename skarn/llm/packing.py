@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -109,15 +110,16 @@ class Packer:
             yield from self._window()
 
 
-def byte_encoder(path: str):
-    """Byte-level BPE from a file of ranks: the ids that the `tokenizers` file of the same vocabulary gives, at four times its speed."""
+def byte_encoder(path: str, tokens: str):
+    """Byte-level BPE from a file of ranks, with the added tokens of the `tokenizers` file: the ids that the latter gives, at four times its speed."""
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {t["content"]: t["id"] for t in json.loads(Path(tokens).read_text())["added_tokens"]}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = "byte_bpe_50k.tiktoken", pool: int = POOL) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = "byte_bpe_50k.tiktoken", tokens: str = "byte_bpe_50k.json", pool: int = POOL) -> DataFrame:
     """Pieces of token sequences of at most ``capacity`` ids, one row per piece.
 
     A document is its text's ids and then ``end_id``. Whole windows are cut
@@ -131,8 +133,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     Rows: id, start (ids of the document before the piece), length, ids_crc32
     (of the piece's ids as little-endian unsigned 32-bit), doc_tokens,
     sequence_id (task << 33 | number within it), offset (within the sequence,
-    gapless from 0). Null and empty texts are the end id alone. Special tokens'
-    strings in a text are ordinary text. Rows with equal ids are packed
+    gapless from 0). Null and empty texts are the end id alone. Added tokens' strings
+    in a text get their ids, as the `tokenizers` file has it. Rows with equal ids are packed
     apart; an empty table gives no rows; further columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -142,7 +144,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = byte_encoder(public_tokenizers.path(vocabulary))
+        enc = byte_encoder(public_tokenizers.path(vocabulary), public_tokenizers.path(tokens))
         packer = Packer(capacity, pool)
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -160,10 +162,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 raw = data.tobytes()
                 for j in range(len(offs) - 1):
                     text = raw[offs[j] : offs[j + 1]].decode()
-                    try:
-                        own = enc.encode_to_numpy(text, disallowed_special=())
-                    except AttributeError:
-                        own = np.array(enc.encode_ordinary(text), np.uint32)
+                    own = enc.encode_to_numpy(text, allowed_special="all")
                     own = np.append(own, np.uint32(end_id))
                     rows.extend(packer.add((ids[first + j], len(own)), 0, own))
                 if len(rows) >= 20_000:
