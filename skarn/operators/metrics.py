@@ -12,7 +12,7 @@ from skarn.operators.ranking import running_by_value
 def confusion(df: DataFrame, truth: Column, predicted: Column, by: list[str]) -> DataFrame:
     """A1: counts and precision, recall, F1, accuracy (0 where undefined) of each group; rows without a verdict are left out."""
     rows = df.select(*by, truth.alias("t"), predicted.alias("p")).where("t is not null and p is not null")
-    out = rows.groupBy(*by).agg(F.count_if("t and p").alias("tp"), F.count_if("not t and p").alias("fp"), F.count_if("t and not p").alias("fn"), F.count_if("not t and not p").alias("tn"))
+    out = rows.groupBy(*by).agg(F.count_if(F.expr("t and p")).alias("tp"), F.count_if(F.expr("not t and p")).alias("fp"), F.count_if(F.expr("t and not p")).alias("fn"), F.count_if(F.expr("not t and not p")).alias("tn"))
     out = out.withColumn("precision", guarded(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", guarded(F.col("tp"), F.col("tp") + F.col("fn")))
     out = out.withColumn("f1", guarded(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     out = out.withColumn("accuracy", guarded(F.col("tp") + F.col("tn"), F.expr("tp + fp + fn + tn")))
@@ -57,7 +57,7 @@ def threshold_for_recall(df: DataFrame, positive: Column, score: str, recall: fl
 def operating_points(df: DataFrame, positive: Column, score: str, cuts: list[float]) -> DataFrame:
     """M7: at each cut: rows reviewed, recall, precision."""
     rows = df.select(positive.alias("t"), F.col(score).alias("s"), F.explode(F.array(*map(F.lit, cuts))).alias("cut"))
-    out = rows.groupBy("cut").agg(F.count_if("s >= cut").alias("reviewed"), F.count_if("s >= cut and t").alias("tp"), F.count_if("t").alias("p"))
+    out = rows.groupBy("cut").agg(F.count_if(F.expr("s >= cut")).alias("reviewed"), F.count_if(F.expr("s >= cut and t")).alias("tp"), F.count_if(F.expr("t")).alias("p"))
     return out.select("cut", "reviewed", F.round(guarded(F.col("tp"), F.col("p")), 6).alias("recall"), F.round(guarded(F.col("tp"), F.col("reviewed")), 6).alias("precision"))
 
 
@@ -71,7 +71,7 @@ def separation(df: DataFrame, truth: Column, predicted: Column, by: list[str]) -
 def mcnemar(df: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame:
     """Discordant pairs of two graders and the exact p."""
     rows = df.select(*by, a.alias("a"), b.alias("b")).where("a is not null and b is not null")
-    out = rows.groupBy(*by).agg(F.count_if("a and not b").alias("only_a"), F.count_if("not a and b").alias("only_b"))
+    out = rows.groupBy(*by).agg(F.count_if(F.expr("a and not b")).alias("only_a"), F.count_if(F.expr("not a and b")).alias("only_b"))
     return out.withColumn("p", F.round(mcnemar_p(F.col("only_a"), F.col("only_b")), 6))
 
 
@@ -91,7 +91,7 @@ def kappa(df: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame:
 
 def calibration(df: DataFrame, band: Column, correct: Column) -> DataFrame:
     """Share correct by confidence band; ungraded rows count in n only."""
-    out = df.select(band.alias("band"), correct.alias("c")).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count("c").alias("graded"), F.count_if("c").alias("correct"))
+    out = df.select(band.alias("band"), correct.alias("c")).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count("c").alias("graded"), F.count_if(F.expr("c")).alias("correct"))
     return out.withColumn("share", F.round(guarded(F.col("correct"), F.col("graded")), 6))
 
 

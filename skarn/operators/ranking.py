@@ -15,8 +15,8 @@ def bucketed_rank(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     """
     counts = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
-    return inner.join(before, [*keys, bucket]).withColumn(name, F.col("_r") + F.col("_off")).drop("_r", "_off")
+    inner = df.withColumn("_inner", F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order)))
+    return inner.join(before, [*keys, bucket]).withColumn(name, F.col("_inner") + F.col("_off")).drop("_inner", "_off")
 
 
 def hash_key(seed: int, id_col: str) -> Column:

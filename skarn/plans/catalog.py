@@ -534,7 +534,7 @@ def szz_origins(spark, sf_dir):
     return labels.szz_origins(spark.createDataFrame(_REMOVED, "fix string, fix_ts long, path string, line long"), spark.createDataFrame(_BLAME, "fix string, path string, line long, origin string, origin_ts long"))
 
 
-@query(f"SELECT i.fix, origin, count(*) AS n_lines FROM {_values([('f1', 'a.py', 4), ('f1', 'a.py', 6)])} i(fix, path, at) JOIN {_values(_BLAME)} b(fix, path, line, origin, ts) ON i.fix = b.fix AND i.path = b.path AND abs(line - at) <= 3 GROUP BY ALL")
+@query(f"SELECT i.fix, origin, count(*) AS n_lines FROM {_values([('f1', 'a.py', 4), ('f1', 'a.py', 6)])} i(fix, path, spot) JOIN {_values(_BLAME)} b(fix, path, line, origin, ts) ON i.fix = b.fix AND i.path = b.path AND abs(line - spot) <= 3 GROUP BY ALL")
 def szz_insertion_window(spark, sf_dir):
     blame = spark.createDataFrame(_BLAME, "fix string, path string, line long, origin string, origin_ts long")
     return labels.szz_insertion_window(spark.createDataFrame([("f1", "a.py", 4), ("f1", "a.py", 6)], "fix string, path string, at long"), blame)
@@ -621,7 +621,7 @@ def top_customers(spark, sf_dir):
 def semi_anti_orders(spark, sf_dir):
     flags = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("r"))
     rows = table(spark, sf_dir, "orders").join(flags, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.groupBy("o_orderpriority").agg(F.count_if("r = 1").alias("returned"), F.count_if("l_orderkey is null").alias("empty_orders"))
+    return rows.groupBy("o_orderpriority").agg(F.count_if(F.expr("r = 1")).alias("returned"), F.count_if(F.expr("l_orderkey is null")).alias("empty_orders"))
 
 
 @query("SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name)")
