@@ -43,8 +43,9 @@ def words(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, joined by a blank, in order."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """All runs of n tokens, joined by a blank, in order. tokens is computed once a row, as a lambda's argument."""
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+    return F.get(F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(F.array().cast("array<string>"))), F.lit(0))
 
 
 def overlap_f1(a: Column, b: Column) -> Column:
