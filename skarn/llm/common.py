@@ -161,7 +161,9 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     joined back, so a node with very many links is only a skewed join.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state, tasks = None, max(8, edges.count() // 50_000)
+    digest = lambda: tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    state = digest()
+    tasks = max(8, state[0] // 50_000)
     edges = edges.coalesce(tasks)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
@@ -170,10 +172,10 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = cut(small.where("u <> v").coalesce(tasks).distinct().coalesce(tasks))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        now = digest()
+        if now == state:
             break
-        state = tuple(now)
+        state = now
     else:
         raise RuntimeError("components() did not converge")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))

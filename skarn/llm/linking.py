@@ -13,8 +13,8 @@ from skarn.llm.common import components, cut
 BROADCAST_ROWS = 500_000
 #: Comparisons that a bucket may still need (rows outside its largest class x all rows) beyond which its key is lengthened; how often at most.
 CROWDED, DEPTH = 2500, 6
-#: Rows of a bucket, about, that a round compares with the others: first few, as most then turn out to belong together.
-HEADS = (2, 16, 64)
+#: Rows of a crowded bucket, about, that a round compares with the others, as most then turn out to belong together; and once its key is at its longest.
+FIRST_HEADS, HEADS = 4, 64
 #: Rows of a few numbers that a task takes when a table has become small.
 TASK_ROWS = 50_000
 
@@ -47,12 +47,13 @@ def link_classes(members: DataFrame, sketches: DataFrame, verify: Callable[[Data
     First each node is compared with the least of all nodes that share a
     bucket with it, which joins most of what belongs together at one
     comparison a node. From then on only buckets that hold several classes
-    are open. One that may need more than CROWDED comparisons is divided by
-    the next value of the nodes' sketches, up to DEPTH times. In the others
-    (and in all, after that), some of the rows outside the largest class (heads, chosen by a
-    hash; all, once they are few) are compared with the members of all other
+    are open. In each round, rows outside a bucket's largest class (heads: all,
+    but a few chosen by a hash in the first round and in a bucket that may need
+    more than CROWDED comparisons) are compared with the members of all other
     classes and leave the bucket. So any two members of different classes
-    that share a key are compared before a bucket closes, and a bucket of
+    that share a key are compared before a bucket closes. What is left of a
+    crowded bucket after a round is divided by the next value of the nodes'
+    sketches, up to DEPTH times; after that, HEADS rows a round leave it. So a bucket of
     similar items costs about one comparison an item, however large it is.
     """
     tasks = max(8, members.count() // TASK_ROWS)
@@ -68,16 +69,12 @@ def link_classes(members: DataFrame, sketches: DataFrame, verify: Callable[[Data
         mixed = few(counts.agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).select("key", F.col("most.comp").alias("most"), (F.col("all") - F.col("most.n")).alias("others"), "all").where("others > 0"))
         if mixed.isEmpty():
             return components(links.coalesce(tasks))
-        open_ = members.join(small(mixed), "key")
-        crowded = None
-        if depth < DEPTH:
-            longer = F.element_at("sketch", F.pmod(F.col("tree") * rows + rows + F.lit(depth), F.size("sketch")) + 1)
-            crowded = open_.where(F.col("others") * F.col("all") > CROWDED).join(sketches, "node").select(F.xxhash64("key", longer).alias("key"), "node", "tree", "comp")
-            crowded = few(crowded)
-            open_ = open_.where(F.col("others") * F.col("all") <= CROWDED)
-            depth = DEPTH if crowded.isEmpty() else depth + 1
-        some = F.ceil(F.col("others") / HEADS[min(turn, len(HEADS) - 1)])
-        open_ = few(open_.select("key", "node", "tree", "comp", ((F.col("comp") != F.col("most")) & (F.pmod(F.xxhash64("node", F.lit(turn)), some) == 0)).alias("is_head")))
+        crowd = F.col("others") * F.col("all") > CROWDED
+        wanted = F.lit(FIRST_HEADS) if turn == 0 else F.when(crowd, HEADS if depth == DEPTH else FIRST_HEADS).otherwise(F.col("others"))
+        # by a power of two: a node that is a head in a large bucket is one in its smaller ones, so their pairs are mostly the same
+        thin = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("others") / wanted))).cast("long")
+        is_head = (F.col("comp") != F.col("most")) & ((F.col("others") <= wanted) | (F.pmod(F.xxhash64("node", F.lit(turn)), thin) == 0))
+        open_ = few(members.join(small(mixed), "key").select("key", "node", "tree", "comp", crowd.alias("crowd"), is_head.alias("is_head")))
         heads = open_.where("is_head").select("key", F.col("node").alias("head"), F.col("comp").alias("head_comp"))
         both = open_.join(small(heads), "key").where("comp <> head_comp")
         lower = F.col("node") < F.col("head")
@@ -86,7 +83,13 @@ def link_classes(members: DataFrame, sketches: DataFrame, verify: Callable[[Data
         tried = tried.union(pairs.select("a", "b")).coalesce(tasks)
         found = cut(verify(pairs).select("a", "b", "ca", "cb"))
         links = links.union(found.select("a", "b"))
-        members = open_.where("not is_head").select("key", "node", "tree", "comp")
-        members = members if crowded is None else members.union(crowded)
-        members = few(_joined_up(members, found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        members = open_.where("not is_head")
+        if turn and depth < DEPTH:
+            longer = F.element_at("sketch", F.pmod(F.col("tree") * rows + rows + F.lit(depth), F.size("sketch")) + 1)
+            lengthened = members.where("crowd").join(sketches, "node").select(F.xxhash64("key", longer).alias("key"), "node", "tree", "comp")
+            members, depth = members.where("not crowd").select("key", "node", "tree", "comp").union(lengthened), depth + 1
+        members = members.select("key", "node", "tree", "comp")
+        if not found.isEmpty():
+            members = _joined_up(members, found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        members = few(members)
         turn += 1
