@@ -85,7 +85,9 @@ def edits(a, b):
     return row[-1]
 
 
-def test_edit_distance_equals_table():
+@pytest.mark.parametrize("bit_words", [near.BIT_WORDS, 0])
+def test_edit_distance_equals_table(monkeypatch, bit_words):
+    monkeypatch.setattr(near, "BIT_WORDS", bit_words)
     rng = random.Random(3)
     for _ in range(200):
         a = [rng.randrange(4) for _ in range(rng.randrange(14))]
