@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from skarn.llm.linking import link_classes, shared_buckets, small
 #: Bands of ROWS minima each; characters of a signature's shingle and of a verified one; least Jaccard similarity.
 BANDS, ROWS, ANCHORED, SHINGLE, SIMILARITY = 8, 3, 8, 5, 0.8
 
+#: Longs of the bits that tell of two lines whether they can be similar.
+BIT_LONGS = 4
+
 #: A signature's shingles start at each word and at each ideograph; both as plain ranges, which Java matches fastest.
 _IDEOGRAPH = r"\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3"
 _LETTER = r"0-9A-Za-z\u00c0-\u1fff\u2c00-\u2dff\ua000-\uabff\uf900-\uffef"
@@ -28,6 +33,19 @@ def similar(a: Column, b: Column, similarity: float) -> Column:
     return F.get(F.transform(both, lambda x: F.size(F.array_intersect(x["a"], x["b"])) >= similarity * F.size(F.array_union(x["a"], x["b"])) - 1e-9), 0)
 
 
+def shingle_bits(hashes: Column) -> Column:
+    """BIT_LONGS longs. Each hash turns one bit, so as many bits as differ between two sets, the sets differ in at least."""
+    at = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    turned = lambda j: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.when(F.pmod(F.shiftright(h, 6), F.lit(BIT_LONGS)) == j, at(h)).otherwise(F.lit(0).cast("long"))))
+    return F.array(*(turned(j) for j in range(BIT_LONGS)))
+
+
+def plausible(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
+    """Whether the sizes and bits of two lines' sets allow the similarity: of sets that reach it, at most (1 - s) / (1 + s) of both sizes together differ."""
+    differ = sum((F.bit_count(F.get(x("bits"), F.lit(j)).bitwiseXOR(F.get(y("bits"), F.lit(j)))) for j in range(BIT_LONGS)), F.lit(0))
+    return F.greatest(differ, F.abs(x("n_set") - y("n_set"))) <= (1 - similarity) / (1 + similarity) * (x("n_set") + y("n_set")) + 1e-6
+
+
 def signature(line: Column, size: int) -> Column:
     """``size`` minima of a line's shingle hashes by one permutation, or null without a shingle.
 
@@ -76,16 +94,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = cut(signed.select("h", "h2", "first_doc", "n", sketch.alias("sketch")))
 
     nodes = signed.where("sketch is not null").select(F.col("h").alias("node"), "sketch")
-    members = shared_buckets(nodes, 1)
+    members = shared_buckets(nodes, 1, bands)
     wanted = cut(members.select(F.col("node").alias("h")).distinct())
     texts = cut(lines.select("h", "line").join(small(wanted), "h", "left_semi").dropDuplicates(["h"]))
 
+    def traits(of: DataFrame) -> DataFrame:
+        sets = texts.join(small(of.withColumnRenamed("node", "h")), "h").select(F.col("h").alias("node"), F.array_distinct(shingles(line)).alias("own"))
+        hashed = sets.select("node", F.size("own").alias("n_set"), F.transform("own", lambda s: F.xxhash64(s)).alias("own"))
+        return hashed.select("node", "n_set", F.get(F.transform(F.array("own"), shingle_bits), F.lit(0)).alias("bits"))
+
     def verify(pairs: DataFrame) -> DataFrame:
         keys = pairs.columns
         a, b = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
         return pairs.join(a, "a").join(b, "b").where(similar(shingles(F.col("la")), shingles(F.col("lb")), similarity)).select(*keys)
 
-    classes = link_classes(members, nodes, verify, 1)
+    classes = link_classes(members, traits, lambda x, y: plausible(x, y, similarity), verify)
     classed = signed.select("h", "h2", "first_doc", "n").join(classes.withColumnRenamed("node", "h"), "h", "left")
     in_class = classed.where("comp is not null")
     winners = in_class.groupBy("comp").agg(F.min("first_doc").alias("keep_doc"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import _MULT, U64, cut, gram_ok, grams, mix64, powers, text_slices, word_hashes
@@ -15,6 +15,9 @@ from skarn.llm.linking import link_classes, shared_buckets, small
 #: Words of a shingle, sketches of a document, sketches of a bucket's key, least alignment similarity.
 K, SKETCHES, ROWS, SIMILARITY = 5, 24, 2, 0.8
 
+#: Longs of the bits that tell of two texts whether they can be similar.
+BIT_LONGS = 16
+
 #: Words up to which the alignment's band is held as bits of integers.
 BIT_WORDS = 1 << 15
 
@@ -66,6 +69,23 @@ def order_minhash(v: np.ndarray, cuts: np.ndarray, sketches: int = SKETCHES) ->
     return out
 
 
+def word_bits(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """BIT_LONGS longs of bits for each document. Each (word, how often it came before) turns one bit, so as many bits as differ between two documents, their words differ in at least."""
+    v, cuts = labelled_shingles(words, bounds, 1)
+    size, n = 64 * BIT_LONGS, len(bounds) - 1
+    at = np.repeat(np.arange(n), np.diff(cuts)) * size + (v % U64(size)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * size) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def plausible(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
+    """Whether the lengths and bits of two texts allow an alignment; an edit changes the bag of words by two at most, by one where it changes the length."""
+    limit = F.floor((1 - similarity) * F.greatest(x("n_words"), y("n_words")) + 1e-9)
+    longer = F.abs(x("n_words") - y("n_words"))
+    differ = sum((F.bit_count(F.get(x("bits"), F.lit(j)).bitwiseXOR(F.get(y("bits"), F.lit(j)))) for j in range(BIT_LONGS)), F.lit(0))
+    return (longer <= limit) & (differ <= 2 * limit - longer)
+
+
 def sequence_digest(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each document's word sequence."""
     out = []
@@ -175,10 +195,11 @@ def _signed(docs: DataFrame, k: int, sketches: int) -> DataFrame:
                 sketch = order_minhash(v, cuts, sketches).ravel().view(np.int64)
                 some = np.diff(cuts) > 0
                 lists = pa.ListArray.from_arrays(pa.array((np.concatenate([[0], np.cumsum(some)]) * sketches).astype(np.int32)), pa.array(sketch))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(bounds), dtype=np.int32) * BIT_LONGS), pa.array(word_bits(words, bounds)))
                 d1, d2 = sequence_digest(words, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(np.diff(bounds)), lists], ["d", "d1", "d2", "n_words", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(np.diff(bounds)), lists, bits], ["d", "d1", "d2", "n_words", "sketch", "bits"])
 
-    return docs.mapInArrow(run, "d long, d1 long, d2 long, n_words long, sketch array<long>")
+    return docs.mapInArrow(run, "d long, d1 long, d2 long, n_words long, sketch array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -201,8 +222,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Each sketch takes the two least hashes among a document's k-word shingles,
     labelled by their occurrence, and keeps their text order (Order MinHash).
     Equal word sequences are one text from then on. Texts that share ``rows``
-    consecutive sketches are candidates; link_classes tells which are compared, and how
-    a bucket is divided that a passage shared by very many unlike documents fills.
+    consecutive sketches are candidates; link_classes compares all of them that
+    no chain of links joins already, by length and bag of words first (which
+    only leaves out what cannot align).
     Candidates are linked if a banded alignment of their words needs at most
     (1 - similarity) x the longer one's words of edits. Components of links
     are the classes.
@@ -216,10 +238,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
     signed = cut(_signed(docs, k, sketches))
-    firsts = cut(signed.where("d is not null").groupBy("d1", "d2").agg(F.min(F.struct("d", "sketch")).alias("m")))
-    texts = firsts.where("size(m.sketch) > 0").select(F.col("m.d").alias("node"), F.col("m.sketch").alias("sketch"))
-    texts = cut(texts.groupBy("node").agg(F.first("sketch").alias("sketch")))
-    members = shared_buckets(texts, rows)
+    firsts = cut(signed.where("d is not null").groupBy("d1", "d2").agg(F.min(F.struct("d", "sketch", "n_words", "bits")).alias("m")))
+    texts = firsts.where("size(m.sketch) > 0").select(F.col("m.d").alias("node"), F.col("m").alias("m"))
+    # rows that share an id are one document, which may have several texts: the one that is compared is the least, whatever the order of rows
+    texts = cut(texts.groupBy("node").agg(F.min("m").alias("m")).select("node", "m.sketch", "m.n_words", "m.bits"))
+    members = shared_buckets(texts.select("node", "sketch"), rows, sketches // rows)
+
+    def traits(nodes: DataFrame) -> DataFrame:
+        return texts.select("node", "n_words", "bits").join(small(nodes), "node", "left_semi")
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = cut(pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct())
@@ -227,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(used.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b").join(used.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
         return _verified(both, similarity).distinct()
 
-    classes = cut(link_classes(members, texts, verify, rows).withColumnRenamed("node", "text_id"))
+    classes = cut(link_classes(members, traits, lambda x, y: plausible(x, y, similarity), verify).withColumnRenamed("node", "text_id"))
     reps = firsts.select("d1", "d2", F.col("m.d").alias("text_id")).join(classes, "text_id", "left").select("d1", "d2", F.coalesce("comp", "text_id").alias("class_id"))
     out = signed.select("d", "d1", "d2", "n_words").join(reps, ["d1", "d2"], "left")
     return out.select(

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.llm import contamination, exact, language, licenses, lines, near, packing, quality, queries, suffixes, urls
+from skarn.llm import contamination, exact, language, licenses, lines, linking, near, packing, quality, queries, suffixes, urls
 from skarn.llm.common import components
 from tests import oracle
 
@@ -118,6 +118,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {k for k, r in got.items() if r["kept"]} == set(want.values())
 
 
+def test_crowded_bucket_compares_all_classes(spark):
+    n = 300  # node and node + n are similar, all share one key
+    members = spark.range(2 * n).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"))
+    verify = lambda pairs: pairs.where(f"b - a = {n}")
+    for plausible in (lambda x, y: F.lit(True), lambda x, y: x("half") == y("half")):
+        got = linking.link_classes(members, lambda nodes: nodes.withColumn("half", F.col("node") % n), plausible, verify)
+        assert {(r["node"], r["comp"]) for r in got.collect()} == {(k, k % n) for k in range(2 * n)}
+
+
+def test_bits_never_exclude_what_aligns():
+    rng = random.Random(19)
+    for _ in range(300):
+        a = prose(rng, rng.randrange(1, 60), 5)
+        b = [x for x in a if rng.random() > 0.1] + prose(rng, rng.randrange(3), 5)
+        data = " ".join([*a, "\n", *b]).encode()
+        words, bounds = near.word_hashes(np.frombuffer(data, np.uint8), np.array([0, data.index(b"\n"), len(data)]))
+        x, y = near.word_bits(words, bounds).reshape(2, -1)
+        assert sum(int(k).bit_count() for k in (x ^ y).view(np.uint64)) <= 2 * edits(a, b) - abs(len(a) - len(b))
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
