@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 from skarn.llm.common import _MULT, U64, cut, gram_ok, grams, mix64, powers, text_slices, word_hashes
 from skarn.llm.linking import link_classes, shared_buckets, small
 
-#: Words of a shingle, sketches of a document, sketches of a bucket's key, least alignment similarity.
-K, SKETCHES, ROWS, SIMILARITY = 5, 24, 2, 0.8
+#: Words of a shingle, and the least and most words of texts that are sketched by it. An edit breaks as many shingles as a shingle has words, so
+#: short ones find what differs in a fifth of its words. Texts that can align share a kind: lengths overlap by more than a fifth.
+SHINGLES = ((1, 1, 25), (2, 20, 60), (3, 48, 1 << 40))
+#: Sketches of a document by each kind of shingle, sketches of a bucket's key, least alignment similarity.
+SKETCHES, ROWS, SIMILARITY = 32, 1, 0.8
 
 #: Longs of the bits that tell of two texts whether they can be similar.
 BIT_LONGS = 16
@@ -25,7 +28,7 @@ _SEEDS = mix64((np.arange(256, dtype=U64) + U64(77)) * _MULT)
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def labelled_shingles(words: np.ndarray, bounds: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+def labelled_shingles(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of (k words, how often they came before in the document), in text order, and bounds. A document of 1 to k - 1 words is one shingle."""
     g = grams(words, k)
     at = np.flatnonzero(gram_ok(bounds, len(words), k))
@@ -69,6 +72,19 @@ def order_minhash(v: np.ndarray, cuts: np.ndarray, sketches: int = SKETCHES) ->
     return out
 
 
+def all_sketches(words: np.ndarray, bounds: np.ndarray, shingles: tuple[tuple[int, int, int], ...] = SHINGLES, sketches: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's sketches by all kinds of shingles for its length, one document after the other, and the number of kinds of each."""
+    n = np.diff(bounds)
+    docs, found = [], []
+    for k, least, most in shingles:
+        mine = (n >= least) & (n <= most)
+        own = np.concatenate([[0], np.cumsum(n[mine])])
+        docs.append(np.flatnonzero(mine))
+        found.append(order_minhash(*labelled_shingles(words[np.repeat(mine, n)], own, k), sketches))
+    docs = np.concatenate(docs)
+    return np.concatenate(found)[np.argsort(docs, kind="stable")], np.bincount(docs, minlength=len(n))
+
+
 def word_bits(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """BIT_LONGS longs of bits for each document. Each (word, how often it came before) turns one bit, so as many bits as differ between two documents, their words differ in at least."""
     v, cuts = labelled_shingles(words, bounds, 1)
@@ -186,15 +202,13 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     return None
 
 
-def _signed(docs: DataFrame, k: int, sketches: int) -> DataFrame:
+def _signed(docs: DataFrame, shingles: tuple[tuple[int, int, int], ...], sketches: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offs in text_slices(batch, "text"):
                 words, bounds = word_hashes(data, offs)
-                v, cuts = labelled_shingles(words, bounds, k)
-                sketch = order_minhash(v, cuts, sketches).ravel().view(np.int64)
-                some = np.diff(cuts) > 0
-                lists = pa.ListArray.from_arrays(pa.array((np.concatenate([[0], np.cumsum(some)]) * sketches).astype(np.int32)), pa.array(sketch))
+                sketch, kinds = all_sketches(words, bounds, shingles, sketches)
+                lists = pa.ListArray.from_arrays(pa.array((np.concatenate([[0], np.cumsum(kinds)]) * sketches).astype(np.int32)), pa.array(sketch.ravel().view(np.int64)))
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(len(bounds), dtype=np.int32) * BIT_LONGS), pa.array(word_bits(words, bounds)))
                 d1, d2 = sequence_digest(words, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(np.diff(bounds)), lists, bits], ["d", "d1", "d2", "n_words", "sketch", "bits"])
@@ -216,11 +230,12 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(*keys, "ta", "tb").mapInArrow(run, ", ".join(f"{c} long" for c in keys))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, sketches: int = SKETCHES, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingles: tuple[tuple[int, int, int], ...] = SHINGLES, sketches: int = SKETCHES, rows: int = ROWS, similarity: float = SIMILARITY) -> DataFrame:
     """Classes of near-duplicate documents, one row per input row.
 
-    Each sketch takes the two least hashes among a document's k-word shingles,
-    labelled by their occurrence, and keeps their text order (Order MinHash).
+    Each sketch takes the two least hashes among a document's shingles (of one
+    to three words by its length, see SHINGLES), labelled by their occurrence,
+    and keeps their text order (Order MinHash).
     Equal word sequences are one text from then on. Texts that share ``rows``
     consecutive sketches are candidates; link_classes compares all of them that
     no chain of links joins already, by length and bag of words first (which
@@ -237,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
-    signed = cut(_signed(docs, k, sketches))
+    signed = cut(_signed(docs, shingles, sketches))
     firsts = cut(signed.where("d is not null").groupBy("d1", "d2").agg(F.min(F.struct("d", "sketch", "n_words", "bits")).alias("m")))
     texts = firsts.where("size(m.sketch) > 0").select(F.col("m.d").alias("node"), F.col("m").alias("m"))
     # rows that share an id are one document, which may have several texts: the one that is compared is the least, whatever the order of rows

@@ -118,6 +118,39 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {k for k, r in got.items() if r["kept"]} == set(want.values())
 
 
+def test_near_duplicates_of_a_template_equal_brute_force(spark):
+    rng = random.Random(17)
+    template = prose(rng, 70)
+    texts = []
+    for _ in range(100):
+        own = prose(rng, 28, 10**6)
+        other = [x if j % 2 else f"v{rng.randrange(10**6)}" for j, x in enumerate(own)]
+        texts += [" ".join(x for j in range(14) for x in template[5 * j : 5 * j + 5] + words[2 * j : 2 * j + 2]) for words in (own, other)]
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(docs_of(spark, texts)).collect()}
+    code = {x: j for j, x in enumerate({x for t in texts for x in t.split()})}
+    w = [np.array([code[x] for x in t.split()], np.uint64) for t in texts]
+    want = union_find(range(len(w)), [(i, j) for i, j in combinations(range(len(w)), 2) if near.edit_distance(w[i], w[j], 19) is not None])
+    assert len(set(want.values())) == 100
+    assert got == want
+
+
+@pytest.mark.parametrize(("n", "share", "least"), [(5, 0.2, 0.98), (10, 0.2, 0.98), (22, 0.18, 0.98), (50, 0.2, 0.95), (60, 0.2, 0.95), (150, 0.05, 1.0), (150, 0.1, 1.0), (150, 0.15, 0.98), (150, 0.2, 0.9), (600, 0.2, 0.9)])
+def test_sketches_find_edited_texts(n, share, least):
+    rng, texts = random.Random(23), []
+    for _ in range(300):
+        a = prose(rng, n, 10**6)
+        b = list(a)
+        for at in rng.sample(range(n), int(share * n + 1e-9)):
+            b[at] = "changed"
+        texts += [" ".join(a), " ".join(b)]
+    data = [t.encode() for t in texts]
+    words, bounds = near.word_hashes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    sketch, kinds = near.all_sketches(words, bounds)
+    ends = np.cumsum(kinds) - kinds
+    found = [bool((sketch[ends[j]] == sketch[ends[j + 1]]).any() or (sketch[ends[j] + kinds[j] - 1] == sketch[ends[j + 1] + kinds[j] - 1]).any()) for j in range(0, len(texts), 2)]
+    assert sum(found) >= least * len(found)
+
+
 def test_crowded_bucket_compares_all_classes(spark):
     n = 300  # node and node + n are similar, all share one key
     members = spark.range(2 * n).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"))
