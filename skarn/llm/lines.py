@@ -10,17 +10,12 @@ from pyspark.sql import functions as F
 from skarn.llm.common import cut
 from skarn.llm.linking import link_classes, shared_buckets, small
 
-#: Bands of ROWS minima each; characters of a signature's shingle and of a verified one; least Jaccard similarity.
-BANDS, ROWS, ANCHORED, SHINGLE, SIMILARITY = 8, 3, 8, 5, 0.8
+#: Bands of ROWS minima each; characters of a shingle; least Jaccard similarity.
+BANDS, ROWS, SHINGLE, SIMILARITY = 8, 3, 5, 0.8
 
 #: Longs of the bits that tell of two lines whether they can be similar.
 BIT_LONGS = 4
 
-#: A signature's shingles start at each word and at each ideograph; both as plain ranges, which Java matches fastest.
-_IDEOGRAPH = r"\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3"
-_LETTER = r"0-9A-Za-z\u00c0-\u1fff\u2c00-\u2dff\ua000-\uabff\uf900-\uffef"
-_STARTS = rf"(?s)(?=[{_LETTER}{_IDEOGRAPH}])(?=(.{{1,{ANCHORED}}}))(?:[{_IDEOGRAPH}]|[{_LETTER}]+)"
-
 
 def shingles(line: Column, n: int = SHINGLE) -> Column:
     """A line's n-character shingles; a shorter line is its own."""
@@ -46,27 +41,33 @@ def plausible(x: Callable[[str], Column], y: Callable[[str], Column], similarity
     return F.greatest(differ, F.abs(x("n_set") - y("n_set"))) <= (1 - similarity) / (1 + similarity) * (x("n_set") + y("n_set")) + 1e-6
 
 
-def signature(line: Column, size: int) -> Column:
-    """``size`` minima of a line's shingle hashes by one permutation, or null without a shingle.
+def signature(own: Column, size: int, seed: int) -> Column:
+    """``size`` minima of the shingles' hashes by one permutation.
 
     The range of hashes is cut into ``size`` equal slots; a slot's minimum is
     the least hash from its start on (an empty slot takes the next one's,
     cyclically).
     """
     slot = lambda x: F.shiftright((x.cast("long") + F.lit(1 << 31)) * F.lit(size), 32).cast("int")
-    hashes = F.sort_array(F.transform(F.regexp_extract_all(line, F.lit(_STARTS), 1), lambda s: F.hash(s)))
+    hashes = F.sort_array(F.transform(own, lambda s: F.hash(s, F.lit(seed))))
     fill = lambda own: F.flatten(F.transform(own, lambda x, i: F.array_repeat(x, slot(x) - F.when(i == 0, F.lit(-1)).otherwise(slot(F.get(own, i - 1))))))
     filled = F.transform(F.array(hashes), lambda own: F.concat(fill(own), F.array_repeat(F.get(own, F.lit(0)), size - 1 - slot(F.get(own, F.size(own) - 1)))))
-    return F.get(F.filter(filled, lambda v: F.size(v) == size), F.lit(0))
+    return F.get(filled, F.lit(0))
+
+
+def band_keys(line: Column, bands: int, rows: int) -> Column:
+    """A key for each band: one minimum each by ``rows`` permutations of all the line's shingles."""
+    minima = F.transform(F.array(shingles(line)), lambda own: F.array(*(signature(own, bands, r) for r in range(rows))))
+    return F.get(F.transform(minima, lambda v: F.array(*(F.xxhash64(*(F.get(F.get(v, F.lit(r)), F.lit(j)) for r in range(rows))) for j in range(bands)))), F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The documents without lines that repeat another line, exactly or nearly.
 
     Equal lines are one by their 128-bit hash. Each has BANDS x ROWS minima of
-    hashed character shingles, taken in the same grouped aggregate; lines that
+    the hashes of all its 5-character shingles, taken in the same grouped aggregate; lines that
     share a band's minima are compared (link_classes tells which) by
-    the exact Jaccard similarity of their 5-character shingle sets. Linked
+    the exact Jaccard similarity of those shingles' sets. Linked
     lines form components by distributed union-find. Of a component's
     occurrences the first line in the document with the least id stays.
 
@@ -84,16 +85,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where("trim(line) <> '' and d is not null")
         .select("d", "at", "line", F.xxhash64(line).alias("h"), F.xxhash64(line, F.lit(1)).alias("h2"))
     )
-    # minima that lie far apart make a band: neighbours of a short line are often the same
-    bands_of = lambda v: F.array(*(F.xxhash64(*(F.get(v, F.lit(j + bands * r)) for r in range(rows))) for j in range(bands)))
-    keys = F.get(F.transform(F.filter(F.array(signature(line, bands * rows)), lambda v: v.isNotNull()), bands_of), F.lit(0))
-    keyed = lines.select("d", "h", "h2", keys.alias("keys")).select("d", "h", "h2", *(F.get("keys", F.lit(j)).alias(f"k{j}") for j in range(bands)))
+    keyed = lines.select("d", "h", "h2", band_keys(line, bands, rows).alias("keys")).select("d", "h", "h2", *(F.get("keys", F.lit(j)).alias(f"k{j}") for j in range(bands)))
     # equal lines have equal keys, so their least is that of any
     signed = keyed.groupBy("h", "h2").agg(F.min("d").alias("first_doc"), F.count(F.lit(1)).alias("n"), *(F.min(f"k{j}").alias(f"k{j}") for j in range(bands)))
-    sketch = F.when(F.col("k0").isNotNull(), F.array(*(f"k{j}" for j in range(bands))))
+    sketch = F.array(*(f"k{j}" for j in range(bands)))
     signed = cut(signed.select("h", "h2", "first_doc", "n", sketch.alias("sketch")))
 
-    nodes = signed.where("sketch is not null").select(F.col("h").alias("node"), "sketch")
+    nodes = signed.select(F.col("h").alias("node"), "sketch")
     members = shared_buckets(nodes, 1, bands)
     wanted = cut(members.select(F.col("node").alias("h")).distinct())
     texts = cut(lines.select("h", "line").join(small(wanted), "h", "left_semi").dropDuplicates(["h"]))

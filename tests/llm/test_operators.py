@@ -348,6 +348,21 @@ def test_lines_equal_brute_force(spark):
         assert got[j]["n_removed"] == len(t.split("\n")) - len(kept)
 
 
+def test_lines_without_words_equal_brute_force(spark):
+    rng = random.Random(29)
+    every = ["=====", "==========", "----", "-----", "------", "||||||", "*-*-*-*-*-*-*", "*-*-*-*-*-*-*-*", "\u2500" * 7, "\u2500" * 9, "\U0001f600" * 6, "\U0001f600" * 8, "abc", "abd"]
+    for alphabet in ("0123456789abcdef", "".join(map(chr, range(0xE01, 0xE2F))), "".join(map(chr, range(0x4E00, 0x4F00))), "<>/=+*&%$#"):
+        for n in (10, 14, 24, 40, 64):
+            for at in (0, n // 2, n - 1):
+                a = "".join(rng.choice(alphabet) for _ in range(n))
+                every += [a, f"{a[:at]}!{a[at + 1:]}", a + "?"]
+    every = list(dict.fromkeys(every))
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} or {x} for x in every]
+    want = union_find(range(len(every)), [(i, j) for i, j in combinations(range(len(every)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs_of(spark, every)).collect()}
+    assert got == {j: int(want[j] != j) for j in range(len(every))}
+
+
 # --- cases that every operator must bear
 
 
