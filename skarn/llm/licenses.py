@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,33 @@ TEMPLATES = {
 K_SHORT, K_LONG, LONG_FROM, GAP, COVER = 2, 3, 6, 2, 0.6
 
 
+def longest_in_order(hits: list[tuple[int, int]], size: int) -> int:
+    """Of a span's hits (place in the text, template position), sorted: the most distinct template positions that stand in order within a stretch of about ``size`` places."""
+    reach, most = size + max(GAP, size // 4), 0
+    for j, (first, _) in enumerate(hits):
+        ends: list[int] = []  # the least position that ends a chain of each length
+        i = j
+        while i < len(hits) and hits[i][0] < first + reach:
+            end = i
+            while end < len(hits) and hits[end][0] == hits[i][0]:
+                end += 1
+            for _, at in reversed(hits[i:end]):  # of one place, only one position counts
+                k = bisect_left(ends, at)
+                ends[k : k + 1] = [at]
+            i = end
+        most = max(most, len(ends))
+        if most == size:
+            break
+    return most
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, label, size, start, hits = (batch.column(j) for j in range(5))
+        share = [longest_in_order([(h["pos"], h["tpos"]) for h in own], n) / n for own, n in zip(hits.to_pylist(), size.to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([row, label, start, pa.array(share, pa.float64())], ["row_id", "label", "start", "share"])
+
+
 def template_words(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode(), np.uint8)
     return word_hashes(data, np.array([0, len(data)]))[0]
@@ -59,8 +87,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     positions, so their hashes filter the grams while a text is read; the
     grams left are joined with the positions in Spark, votes are summed by
     (document, template, offset diagonal), diagonals at most ``GAP`` apart
-    are merged, and a merged span counts if it holds ``cover`` of its
-    template's k-grams in order. Phrases must stand whole: all their k-grams
+    are merged, and a merged span with enough votes is verified: it counts if
+    ``cover`` of its template's k-grams, each once and in order, stand within
+    a stretch of about the template's length (a quarter more, GAP at least). Phrases must stand whole: all their k-grams
     on one diagonal, which makes their words consecutive.
 
     One row per input row: id, n_words, n_base (places of phrases), first_word
@@ -69,7 +98,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sorted, comma-joined), score (1 for a whole phrase or notice, else the
     best verified share; 0 without any). Words are runs of digits, a-z (A-Z
     lower-cased) and non-ASCII characters. Null texts are empty. A document
-    with very many notices is only more rows of a grouped sum. Rows with equal
+    with very many notices is only more rows of a grouped sum; a span's hits are gathered, which its document's length bounds. Rows with equal
     ids are scanned apart. Further columns are ignored.
     """
     spark = docs.sparkSession
@@ -106,7 +135,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [*phrases.values(), *templates.values()]
     meta = spark.createDataFrame([(j, names[j], j < len(phrases), sizes[j]) for j in sizes], "tid int, label string, base boolean, size int")
     grams_found = scanned.where(F.size("found") > 0).select("row_id", F.explode("found").alias("f")).select("row_id", "f.hash", "f.pos")
-    votes = grams_found.join(F.broadcast(positions), "hash").groupBy("row_id", "tid", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"))
+    votes = grams_found.join(F.broadcast(positions), "hash").groupBy("row_id", "tid", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.collect_list(F.struct("pos", "tpos")).alias("hits"))
     votes = votes.join(F.broadcast(meta), "tid")
     phrase = votes.where("base and votes = size").select("row_id", "label", F.lit(True).alias("base"), F.col("diagonal").alias("start"), F.lit(1.0).alias("share"))
     line = Window.partitionBy("row_id", "tid").orderBy("diagonal")
@@ -115,9 +144,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .withColumn("fresh", (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(line), F.lit(-(10**9))) > GAP).cast("int"))
         .withColumn("span", F.sum("fresh").over(line))
         .groupBy("row_id", "tid", "label", "size", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("start"))
-        .select("row_id", "label", F.lit(False).alias("base"), "start", F.least(F.col("votes") / F.col("size"), F.lit(1.0)).alias("share"))
+        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("start"), F.flatten(F.collect_list("hits")).alias("hits"))
+        .where(F.col("votes") / F.col("size") >= cover)
+        .select("row_id", "label", "size", "start", F.array_sort("hits").alias("hits"))
+        .mapInArrow(_verified, "row_id long, label string, start long, share double")
         .where(F.col("share") >= cover)
+        .select("row_id", "label", F.lit(False).alias("base"), "start", "share")
     )
     found = (
         phrase.union(spans)

@@ -316,6 +316,48 @@ def test_license_places_equal_brute_force(spark):
         assert 0 <= r["score"] <= 1
 
 
+def verified_shares(w):
+    """(label, share) of every merged span of a document's words, by comparing words."""
+    for text, label in licenses.TEMPLATES.items():
+        t = text.split()
+        k = licenses.K_LONG if len(t) >= licenses.LONG_FROM else licenses.K_SHORT
+        size = len(t) - k + 1
+        spans = []
+        for _, i, j in sorted((i - j, i, j) for i in range(len(w) - k + 1) for j in range(size) if w[i : i + k] == t[j : j + k]):
+            if not spans or i - j - (spans[-1][-1][0] - spans[-1][-1][1]) > licenses.GAP:
+                spans.append([])
+            spans[-1].append((i, j))
+        for span in spans:
+            best = 0
+            for first, _ in span:
+                window = sorted(h for h in span if first <= h[0] < first + size + max(licenses.GAP, size // 4))
+                chain = []
+                for n, (i, j) in enumerate(window):
+                    chain.append(1 + max((chain[m] for m in range(n) if window[m][0] < i and window[m][1] < j), default=0))
+                best = max(best, *chain)
+            yield label, best / size
+
+
+def test_license_notices_equal_brute_force(spark):
+    rng, notices = random.Random(31), list(licenses.TEMPLATES)
+    texts = ["all rights all rights", "under the under the under the under the", "all rights reserved", " ".join(notices), "rights reserved all rights"]
+    for notice in notices:
+        for _ in range(12):
+            w = notice.split() * rng.randrange(1, 3)
+            for _ in range(rng.randrange(8)):
+                at = rng.randrange(len(w))
+                cut = rng.randrange(at, len(w) + 1)
+                w[at:at] = rng.choice([["other"], ["or", "so"], w[at:cut][:6], list(reversed(w[at:cut]))[:4]])
+            texts.append(" ".join(w))
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
+    assert [got[j]["labels"] for j in range(3)] == ["", "", "all-rights-reserved"]
+    for j, text in enumerate(texts):
+        found = [(label, share) for label, share in verified_shares(words_of(text)) if share >= licenses.COVER]
+        base = set(got[j]["base_labels"].split(",")) - {""}
+        assert got[j]["labels"] == ",".join(sorted(base | {label for label, _ in found})), text
+        assert got[j]["score"] == pytest.approx(max([share for _, share in found] + [1.0] * bool(base), default=0.0)), text
+
+
 # --- op10
 
 
