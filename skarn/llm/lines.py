@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from skarn.llm.common import cut
 from skarn.llm.linking import link_classes, shared_buckets, small
 
-#: Bands of ROWS minima each; characters of a shingle; least Jaccard similarity.
-BANDS, ROWS, SHINGLE, SIMILARITY = 8, 3, 5, 0.8
+#: Characters of a shingle and least Jaccard similarity of lines' sets of them.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Characters of the shingles that are signed (longer ones, as unlike lines share few), minima of a signature (even), minima of a band.
+SIGNED, MINIMA, ROWS = 8, 14, 3
+#: Lines of at most FEW different signed shingles are signed by the SHINGLE characters that are verified, too, in bands of two minima; from MANY on by the longer ones.
+FEW, MANY = 40, 24
 
 #: Longs of the bits that tell of two lines whether they can be similar.
-BIT_LONGS = 4
+BIT_LONGS = 32
 
 
 def shingles(line: Column, n: int = SHINGLE) -> Column:
@@ -22,54 +26,65 @@ def shingles(line: Column, n: int = SHINGLE) -> Column:
     return F.when(F.length(line) < n, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}))" % n), 1))
 
 
-def similar(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two sets' Jaccard similarity is at least so much. Each array is computed once, as a lambda's argument; repeats in it don't matter."""
-    both = F.array(F.struct(a.alias("a"), b.alias("b")))
-    return F.get(F.transform(both, lambda x: F.size(F.array_intersect(x["a"], x["b"])) >= similarity * F.size(F.array_union(x["a"], x["b"])) - 1e-9), 0)
+def hashed(line: Column, n: int) -> Column:
+    """64-bit hashes of a line's different n-character shingles."""
+    return F.array_distinct(F.transform(shingles(line, n), lambda s: F.xxhash64(s)))
 
 
-def shingle_bits(hashes: Column) -> Column:
-    """BIT_LONGS longs. Each hash turns one bit, so as many bits as differ between two sets, the sets differ in at least."""
-    at = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
-    turned = lambda j: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.when(F.pmod(F.shiftright(h, 6), F.lit(BIT_LONGS)) == j, at(h)).otherwise(F.lit(0).cast("long"))))
-    return F.array(*(turned(j) for j in range(BIT_LONGS)))
+def similar(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two sets have at least that Jaccard similarity. Each is computed once, as a lambda's argument."""
+    both = F.array(F.struct(a.alias("a"), b.alias("b")))
+    sizes = F.transform(both, lambda x: F.struct((F.size(x["a"]) + F.size(x["b"])).alias("all"), F.size(F.array_intersect(x["a"], x["b"])).alias("both")))
+    return F.get(F.transform(sizes, lambda x: x["both"] >= similarity * (x["all"] - x["both"]) - 1e-9), 0)
 
 
 def plausible(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
     """Whether the sizes and bits of two lines' sets allow the similarity: of sets that reach it, at most (1 - s) / (1 + s) of both sizes together differ."""
     differ = sum((F.bit_count(F.get(x("bits"), F.lit(j)).bitwiseXOR(F.get(y("bits"), F.lit(j)))) for j in range(BIT_LONGS)), F.lit(0))
-    return F.greatest(differ, F.abs(x("n_set") - y("n_set"))) <= (1 - similarity) / (1 + similarity) * (x("n_set") + y("n_set")) + 1e-6
+    return F.greatest(differ, F.abs(x("size") - y("size"))) <= (1 - similarity) / (1 + similarity) * (x("size") + y("size")) + 1e-6
 
 
-def signature(own: Column, size: int, seed: int) -> Column:
-    """``size`` minima of the shingles' hashes by one permutation.
+def _packed(values: Column, name: str) -> list[Column]:
+    """The first MINIMA integers of an array, two in a long."""
+    value = lambda i: F.coalesce(F.get(values, F.lit(i)), F.lit(0)).cast("long")
+    return [F.call_function("shiftleft", value(2 * j), F.lit(32)).bitwiseOR(value(2 * j + 1).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"{name}{j}") for j in range(MINIMA // 2)]
 
-    The range of hashes is cut into ``size`` equal slots; a slot's minimum is
-    the least hash from its start on (an empty slot takes the next one's,
-    cyclically).
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """lines (line and further columns) with its signature in place of line: n_a and a0.., n_b and b0...
+
+    a: the MINIMA least hashes of all the line's SIGNED-character shingles by
+    one permutation, b: those of its SHINGLE-character ones if it has FEW of
+    the former; n_a and n_b: the numbers of different shingles (n_b is 0
+    without them). Never empty for a line that isn't.
     """
-    slot = lambda x: F.shiftright((x.cast("long") + F.lit(1 << 31)) * F.lit(size), 32).cast("int")
-    hashes = F.sort_array(F.transform(own, lambda s: F.hash(s, F.lit(seed))))
-    fill = lambda own: F.flatten(F.transform(own, lambda x, i: F.array_repeat(x, slot(x) - F.when(i == 0, F.lit(-1)).otherwise(slot(F.get(own, i - 1))))))
-    filled = F.transform(F.array(hashes), lambda own: F.concat(fill(own), F.array_repeat(F.get(own, F.lit(0)), size - 1 - slot(F.get(own, F.size(own) - 1)))))
-    return F.get(filled, F.lit(0))
+    least = lambda own: F.slice(F.sort_array(own), 1, MINIMA)
+    hashes = lambda n: F.array_distinct(F.transform(shingles(F.col("line"), n), lambda s: F.hash(s)))
+    rest = [c for c in lines.columns if c != "line"]
+    own = lines.select(*rest, "line", hashes(SIGNED).alias("own"))
+    both = own.select(*rest, F.size("own").alias("n_a"), least(F.col("own")).alias("a"), F.when(F.size("own") <= FEW, F.sort_array(hashes(SHINGLE))).alias("b"))
+    return both.select(*rest, "n_a", F.coalesce(F.size("b"), F.lit(0)).alias("n_b"), *_packed(F.col("a"), "a"), *_packed(F.col("b"), "b"))
 
 
-def band_keys(line: Column, bands: int, rows: int) -> Column:
-    """A key for each band: one minimum each by ``rows`` permutations of all the line's shingles."""
-    minima = F.transform(F.array(shingles(line)), lambda own: F.array(*(signature(own, bands, r) for r in range(rows))))
-    return F.get(F.transform(minima, lambda v: F.array(*(F.xxhash64(*(F.get(F.get(v, F.lit(r)), F.lit(j)) for r in range(rows))) for j in range(bands)))), F.lit(0))
+def band_keys(signed: DataFrame) -> DataFrame:
+    """(key, node) of each band: ROWS (of the shorter shingles: two) neighbouring minima, wherever in the signature they stand."""
+    at = lambda name, i: F.shiftright(F.col(f"{name}{i // 2}"), 32) if i % 2 == 0 else F.col(f"{name}{i // 2}").bitwiseAND(F.lit(0xFFFFFFFF))
+    long_ = [F.when((F.col("n_a") >= MANY) & (F.col("n_a") >= i + ROWS), F.xxhash64(*(at("a", i + r) for r in range(ROWS)))) for i in range(MINIMA - ROWS + 1)]
+    short = [F.when(F.col("n_b") >= i + 2, F.xxhash64(F.lit("pair"), at("b", i), at("b", i + 1))) for i in range(MINIMA - 1)]
+    one = F.when(F.col("n_b") == 1, F.xxhash64(F.lit("one"), at("b", 0)))
+    return signed.select("node", F.explode(F.array(*long_, *short, one)).alias("key")).where("key is not null")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The documents without lines that repeat another line, exactly or nearly.
 
-    Equal lines are one by their 128-bit hash. Each has BANDS x ROWS minima of
-    the hashes of all its 5-character shingles, taken in the same grouped aggregate; lines that
-    share a band's minima are compared (link_classes tells which) by
-    the exact Jaccard similarity of those shingles' sets. Linked
-    lines form components by distributed union-find. Of a component's
-    occurrences the first line in the document with the least id stays.
+    Equal lines are one by their 128-bit hash. Each is signed by the least
+    hashes of all its character shingles (see signatures); lines that share a
+    band of neighbouring minima are compared (link_classes tells which) by the
+    exact Jaccard similarity of the sets of their 5-character shingles; a
+    shorter line is its own shingle. Linked lines form components by
+    distributed union-find. Of a component's occurrences the first line in the
+    document with the least id stays.
 
     All columns of docs come back, text without the removed lines, and with
     them n_lines and n_removed (renamed out of the way of columns of those
@@ -85,33 +100,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where("trim(line) <> '' and d is not null")
         .select("d", "at", "line", F.xxhash64(line).alias("h"), F.xxhash64(line, F.lit(1)).alias("h2"))
     )
-    keyed = lines.select("d", "h", "h2", band_keys(line, bands, rows).alias("keys")).select("d", "h", "h2", *(F.get("keys", F.lit(j)).alias(f"k{j}") for j in range(bands)))
-    # equal lines have equal keys, so their least is that of any
-    signed = keyed.groupBy("h", "h2").agg(F.min("d").alias("first_doc"), F.count(F.lit(1)).alias("n"), *(F.min(f"k{j}").alias(f"k{j}") for j in range(bands)))
-    sketch = F.array(*(f"k{j}" for j in range(bands)))
-    signed = cut(signed.select("h", "h2", "first_doc", "n", sketch.alias("sketch")))
+    keyed = signatures(lines.drop("at"))
+    # equal lines have equal signatures, so their least is that of any
+    values = [c for c in keyed.columns if c not in ("d", "h", "h2")]
+    signed = keyed.groupBy("h", "h2").agg(F.min("d").alias("first_doc"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in values))
+    signed = cut(signed.withColumn("node", F.monotonically_increasing_id()))
 
-    nodes = signed.select(F.col("h").alias("node"), "sketch")
-    members = shared_buckets(nodes, 1, bands)
-    wanted = cut(members.select(F.col("node").alias("h")).distinct())
-    texts = cut(lines.select("h", "line").join(small(wanted), "h", "left_semi").dropDuplicates(["h"]))
+    members = shared_buckets(band_keys(signed))
+    wanted = cut(signed.join(small(members.select("node").distinct()), "node", "left_semi").select("node", "h", "h2", F.col("first_doc").alias("d")))
+    texts = cut(lines.select("d", "h", "h2", "line").join(small(wanted), ["h", "h2", "d"]).select("node", "line").dropDuplicates(["node"]))
 
     def traits(of: DataFrame) -> DataFrame:
-        sets = texts.join(small(of.withColumnRenamed("node", "h")), "h").select(F.col("h").alias("node"), F.array_distinct(shingles(line)).alias("own"))
-        hashed = sets.select("node", F.size("own").alias("n_set"), F.transform("own", lambda s: F.xxhash64(s)).alias("own"))
-        return hashed.select("node", "n_set", F.get(F.transform(F.array("own"), shingle_bits), F.lit(0)).alias("bits"))
+        # each shingle turns one bit, so as many bits as differ between two sets, the sets differ in at least
+        sets = texts.join(of, "node").select("node", F.explode(hashed(line, SHINGLE)).alias("s"))
+        slot, bit = F.pmod(F.shiftright("s", 6), F.lit(BIT_LONGS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
+        placed = sets.select("node", slot.alias("slot"), bit.alias("bit"))
+        turned = (F.bit_xor(F.when(F.col("slot") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(BIT_LONGS))
+        return placed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *turned).select("node", "size", F.array(*(f"b{j}" for j in range(BIT_LONGS))).alias("bits"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        keys = pairs.columns
-        a, b = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-        return pairs.join(a, "a").join(b, "b").where(similar(shingles(F.col("la")), shingles(F.col("lb")), similarity)).select(*keys)
-
-    classes = link_classes(members, traits, lambda x, y: plausible(x, y, similarity), verify)
-    classed = signed.select("h", "h2", "first_doc", "n").join(classes.withColumnRenamed("node", "h"), "h", "left")
-    in_class = classed.where("comp is not null")
-    winners = in_class.groupBy("comp").agg(F.min("first_doc").alias("keep_doc"))
-    flagged = in_class.join(winners, "comp").select("h", "h2", "comp", "keep_doc").union(classed.where("comp is null and n > 1").select("h", "h2", F.col("h").alias("comp"), F.col("first_doc").alias("keep_doc")))
-    flagged = cut(flagged)
+        a, b = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
+        return pairs.join(a, "a").join(b, "b").where(similar(hashed(F.col("la"), SHINGLE), hashed(F.col("lb"), SHINGLE), similarity)).select("a", "b")
+
+    classes = link_classes(members, traits, lambda x, y: plausible(x, y, similarity), verify, similarity)
+    classed = signed.select("node", "h", "h2", "first_doc", "n").join(small(classes), "node", "left")
+    winners = classed.where("comp is not null").groupBy("comp").agg(F.min("first_doc").alias("keep_doc"))
+    flagged = cut(classed.where("comp is not null or n > 1").join(small(cut(winners)), "comp", "left").select("h", "h2", F.coalesce("comp", "node").alias("comp"), F.coalesce("keep_doc", "first_doc").alias("keep_doc")))
     repeated = lines.select("d", "at", "h", "h2").join(small(flagged), ["h", "h2"])
     places = repeated.groupBy("d").agg(F.array_sort(F.collect_set(F.struct("comp", "at", (F.col("d") == F.col("keep_doc")).alias("own")))).alias("p"))
     stays = lambda x, i: x["own"] & ((i == 0) | (F.get("p", i - 1)["comp"] != x["comp"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from skarn.llm.common import components, cut
 
 #: Rows up to which a table of a few numbers a row is broadcast after it has been counted; a larger one is joined by shuffling.
-BROADCAST_ROWS = 500_000
-#: Comparisons that a bucket may still need (rows outside its largest class x all rows) beyond which its heads are taken in rounds.
+BROADCAST_ROWS = 200_000
+#: Comparisons (rows outside a bucket's largest class x all its rows) up to which a bucket is closed at once.
 CROWDED = 2500
-#: Heads of a bucket in the first round, about, as most rows then turn out to belong together; how much more each later round takes.
-FIRST_HEADS, GROWTH = 4, 8
+#: Heads of a bucket, about, in the rounds before the one that takes all rows that are left.
+HEADS = (4, 64)
 #: Pairs of a bucket, about, that one task looks at.
 TASK_PAIRS = 1 << 23
 #: Rows of a few numbers that a task takes when a table has become small.
@@ -26,75 +27,64 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
-def shared_buckets(signed: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(key, node): each of the ``bands`` bands of ``rows`` consecutive values of sketch makes a key (a longer sketch holds several of them); keys that one node has alone are left out."""
-    keys = F.expr(f"transform(sequence(0, size(sketch) div {rows} - 1), j -> xxhash64(j % {bands}, slice(sketch, j * {rows} + 1, {rows})))")
-    keys = signed.select("node", F.explode(keys).alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    return cut(keys.join(small(shared), "key"))
+def shared_buckets(keyed: DataFrame) -> DataFrame:
+    """The rows (key, node) whose key another node has, too. A node has a key once."""
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    return cut(keyed.join(small(shared), "key").select("key", "node"))
 
 
-def _joined_up(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with each comp replaced by the least one that links (classes a and b) lead to."""
-    into = small(cut(components(links).select(F.col("node").alias("comp"), F.col("comp").alias("into"))))
-    return members.join(into, "comp", "left").select("key", "node", F.coalesce("into", "comp").alias("comp"))
-
-
-def link_classes(members: DataFrame, traits: Callable[[DataFrame], DataFrame], plausible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_classes(members: DataFrame, traits: Callable[[DataFrame], DataFrame], plausible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, comp): classes of nodes that verified links join, comp the least node, for every node with a link.
 
-    members has (key, node). traits takes rows with node and returns them
-    with further columns. plausible tells of two nodes' traits whether they
-    can be similar; it must hold for all that are. verify takes rows with a and b and returns those rows that are
-    similar.
+    members has (key, node). traits takes rows with node and returns them with
+    size, by which similar nodes differ by a factor of ``similarity`` at most,
+    and further columns. plausible tells of two nodes' traits whether they can
+    be similar; it must hold for all that are. verify takes rows with a and b
+    and returns those rows that are similar.
 
     First each node is compared with the least of all nodes that share a
     bucket with it, which joins most of what belongs together at one
-    comparison a node. From then on only buckets that hold several classes
-    are open. In each round, rows outside a bucket's largest class (heads: all,
-    but a few chosen by a hash in the first round, and GROWTH times as many in each
-    later one in a bucket that may need more than CROWDED comparisons) are
-    compared with the members of all other classes and leave the bucket. So
-    any two members of different classes that share a key are compared before
-    a bucket closes, by traits first and by verify where those leave it open.
-    A bucket of similar items costs about one comparison an item, however
-    large it is; one of n unlike items costs n x n looks at traits, which are
-    dealt to tasks by parts of TASK_PAIRS and make no rows.
+    comparison a node. From then on only buckets that hold several classes are
+    open. Rows outside a bucket's largest class (heads) are compared with the
+    members of all other classes and leave the bucket: all of them at once
+    where that takes at most CROWDED comparisons; elsewhere a few chosen by a
+    hash, then some more, which mostly leaves one class, and in the last round
+    all that are left. So any two members of different classes that share a
+    key are compared before the bucket closes, and the number of rounds is
+    fixed. A bucket of similar items costs about one comparison an item,
+    however large it is; one of n unlike items costs n x n looks at traits of
+    those of about one size, which are dealt to tasks by parts of TASK_PAIRS
+    and make no rows.
     """
     tasks = max(8, members.count() // TASK_ROWS)
     few = lambda df: cut(df.coalesce(tasks))
     least = members.groupBy("key").agg(F.min("node").alias("lo"))
-    pairs = few(members.join(least, "key").groupBy("node").agg(F.min("lo").alias("a")).where("a < node").select("a", F.col("node").alias("b")))
-    tried, found = pairs, cut(verify(pairs).select("a", "b"))
-    links = found
-    members = few(_joined_up(members.withColumn("comp", F.col("node")), found))
-    turn = 0
-    while True:
-        counts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).coalesce(tasks).groupBy("key")
+    pairs = members.join(least, "key").groupBy("node").agg(F.min("lo").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
+    links = cut(verify(few(pairs)).select("a", "b"))
+    members, classes = members.coalesce(tasks), cut(components(links))
+    step = math.log(1 / similarity)
+    for heads in (*HEADS, None):
+        members = members.select("key", "node").join(small(classes), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+        counts = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
         mixed = few(counts.agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all")).select("key", F.col("most.comp").alias("most"), (F.col("all") - F.col("most.n")).alias("others"), "all").where("others > 0"))
         if mixed.isEmpty():
-            return components(links.coalesce(tasks))
-        some = F.lit(FIRST_HEADS * GROWTH**turn)
-        wanted = some if turn == 0 else F.when(F.col("others") * F.col("all") > CROWDED, some).otherwise(F.col("others"))
+            break
+        wanted = F.col("others") if heads is None else F.when(F.col("others") * F.col("all") > CROWDED, F.least("others", F.lit(heads))).otherwise(F.col("others"))
         # by a power of two: a node that is a head in a large bucket is one in its smaller ones, so their pairs are mostly the same
         thin = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("others") / wanted))).cast("long")
-        is_head = (F.col("comp") != F.col("most")) & ((F.col("others") <= wanted) | (F.pmod(F.xxhash64("node", F.lit(turn)), thin) == 0))
-        parts = F.ceil(F.least(F.col("others"), wanted) * F.col("all") / TASK_PAIRS).cast("int")
+        is_head = (F.col("comp") != F.col("most")) & ((F.col("others") <= wanted) | (F.pmod(F.xxhash64("node", F.lit(heads or 0)), thin) == 0))
+        parts = F.ceil(wanted * F.col("all") / TASK_PAIRS).cast("int")
         open_ = few(members.join(small(mixed), "key").select("key", "node", "comp", parts.alias("parts"), is_head.alias("is_head")))
-        known = cut(traits(cut(open_.select("node").distinct())))
-        rows = open_.join(known, "node")
-        heads = rows.where("is_head").withColumn("part", F.pmod(F.hash("node"), "parts"))
+        known = cut(traits(open_.select("node").distinct()).withColumn("bin", F.floor(F.log("size") / step).cast("int")))
+        rows = open_.join(small(known, BROADCAST_ROWS // 8), "node")
+        asked = rows.where("is_head").withColumn("part", F.pmod(F.hash("node"), "parts")).withColumn("bin", F.explode(F.array(*(F.col("bin") + d for d in (-1, 0, 1)))))
         others = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         x, y = (lambda name, of=of: F.col(f"{of}.{name}") for of in "xy")
-        both = others.alias("x").join(heads.alias("y").hint("shuffle_hash"), (x("key") == y("key")) & (x("part") == y("part")) & (x("comp") != y("comp")) & plausible(x, y))
-        lower = x("node") < y("node")
-        pairs = both.select(*(F.when(lower, p).otherwise(q).alias(n) for n, p, q in (("a", x("node"), y("node")), ("b", y("node"), x("node")), ("ca", x("comp"), y("comp")), ("cb", y("comp"), x("comp"))))).distinct()
-        pairs = few(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(pairs.select("a", "b")).coalesce(tasks)
-        found = cut(verify(pairs).select("a", "b", "ca", "cb"))
-        links = links.union(found.select("a", "b"))
-        members = open_.where("not is_head").select("key", "node", "comp")
+        both = others.alias("x").join(asked.alias("y").hint("shuffle_hash"), (x("key") == y("key")) & (x("part") == y("part")) & (x("bin") == y("bin")) & (x("comp") != y("comp")) & plausible(x, y))
+        pairs = few(both.select(F.least(x("node"), y("node")).alias("a"), F.greatest(x("node"), y("node")).alias("b")).distinct())
+        found = cut(verify(pairs).select("a", "b"))
+        members = open_.where("not is_head")
         if not found.isEmpty():
-            members = _joined_up(members, found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        members = few(members)
-        turn += 1
+            links = cut(links.union(found).coalesce(tasks))
+            classes = cut(components(links))
+    return classes

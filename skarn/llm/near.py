@@ -96,8 +96,8 @@ def word_bits(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def plausible(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
     """Whether the lengths and bits of two texts allow an alignment; an edit changes the bag of words by two at most, by one where it changes the length."""
-    limit = F.floor((1 - similarity) * F.greatest(x("n_words"), y("n_words")) + 1e-9)
-    longer = F.abs(x("n_words") - y("n_words"))
+    limit = F.floor((1 - similarity) * F.greatest(x("size"), y("size")) + 1e-9)
+    longer = F.abs(x("size") - y("size"))
     differ = sum((F.bit_count(F.get(x("bits"), F.lit(j)).bitwiseXOR(F.get(y("bits"), F.lit(j)))) for j in range(BIT_LONGS)), F.lit(0))
     return (longer <= limit) & (differ <= 2 * limit - longer)
 
@@ -257,10 +257,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = firsts.where("size(m.sketch) > 0").select(F.col("m.d").alias("node"), F.col("m").alias("m"))
     # rows that share an id are one document, which may have several texts: the one that is compared is the least, whatever the order of rows
     texts = cut(texts.groupBy("node").agg(F.min("m").alias("m")).select("node", "m.sketch", "m.n_words", "m.bits"))
-    members = shared_buckets(texts.select("node", "sketch"), rows, sketches // rows)
+    bands = sketches // rows
+    keys = F.expr(f"transform(sequence(0, size(sketch) div {rows} - 1), j -> xxhash64(j % {bands}, slice(sketch, j * {rows} + 1, {rows})))")
+    members = shared_buckets(texts.select("node", F.explode(keys).alias("key")))
 
     def traits(nodes: DataFrame) -> DataFrame:
-        return texts.select("node", "n_words", "bits").join(small(nodes), "node", "left_semi")
+        return texts.select("node", F.col("n_words").alias("size"), "bits").join(nodes, "node")
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = cut(pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct())
@@ -268,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(used.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b").join(used.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
         return _verified(both, similarity).distinct()
 
-    classes = cut(link_classes(members, traits, lambda x, y: plausible(x, y, similarity), verify).withColumnRenamed("node", "text_id"))
+    classes = cut(link_classes(members, traits, lambda x, y: plausible(x, y, similarity), verify, similarity).withColumnRenamed("node", "text_id"))
     reps = firsts.select("d1", "d2", F.col("m.d").alias("text_id")).join(classes, "text_id", "left").select("d1", "d2", F.coalesce("comp", "text_id").alias("class_id"))
     out = signed.select("d", "d1", "d2", "n_words").join(reps, ["d1", "d2"], "left")
     return out.select(
