@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import cut
+from skarn.llm.common import cut, stored
 from skarn.llm.linking import link_classes, shared_buckets, small
 
 #: Characters of a shingle and least Jaccard similarity of lines' sets of them.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Characters of the shingles that are signed (longer ones, as unlike lines share few), minima of a signature (even), minima of a band.
 SIGNED, MINIMA, ROWS = 8, 14, 3
+#: Signed shingles that begin with one of these characters come first in the order of hashes, so that of lines of LONG characters that have
+#: MINIMA of them only these need be taken out. (About every eighth character of a text in Latin letters; other texts have none of them and take all.)
+LEADERS, LONG = "aiqyAIQY19", 120
 #: Lines of at most FEW different signed shingles are signed by the SHINGLE characters that are verified, too, in bands of two minima; from MANY on by the longer ones.
 FEW, MANY = 40, 24
 
@@ -31,47 +34,43 @@ def hashed(line: Column, n: int) -> Column:
     return F.array_distinct(F.transform(shingles(line, n), lambda s: F.xxhash64(s)))
 
 
-def similar(a: Column, b: Column, similarity: float) -> Column:
-    """Whether two sets have at least that Jaccard similarity. Each is computed once, as a lambda's argument."""
-    both = F.array(F.struct(a.alias("a"), b.alias("b")))
-    sizes = F.transform(both, lambda x: F.struct((F.size(x["a"]) + F.size(x["b"])).alias("all"), F.size(F.array_intersect(x["a"], x["b"])).alias("both")))
-    return F.get(F.transform(sizes, lambda x: x["both"] >= similarity * (x["all"] - x["both"]) - 1e-9), 0)
-
-
 def plausible(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
     """Whether the sizes and bits of two lines' sets allow the similarity: of sets that reach it, at most (1 - s) / (1 + s) of both sizes together differ."""
     differ = sum((F.bit_count(F.get(x("bits"), F.lit(j)).bitwiseXOR(F.get(y("bits"), F.lit(j)))) for j in range(BIT_LONGS)), F.lit(0))
     return F.greatest(differ, F.abs(x("size") - y("size"))) <= (1 - similarity) / (1 + similarity) * (x("size") + y("size")) + 1e-6
 
 
-def _packed(values: Column, name: str) -> list[Column]:
-    """The first MINIMA integers of an array, two in a long."""
-    value = lambda i: F.coalesce(F.get(values, F.lit(i)), F.lit(0)).cast("long")
-    return [F.call_function("shiftleft", value(2 * j), F.lit(32)).bitwiseOR(value(2 * j + 1).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"{name}{j}") for j in range(MINIMA // 2)]
-
-
 def signatures(lines: DataFrame) -> DataFrame:
     """lines (line and further columns) with its signature in place of line: n_a and a0.., n_b and b0...
 
-    a: the MINIMA least hashes of all the line's SIGNED-character shingles by
-    one permutation, b: those of its SHINGLE-character ones if it has FEW of
-    the former; n_a and n_b: the numbers of different shingles (n_b is 0
-    without them). Never empty for a line that isn't.
+    a: the MINIMA least of all the line's SIGNED-character shingles in an order
+    by LEADERS and hash, b: those of its SHINGLE-character ones by hash if it
+    has FEW of the former; n_a and n_b: the numbers of different shingles (n_a
+    may be too large for long lines, n_b is 0 without b). Never empty for a
+    line that isn't. Hashes of leaders are negative, all shingles' ones are not;
+    a leader is in the order twice, which changes no comparison of two lines.
     """
-    least = lambda own: F.slice(F.sort_array(own), 1, MINIMA)
-    hashes = lambda n: F.array_distinct(F.transform(shingles(F.col("line"), n), lambda s: F.hash(s)))
+    line, low = F.col("line"), F.lit((1 << 31) - 1)
+    leaders = F.regexp_extract_all(line, F.lit(r"(?s)(?=([%s].{%d}))" % (LEADERS, SIGNED - 1)), 1)
+    hashes = lambda own, change: F.array_distinct(F.transform(own, change))
+    first = lambda own: F.slice(F.sort_array(own), 1, MINIMA)
     rest = [c for c in lines.columns if c != "line"]
-    own = lines.select(*rest, "line", hashes(SIGNED).alias("own"))
-    both = own.select(*rest, F.size("own").alias("n_a"), least(F.col("own")).alias("a"), F.when(F.size("own") <= FEW, F.sort_array(hashes(SHINGLE))).alias("b"))
-    return both.select(*rest, "n_a", F.coalesce(F.size("b"), F.lit(0)).alias("n_b"), *_packed(F.col("a"), "a"), *_packed(F.col("b"), "b"))
+    led = lines.select(*rest, "line", hashes(leaders, lambda s: F.hash(s).bitwiseOR(F.lit(-(1 << 31)))).alias("led"))
+    enough = (F.size("led") >= MINIMA) & (F.length(line) >= LONG)
+    own = led.select(*rest, "line", "led", F.when(~enough, hashes(shingles(line, SIGNED), lambda s: F.hash(s).bitwiseAND(low))).alias("own"))
+    both = own.select(
+        *rest, F.coalesce(F.size("own"), F.lit(LONG)).alias("n_a"), F.when(F.col("own").isNull(), first(F.col("led"))).otherwise(first(F.concat("led", "own"))).alias("a"),
+        F.when(F.size("own") <= FEW, first(hashes(shingles(line), lambda s: F.hash(s)))).alias("b"),
+    )
+    values = lambda name: [F.get(name, F.lit(i)).alias(f"{name}{i}") for i in range(MINIMA)]
+    return both.select(*rest, "n_a", F.coalesce(F.size("b"), F.lit(0)).alias("n_b"), *values("a"), *values("b"))
 
 
 def band_keys(signed: DataFrame) -> DataFrame:
     """(key, node) of each band: ROWS (of the shorter shingles: two) neighbouring minima, wherever in the signature they stand."""
-    at = lambda name, i: F.shiftright(F.col(f"{name}{i // 2}"), 32) if i % 2 == 0 else F.col(f"{name}{i // 2}").bitwiseAND(F.lit(0xFFFFFFFF))
-    long_ = [F.when((F.col("n_a") >= MANY) & (F.col("n_a") >= i + ROWS), F.xxhash64(*(at("a", i + r) for r in range(ROWS)))) for i in range(MINIMA - ROWS + 1)]
-    short = [F.when(F.col("n_b") >= i + 2, F.xxhash64(F.lit("pair"), at("b", i), at("b", i + 1))) for i in range(MINIMA - 1)]
-    one = F.when(F.col("n_b") == 1, F.xxhash64(F.lit("one"), at("b", 0)))
+    long_ = [F.when((F.col("n_a") >= MANY) & (F.col("n_a") >= i + ROWS), F.xxhash64(*(f"a{i + r}" for r in range(ROWS)))) for i in range(MINIMA - ROWS + 1)]
+    short = [F.when(F.col("n_b") >= i + 2, F.xxhash64(F.lit("pair"), f"b{i}", f"b{i + 1}")) for i in range(MINIMA - 1)]
+    one = F.when(F.col("n_b") == 1, F.xxhash64(F.lit("one"), "b0"))
     return signed.select("node", F.explode(F.array(*long_, *short, one)).alias("key")).where("key is not null")
 
 
@@ -103,24 +102,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = signatures(lines.drop("at"))
     # equal lines have equal signatures, so their least is that of any
     values = [c for c in keyed.columns if c not in ("d", "h", "h2")]
-    signed = keyed.groupBy("h", "h2").agg(F.min("d").alias("first_doc"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in values))
-    signed = cut(signed.withColumn("node", F.monotonically_increasing_id()))
+    packed = [F.min(F.call_function("shiftleft", F.coalesce(x, F.lit(0)).cast("long"), F.lit(32)).bitwiseOR(F.coalesce(y, F.lit(0)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias(x) for x, y in zip(values[::2], values[1::2], strict=True)]
+    signed = keyed.groupBy("h", "h2").agg(F.min("d").alias("first_doc"), F.count(F.lit(1)).alias("n"), *packed).withColumn("node", F.monotonically_increasing_id())
+    signed = stored(signed)
+    unpacked = signed.select("node", *(c for x, y in zip(values[::2], values[1::2], strict=True) for c in (F.shiftright(x, 32).alias(x), F.pmod(F.col(x).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(1 << 32)).alias(y))))
 
-    members = shared_buckets(band_keys(signed))
+    members = shared_buckets(band_keys(unpacked))
     wanted = cut(signed.join(small(members.select("node").distinct()), "node", "left_semi").select("node", "h", "h2", F.col("first_doc").alias("d")))
     texts = cut(lines.select("d", "h", "h2", "line").join(small(wanted), ["h", "h2", "d"]).select("node", "line").dropDuplicates(["node"]))
 
-    def traits(of: DataFrame) -> DataFrame:
-        # each shingle turns one bit, so as many bits as differ between two sets, the sets differ in at least
-        sets = texts.join(of, "node").select("node", F.explode(hashed(line, SHINGLE)).alias("s"))
-        slot, bit = F.pmod(F.shiftright("s", 6), F.lit(BIT_LONGS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
-        placed = sets.select("node", slot.alias("slot"), bit.alias("bit"))
-        turned = (F.bit_xor(F.when(F.col("slot") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(BIT_LONGS))
-        return placed.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *turned).select("node", "size", F.array(*(f"b{j}" for j in range(BIT_LONGS))).alias("bits"))
+    # each shingle turns one bit, so as many bits as differ between two sets, the sets differ in at least
+    sets = texts.select("node", F.explode(hashed(line, SHINGLE)).alias("s"))
+    slot, bit = F.pmod(F.shiftright("s", 6), F.lit(BIT_LONGS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
+    turned = (F.bit_xor(F.when(F.col("slot") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(BIT_LONGS))
+    sized = sets.select("node", slot.alias("slot"), bit.alias("bit")).groupBy("node").agg(F.count(F.lit(1)).alias("size"), *turned)
+    traits = cut(sized.select("node", "size", F.array(*(f"b{j}" for j in range(BIT_LONGS))).alias("bits")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-        return pairs.join(a, "a").join(b, "b").where(similar(hashed(F.col("la"), SHINGLE), hashed(F.col("lb"), SHINGLE), similarity)).select("a", "b")
+        sets = pairs.join(a, "a").join(b, "b").select("a", "b", hashed(F.col("la"), SHINGLE).alias("x"), hashed(F.col("lb"), SHINGLE).alias("y"))
+        sizes = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("all"))
+        return cut(sizes).where(F.col("both") >= similarity * (F.col("all") - F.col("both")) - 1e-9).select("a", "b")
 
     classes = link_classes(members, traits, lambda x, y: plausible(x, y, similarity), verify, similarity)
     classed = signed.select("node", "h", "h2", "first_doc", "n").join(small(classes), "node", "left")

@@ -33,14 +33,20 @@ def shared_buckets(keyed: DataFrame) -> DataFrame:
     return cut(keyed.join(small(shared), "key").select("key", "node"))
 
 
-def link_classes(members: DataFrame, traits: Callable[[DataFrame], DataFrame], plausible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def _plausible(pairs: DataFrame, traits: DataFrame, plausible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
+    x, y = (lambda name, of=of: F.col(f"{of}.{name}") for of in "xy")
+    both = pairs.join(traits.alias("x"), F.col("a") == x("node")).join(traits.alias("y"), F.col("b") == y("node"))
+    return both.where(plausible(x, y)).select("a", "b")
+
+
+def link_classes(members: DataFrame, traits: DataFrame, plausible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], verify: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(node, comp): classes of nodes that verified links join, comp the least node, for every node with a link.
 
-    members has (key, node). traits takes rows with node and returns them with
-    size, by which similar nodes differ by a factor of ``similarity`` at most,
-    and further columns. plausible tells of two nodes' traits whether they can
-    be similar; it must hold for all that are. verify takes rows with a and b
-    and returns those rows that are similar.
+    members has (key, node). traits has a row for each node (others do no
+    harm) with size, by which similar nodes differ by a factor of
+    ``similarity`` at most, and further columns. plausible tells of two nodes'
+    traits whether they can be similar; it must hold for all that are. verify
+    takes rows with a and b and returns, computed, those rows that are similar.
 
     First each node is compared with the least of all nodes that share a
     bucket with it, which joins most of what belongs together at one
@@ -59,8 +65,9 @@ def link_classes(members: DataFrame, traits: Callable[[DataFrame], DataFrame], p
     tasks = max(8, members.count() // TASK_ROWS)
     few = lambda df: cut(df.coalesce(tasks))
     least = members.groupBy("key").agg(F.min("node").alias("lo"))
-    pairs = members.join(least, "key").groupBy("node").agg(F.min("lo").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
-    links = cut(verify(few(pairs)).select("a", "b"))
+    x, y = (lambda name, of=of: F.col(f"{of}.{name}") for of in "xy")
+    pairs = members.join(least, "key").groupBy("node").agg(F.min("lo").alias("lo")).where("lo < node")
+    links = verify(few(_plausible(pairs.select(F.col("lo").alias("a"), F.col("node").alias("b")), traits, plausible)))
     members, classes = members.coalesce(tasks), cut(components(links))
     step = math.log(1 / similarity)
     for heads in (*HEADS, None):
@@ -75,14 +82,12 @@ def link_classes(members: DataFrame, traits: Callable[[DataFrame], DataFrame], p
         is_head = (F.col("comp") != F.col("most")) & ((F.col("others") <= wanted) | (F.pmod(F.xxhash64("node", F.lit(heads or 0)), thin) == 0))
         parts = F.ceil(wanted * F.col("all") / TASK_PAIRS).cast("int")
         open_ = few(members.join(small(mixed), "key").select("key", "node", "comp", parts.alias("parts"), is_head.alias("is_head")))
-        known = cut(traits(open_.select("node").distinct()).withColumn("bin", F.floor(F.log("size") / step).cast("int")))
-        rows = open_.join(small(known, BROADCAST_ROWS // 8), "node")
+        rows = open_.join(traits.withColumn("bin", F.floor(F.log("size") / step).cast("int")), "node")
         asked = rows.where("is_head").withColumn("part", F.pmod(F.hash("node"), "parts")).withColumn("bin", F.explode(F.array(*(F.col("bin") + d for d in (-1, 0, 1)))))
         others = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        x, y = (lambda name, of=of: F.col(f"{of}.{name}") for of in "xy")
         both = others.alias("x").join(asked.alias("y").hint("shuffle_hash"), (x("key") == y("key")) & (x("part") == y("part")) & (x("bin") == y("bin")) & (x("comp") != y("comp")) & plausible(x, y))
         pairs = few(both.select(F.least(x("node"), y("node")).alias("a"), F.greatest(x("node"), y("node")).alias("b")).distinct())
-        found = cut(verify(pairs).select("a", "b"))
+        found = verify(pairs)
         members = open_.where("not is_head")
         if not found.isEmpty():
             links = cut(links.union(found).coalesce(tasks))

@@ -261,14 +261,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = F.expr(f"transform(sequence(0, size(sketch) div {rows} - 1), j -> xxhash64(j % {bands}, slice(sketch, j * {rows} + 1, {rows})))")
     members = shared_buckets(texts.select("node", F.explode(keys).alias("key")))
 
-    def traits(nodes: DataFrame) -> DataFrame:
-        return texts.select("node", F.col("n_words").alias("size"), "bits").join(nodes, "node")
+    traits = texts.select("node", F.col("n_words").alias("size"), "bits")
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = cut(pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct())
         used = docs.join(small(wanted), "d", "left_semi")
         both = pairs.join(used.select(F.col("d").alias("b"), F.col("text").alias("tb")), "b").join(used.select(F.col("d").alias("a"), F.col("text").alias("ta")), "a")
-        return _verified(both, similarity).distinct()
+        return cut(_verified(both, similarity).distinct())
 
     classes = cut(link_classes(members, traits, lambda x, y: plausible(x, y, similarity), verify, similarity).withColumnRenamed("node", "text_id"))
     reps = firsts.select("d1", "d2", F.col("m.d").alias("text_id")).join(classes, "text_id", "left").select("d1", "d2", F.coalesce("comp", "text_id").alias("class_id"))
