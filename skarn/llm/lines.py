@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import cut, stored
-from skarn.llm.linking import link_classes, shared_buckets, small
+from skarn.llm.linking import likely_in, link_classes, shared_buckets, with_likely
 
 #: Characters of a shingle and least Jaccard similarity of lines' sets of them.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -21,7 +21,7 @@ LEADERS, LONG = "aiqyAIQY19", 120
 FEW, MANY = 40, 24
 
 #: Longs of the bits that tell of two lines whether they can be similar.
-BIT_LONGS = 32
+BIT_LONGS = 16
 
 
 def shingles(line: Column, n: int = SHINGLE) -> Column:
@@ -108,8 +108,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unpacked = signed.select("node", *(c for x, y in zip(values[::2], values[1::2], strict=True) for c in (F.shiftright(x, 32).alias(x), F.pmod(F.col(x).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(1 << 32)).alias(y))))
 
     members = shared_buckets(band_keys(unpacked))
-    wanted = cut(signed.join(small(members.select("node").distinct()), "node", "left_semi").select("node", "h", "h2", F.col("first_doc").alias("d")))
-    texts = cut(lines.select("d", "h", "h2", "line").join(small(wanted), ["h", "h2", "d"]).select("node", "line").dropDuplicates(["node"]))
+    wanted = cut(signed.join(members.select("node").distinct(), "node", "left_semi").select("node", "h", "h2", F.col("first_doc").alias("d")))
+    some = likely_in(lines.select("d", "h", "h2", "line"), "h", wanted.select("h"))
+    texts = cut(some.join(wanted, ["h", "h2", "d"]).select("node", "line").dropDuplicates(["node"]))
 
     # each shingle turns one bit, so as many bits as differ between two sets, the sets differ in at least
     sets = texts.select("node", F.explode(hashed(line, SHINGLE)).alias("s"))
@@ -125,17 +126,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return cut(sizes).where(F.col("both") >= similarity * (F.col("all") - F.col("both")) - 1e-9).select("a", "b")
 
     classes = link_classes(members, traits, lambda x, y: plausible(x, y, similarity), verify, similarity)
-    classed = signed.select("node", "h", "h2", "first_doc", "n").join(small(classes), "node", "left")
+    classed = signed.select("node", "h", "h2", "first_doc", "n").join(classes, "node", "left")
     winners = classed.where("comp is not null").groupBy("comp").agg(F.min("first_doc").alias("keep_doc"))
-    flagged = cut(classed.where("comp is not null or n > 1").join(small(cut(winners)), "comp", "left").select("h", "h2", F.coalesce("comp", "node").alias("comp"), F.coalesce("keep_doc", "first_doc").alias("keep_doc")))
-    repeated = lines.select("d", "at", "h", "h2").join(small(flagged), ["h", "h2"])
+    flagged = cut(classed.where("comp is not null or n > 1").join(winners, "comp", "left").select("h", "h2", F.coalesce("comp", "node").alias("comp"), F.coalesce("keep_doc", "first_doc").alias("keep_doc")))
+    repeated = likely_in(lines.select("d", "at", "h", "h2"), "h", flagged.select("h")).join(flagged, ["h", "h2"])
     places = repeated.groupBy("d").agg(F.array_sort(F.collect_set(F.struct("comp", "at", (F.col("d") == F.col("keep_doc")).alias("own")))).alias("p"))
     stays = lambda x, i: x["own"] & ((i == 0) | (F.get("p", i - 1)["comp"] != x["comp"]))
-    gone = places.select(F.col("d").alias("_d"), F.transform(F.filter("p", lambda x, i: ~stays(x, i)), lambda x: x["at"]).alias("_gone"))
-    rest = docs.drop("n_lines", "n_removed").join(gone, F.col(id_col).cast("long") == F.col("_d"), "left").withColumn("_lines", F.split(F.col(text_col), "\n"))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.col("_lines")[i])
-    out = rest.withColumn("_kept", F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col)))
+    gone = cut(places.select("d", F.transform(F.filter("p", lambda x, i: ~stays(x, i)), lambda x: x["at"]).alias("gone")).where("size(gone) > 0"))
+    every = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("d"))
+    marked = with_likely(every, "d", gone.select("d"))
+    touched = marked.where("likely").select("row", "d").join(gone, "d", "left").select("row", "gone")
+    out = touched.unionByName(marked.where("not likely").select("row"), allowMissingColumns=True)
+    out = out.withColumn("lines", F.split(F.col("row")[text_col], "\n"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.col("lines")[i])
+    text = F.when(F.size("gone") > 0, F.array_join(kept, "\n")).otherwise(F.col("row")[text_col])
     return out.select(
-        *(F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
+        *(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")),
+        F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"),
     )

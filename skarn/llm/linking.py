@@ -27,10 +27,34 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
+def with_likely(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """df with the boolean ``likely``: true where the long ``column`` is one of values' (computed, one column), and for a few others.
+
+    A bitmap of 16 bits a value, up to 16 MB, is broadcast in rows of 4 KB, so
+    that what values don't hold need not be shuffled. With more values it
+    tells apart less, and stays right.
+    """
+    size = min(27, max(15, (16 * values.count()).bit_length()))
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - size)
+    word, bit = F.shiftright("p", 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))
+    words = values.select(place(values.columns[0]).alias("p")).groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits"))
+    rows = words.groupBy(F.shiftright("w", 9).alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("w", F.lit(512)).alias("w"), "bits"))).alias("m"))
+    rows = rows.select("_row", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(511).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("_bits"))
+    placed = df.withColumn("_p", place(column)).withColumn("_row", F.shiftright("_p", 15))
+    own = F.get("_bits", F.pmod(F.shiftright("_p", 6), F.lit(512)).cast("int"))
+    likely = F.coalesce(F.getbit(own, F.pmod("_p", F.lit(64)).cast("int")) == 1, F.lit(False))
+    return placed.join(F.broadcast(cut(rows)), "_row", "left").withColumn("likely", likely).drop("_row", "_p", "_bits")
+
+
+def likely_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows of df whose ``column`` is one of values', and a few others."""
+    return with_likely(df, column, values).where("likely").drop("likely")
+
+
 def shared_buckets(keyed: DataFrame) -> DataFrame:
     """The rows (key, node) whose key another node has, too. A node has a key once."""
     shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    return cut(keyed.join(small(shared), "key").select("key", "node"))
+    return cut(likely_in(keyed, "key", shared).join(shared, "key").select("key", "node"))
 
 
 def _plausible(pairs: DataFrame, traits: DataFrame, plausible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
