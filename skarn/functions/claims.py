@@ -15,16 +15,22 @@ def contradiction(differs: Column, before: Column, after: Column) -> Column:
 
 
 def swapped(claim_before: Column, claim_after: Column, before: Column, after: Column) -> Column:
-    """F16: both values are there, on the wrong sides."""
-    return (norm(claim_before) == norm(after)) & (norm(claim_after) == norm(before)) & (norm(before) != norm(after))
+    """F16: the measured value of after stands on the side of before: exchanged, or on both sides."""
+    return (norm(before) != norm(after)) & (norm(claim_before) == norm(after)) & ((norm(claim_after) == norm(before)) | (norm(claim_after) == norm(claim_before)))
+
+
+#: Fixed value: how a sentence states a change from one value to another.
+FROM_TO = r"(?i)(?:from|was)\s+([^,;]{1,80}?)\s+(?:to|into|and\s+is\s+now|,?\s*now)\s+([^,;.]{1,80})"
 
 
 def direction_reversed(text: Column, before: Column, after: Column) -> Column:
-    """'from X to Y' with the measured values the wrong way round."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(r"from `?([^ `]+)`? to `?([^ `]+)`?"), F.lit(1)).alias("x"), F.regexp_extract_all(text, F.lit(r"from `?([^ `]+)`? to `?([^ `]+)`?"), F.lit(2)).alias("y")
-    )
-    return (norm(before) != norm(after)) & F.exists(pairs, lambda p: (p["x"] == norm(after)) & (F.rtrim(p["y"], F.lit(".,;")) == norm(before)))
+    """'from X to Y' where X is part of the measured after and not of before, and Y the other way round."""
+    value = lambda i: F.regexp_extract_all(text, F.lit(FROM_TO), F.lit(i))
+    bare = lambda x: F.btrim(norm(x), F.lit("`'\" "))
+    pairs = F.zip_with(value(1), value(2), lambda x, y: F.struct(bare(x).alias("x"), bare(y).alias("y")))
+    b, a = norm(before), norm(after)
+    wrong = lambda p: (p["x"] != "") & (p["y"] != "") & F.contains(a, p["x"]) & ~F.contains(b, p["x"]) & F.contains(b, p["y"]) & ~F.contains(a, p["y"])
+    return F.coalesce((b != a) & F.exists(pairs, wrong), F.lit(False))
 
 
 def run_class(pre_failed: Column, post_failed: Column, same_output: Column) -> Column:

@@ -76,3 +76,38 @@ def churn_bin(n: Column) -> Column:
 def risk_band(score: Column, threshold: float, high: float = 0.75) -> Column:
     """UNSCORED, HIGH, MEDIUM or LOW."""
     return F.when(score.isNull() | F.isnan(score), "UNSCORED").when(score >= high, "HIGH").when(score >= threshold, "MEDIUM").otherwise("LOW")
+
+
+def first_id(*ids: Column) -> Column:
+    """The first id that is neither null nor empty, else empty."""
+    return F.coalesce(*(F.nullif(x, F.lit("")) for x in ids), F.lit(""))
+
+
+def duration_seconds(value: Column) -> Column:
+    """Seconds of 3, 9.202s or 1m26.4s; null if it is none of them."""
+    pattern = r"^(?:(\d+(?:\.\d+)?)m)?(\d+(?:\.\d+)?)s?$"
+    part = lambda i: F.nullif(F.regexp_extract(F.trim(value), pattern, i), F.lit("")).cast("double")
+    return F.coalesce(part(1), F.lit(0.0)) * 60 + part(2)
+
+
+def label_confidence(n_lines: Column, fan_out: Column, has_issue: Column) -> Column:
+    """How firm a blamed label is, by blamed lines, commits that the fix blames, and a named issue."""
+    c = 0.45 + F.least(n_lines, F.lit(20)) / 20 * 0.20 + 0.15 / F.sqrt(F.greatest(fan_out, F.lit(1))) + F.when(has_issue, 0.10).otherwise(0.0)
+    return F.bround(F.least(c, F.lit(0.92)), 2)
+
+
+def clean_confidence(descendants: Column) -> Column:
+    """P25: how firm a clean label is, by the commits that came after without blaming it."""
+    return F.bround(F.least(0.50 + F.sqrt(F.least(descendants, F.lit(2000)) / 2000) * 0.28, F.lit(0.78)), 2)
+
+
+def variant_index(case_id: Column, copy: Column, n: int, salt: str = "") -> Column:
+    """Which of n variants a copy of a case takes; copies rotate."""
+    start = F.floor(F.crc32(F.concat(case_id.cast("string"), F.lit(":" + salt))) / 7)
+    return F.pmod(start + copy, F.lit(n)).cast("int")
+
+
+def is_fix_subject(subject: Column) -> Column:
+    """a subject that tells of a repair (not of typos, style or docs) and is long or names an issue."""
+    repair = r"(?i)\b(fix(e[sd])?|bugfix|hotfix|patch(ed)?|resolve[sd]?|correct(ed)?)\b(?!\s+(typo|lint|format|style|doc|readme|comment|test))"
+    return subject.rlike(repair) & (subject.rlike(r"#\d+|[A-Z]+-\d+") | (F.length(subject) > 20))

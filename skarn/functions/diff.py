@@ -44,10 +44,33 @@ def count_features(diff: Column) -> dict[str, Column]:
     }
 
 
+#: What starts a comment line, by the extension of the first changed file.
+HASH_EXTENSIONS = ("py", "pyi", "sh", "bash", "zsh", "yml", "yaml", "toml", "rb", "pl", "r", "jl", "tf", "dockerfile")
+SLASH_EXTENSIONS = (
+    "js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "java", "c", "h", "cc", "cpp", "hpp", "cs", "go",
+    "rs", "swift", "kt", "scala", "php", "dart", "css", "scss", "less", "sql",
+)
+MARKUP_EXTENSIONS = ("html", "vue", "svelte", "xml", "md")
+
+
+def comment_pattern(diff: Column) -> Column:
+    """Pattern of a comment line in the first changed file; null for an unknown extension."""
+    ext = F.lower(F.regexp_extract(F.get(files_in_diff(diff), F.lit(0)), r"\.([^.]+)$", 1))
+    return F.when(ext.isin(*HASH_EXTENSIONS), r"^\s*#").when(ext.isin(*SLASH_EXTENSIONS), r"^\s*(//|/\*|\*|<!--|-->)").when(ext.isin(*MARKUP_EXTENSIONS), r"^\s*(<!--|-->)")
+
+
 def cosmetic_only(diff: Column) -> Column:
-    """the changed lines are the same on both sides once white space is gone."""
-    squash = lambda s: F.array_sort(F.filter(F.transform(changed_lines(diff, s), lambda x: F.regexp_replace(F.substring(x, 2, 1 << 30), r"\s+", "")), lambda x: x != ""))
-    return (F.size(changed_lines(diff)) > 0) & (squash("-") == squash("+"))
+    """every changed line that isn't blank is a comment, or both sides have the same lines once runs of white space are one blank."""
+    squash = lambda s: F.filter(F.transform(changed_lines(diff, s), lambda x: F.btrim(F.regexp_replace(F.substring(x, 2, 1 << 30), r"\s+", " "))), lambda x: x != "")
+    pattern = F.coalesce(comment_pattern(diff), F.lit("^$"))
+    comments = F.forall(F.concat(squash("-"), squash("+")), lambda x: F.rlike(x, pattern))
+    return (F.size(squash("-")) + F.size(squash("+")) > 0) & (comments | (F.array_sort(squash("-")) == F.array_sort(squash("+"))))
+
+
+def already_word_diff(diff: Column) -> Column:
+    """F32: word-diff markers and no line that begins with a sign but for file headers."""
+    signed = F.exists(lines(diff), lambda x: x.rlike("^[-+]") & ~x.rlike(r"^(\+\+\+|---)"))
+    return (F.contains(diff, F.lit("{+")) | F.contains(diff, F.lit("[-"))) & ~signed
 
 
 def reverse_hunks(diffs: DataFrame, id_col: str = "id", diff_col: str = "diff", flip: bool = True) -> DataFrame:

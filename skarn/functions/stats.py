@@ -19,3 +19,19 @@ def mcnemar_p(b: Column, c: Column) -> Column:
 def guarded(x: Column, y: Column) -> Column:
     """x / y, 0 when y is."""
     return F.coalesce(F.try_divide(x, y), F.lit(0.0))
+
+
+def seed_band(a: Column, b: Column) -> Column:
+    """The values of two seeds as one number or a range."""
+    return F.when(a == b, a.cast("string")).otherwise(F.concat_ws("-", F.least(a, b).cast("string"), F.greatest(a, b).cast("string")))
+
+
+def readable_move(base_a: Column, base_b: Column, new_a: Column, new_b: Column) -> Column:
+    """Whether both seeds move the same way by more than the base seeds differ (and more than 2)."""
+    a, b, band = new_a - base_a, new_b - base_b, F.greatest(F.abs(base_a - base_b), F.lit(2))
+    return (
+        F.when((a == 0) & (b == 0), "no - unchanged")
+        .when(F.signum(a) * F.signum(b) <= 0, "no - seeds disagree")
+        .when(F.least(F.abs(a), F.abs(b)) <= band, F.concat(F.lit("no - inside seed band (+-"), band.cast("string"), F.lit(")")))
+        .otherwise(F.format_string("YES (%+d/%+d)", a, b))
+    )

@@ -72,8 +72,13 @@ def sentences(text: Column) -> Column:
 
 
 def flatten_dashes(text: Column) -> Column:
-    """Unicode dashes, hyphens and underscores become blanks; lower case."""
-    return F.lower(F.regexp_replace(text, "[-_‐-―−]", " "))
+    """Runs of Unicode dashes, hyphens and underscores, and of white space, become one blank; lower case."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[-_‐-―−]+", " "), r"\s+", " ")
+
+
+def terminated(text: Column) -> Column:
+    """Up to the last . ! or ?, empty without one."""
+    return F.btrim(F.regexp_extract(text, r"(?s)^(.*[.!?])", 1))
 
 
 def norm(text: Column) -> Column:

@@ -69,3 +69,16 @@ def longest_shared_run(answers: DataFrame, corpus: DataFrame, answer_id: str, an
     w = Window.partitionBy("a", "b", "d").orderBy("i")
     hits = a.join(b, "gram").select("a", "b", "i", (F.col("i") - F.col("j")).alias("d")).withColumn("island", F.col("i") - F.row_number().over(w))
     return hits.groupBy("a", "b", "d", "island").agg((F.count(F.lit(1)) + n - 1).alias("run")).groupBy(F.col("a").alias(answer_id)).agg(F.max("run").alias("longest_run"))
+
+
+#: Fixed value: explanations that tell of a missing guard.
+GUARD = (
+    r"(?i)guard|missing check|missing.{0,12}(check|validation)|nil check|null check|unchecked|without check|no check|validat|sanitiz|bounds|out of range|"
+    r"divide by zero|division by zero|zero.{0,10}(check|divisor)|empty (check|string|slice|list)|(nil|null)[ -]?(pointer|deref)"
+)
+
+
+def guard_share(findings: DataFrame, explanation: str, by: list[str]) -> DataFrame:
+    """Findings, and those that tell of a missing guard."""
+    hit = F.coalesce(F.col(explanation).rlike(GUARD), F.lit(False))
+    return findings.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("guards"), F.round(F.avg(hit.cast("double")), 6).alias("share"))

@@ -46,11 +46,12 @@ def first_touches_before(df: DataFrame, place: str, who: str, ts: str, id_col: s
 
 
 def entropy(df: DataFrame, keys: list[str], part: str, weight: str) -> DataFrame:
-    """Shannon entropy of a weight over parts, by its maximum; 0 for a total of 0 or fewer than two parts."""
-    parts = df.groupBy(*keys, part).agg(F.sum(weight).alias("w")).where("w > 0")
-    total = parts.groupBy(*keys).agg(F.sum("w").alias("t"), F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.log2("w")).alias("wl"))
+    """Shannon entropy of a weight (not negative) over all parts, those without weight counted, by its maximum; 0 for a total of 0 or fewer than two parts."""
+    parts = df.groupBy(*keys, part).agg(F.sum(weight).alias("w"))
+    bits = F.when(F.col("w") > 0, F.col("w") * F.log2("w")).otherwise(0.0)
+    total = parts.groupBy(*keys).agg(F.sum("w").alias("t"), F.count(F.lit(1)).alias("n"), F.sum(bits).alias("wl"))
     h = (F.log2("t") - F.col("wl") / F.col("t")) / F.log2(F.col("n").cast("double"))
-    return total.select(*keys, F.round(F.when(F.col("n") < 2, 0.0).otherwise(h), 6).alias("entropy"))
+    return total.select(*keys, F.round(F.when((F.col("n") < 2) | (F.col("t") == 0), 0.0).otherwise(h), 6).alias("entropy"))
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -16,13 +16,17 @@ def majority_vote(findings: DataFrame, samples: DataFrame) -> DataFrame:
     return votes.join(need, "commit").where("votes >= need").select("commit", "category", "votes", F.col("f.explanation").alias("explanation"))
 
 
-def verify_reason(rows: DataFrame) -> DataFrame:
-    """why an analysis is refused, or ok. rows: id, buggy, summary, n_findings, shortest (explanation's length)."""
+def verify_reason(rows: DataFrame, hinted: bool = True, least: int = 30) -> DataFrame:
+    """why an analysis is refused, or ok. rows: id, buggy, summary, explanations (null: none).
+
+    Of a teacher that was not hinted, silence on a defect is its verdict and stays.
+    """
+    found = F.coalesce("explanations", F.array().cast("array<string>"))
     reason = (
-        F.when(F.length(F.trim(F.coalesce("summary", F.lit("")))) == 0, "no summary")
-        .when(F.col("buggy") & (F.col("n_findings") == 0), "silent on a defect")
-        .when(~F.col("buggy") & (F.col("n_findings") > 2), "too many findings on a clean commit")
-        .when((F.col("n_findings") > 0) & (F.col("shortest") < 30), "explanation too short")
+        F.when(F.exists(found, lambda x: F.length(F.trim(x)) < least), "explanation too thin to learn from")
+        .when(F.trim(F.coalesce("summary", F.lit(""))) == "", "no summary")
+        .when(F.lit(hinted) & F.col("buggy") & (F.size(found) == 0), "SZZ says buggy, teacher found nothing")
+        .when(~F.col("buggy") & (F.size(found) > 2), "SZZ says clean, teacher found several defects")
         .otherwise("ok")
     )
     return rows.select("id", reason.alias("reason"))

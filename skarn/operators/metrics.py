@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.stats import guarded, mcnemar_p
@@ -75,8 +75,8 @@ def mcnemar(df: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame:
     return out.withColumn("p", F.round(mcnemar_p(F.col("only_a"), F.col("only_b")), 6))
 
 
-def kappa(df: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame:
-    """Cohen's kappa of two graders over any grades; null where chance agrees always."""
+def kappa(df: DataFrame, a: Column, b: Column, by: list[str], at_chance: float | None = None) -> DataFrame:
+    """Cohen's kappa of two graders over any grades; ``at_chance`` where chance agrees always (X5: null, X6: 1.0)."""
     keys = by or ["_all"]
     rows = df.withColumn("_all", F.lit(0)).select(*keys, a.alias("a"), b.alias("b")).where("a is not null and b is not null")
     cells = rows.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -86,7 +86,7 @@ def kappa(df: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame:
     chance = left.join(right, [*keys, "g"]).groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb")).alias("chance"))
     pe = F.coalesce("chance", F.lit(0)) / (F.col("total") * F.col("total"))
     po = F.col("same") / F.col("total")
-    return total.join(chance, keys, "left").select(*by, F.col("total").alias("n"), F.round(po, 6).alias("agreement"), F.round(F.try_divide(po - pe, 1 - pe), 6).alias("kappa"))
+    return total.join(chance, keys, "left").select(*by, F.col("total").alias("n"), F.round(po, 6).alias("agreement"), F.round(F.when(pe < 1, F.try_divide(po - pe, 1 - pe)).otherwise(F.lit(at_chance)), 6).alias("kappa"))
 
 
 def calibration(df: DataFrame, band: Column, correct: Column) -> DataFrame:
@@ -115,3 +115,26 @@ def bootstrap_mean_difference(df: DataFrame, block: str, value: Column, other: C
     d = F.round(guarded(F.col("x") - F.col("y"), F.col("n")), 9)
     all_draws = per_draw.agg(F.array_sort(F.collect_list(d)).alias("d"))  # one number a draw
     return all_draws.select(F.round(F.get("d", F.lit(int(0.025 * draws))), 6).alias("low"), F.round(F.get("d", F.lit(int(0.975 * draws))), 6).alias("high"), F.round(F.size(F.filter("d", lambda x: x <= 0)) / draws, 6).alias("p"))
+
+
+def overlap_report(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
+    """Count, mean, upper median (the sorted value at n // 2) and share above 0."""
+    v = df.select(*by, value.alias("v"))
+    w = Window.partitionBy(*by).orderBy("v")
+    ranked = v.withColumn("at", F.row_number().over(w) - 1)
+    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.avg((F.col("v") > 0).cast("double")), 6).alias("nonzero"))
+    return ranked.join(n, by).where(F.col("at") == F.floor(F.col("n") / 2)).select(*by, "n", "mean", F.round("v", 6).alias("median"), "nonzero")
+
+
+def pair_outcomes(df: DataFrame, pair: str, positive: Column, predicted: Column, by: list[str]) -> DataFrame:
+    """Of pairs with both a positive and a negative side: both flagged, neither, correct, backwards."""
+    sides = df.groupBy(*by, pair).agg(F.bool_or(F.when(positive, predicted)).alias("p"), F.bool_or(F.when(~positive, predicted)).alias("q")).where("p is not null and q is not null")
+    return sides.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), *(F.count_if(F.expr(c)).alias(n) for n, c in (("both", "p and q"), ("neither", "not p and not q"), ("correct", "p and not q"), ("backwards", "q and not p"))))
+
+
+def standardise_log1p(df: DataFrame, columns: list[str]) -> DataFrame:
+    """M3: log1p of values (negative ones are 0), less the mean, by the population's deviation (1 where it is under 1e-6)."""
+    logs = df.select(*(F.log1p(F.greatest(F.col(c), F.lit(0))).alias(c) if c in columns else F.col(c) for c in df.columns))
+    stats = logs.agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    scaled = lambda c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") < 1e-6, 1.0).otherwise(F.col(f"_s_{c}"))
+    return logs.join(F.broadcast(stats)).select(*(F.round(scaled(c), 6).alias(c) if c in columns else F.col(c) for c in df.columns))  # stats is one row

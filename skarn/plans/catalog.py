@@ -7,19 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions import claims, coerce, diff, text
-from skarn.operators import audits, history, labels, metrics, ranking
+from skarn.functions import claims, coerce, diff, stats, text
+from skarn.operators import audits, history, joins, labels, metrics, ranking
 from skarn.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+EXPECTED_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            EXPECTED_SQL[f.__name__] = sql
         return f
 
     return register
@@ -143,12 +143,12 @@ def cohen_kappa(spark, sf_dir):
     WITH {_LD}, g AS (SELECT CASE WHEN n_chars < 800 THEN 'a' WHEN n_chars < 3000 THEN 'b' ELSE 'c' END AS x, CASE WHEN quality = 0 THEN 'a' WHEN toxic = 1 THEN 'b' ELSE 'c' END AS y FROM labelled),
     t AS (SELECT count(*) AS n, avg((x = y)::INT) AS po FROM g),
     e AS (SELECT sum(a.k * b.k) / any_value(t.n * t.n) AS pe FROM (SELECT x, count(*) AS k FROM g GROUP BY x) a JOIN (SELECT y, count(*) AS k FROM g GROUP BY y) b ON x = y, t)
-    SELECT n, {_KAPPA} FROM t, e
+    SELECT n, round(po, 6) AS agreement, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) ELSE 1.0 END, 6) AS kappa FROM t, e
 """)
 def kappa_3way(spark, sf_dir):
     x = F.when(F.col("n_chars") < 800, "a").when(F.col("n_chars") < 3000, "b").otherwise("c")
     y = F.when(F.col("quality") == 0, "a").when(F.col("toxic") == 1, "b").otherwise("c")
-    return metrics.kappa(labelled(spark, sf_dir), x, y, [])
+    return metrics.kappa(labelled(spark, sf_dir), x, y, [], at_chance=1.0)
 
 
 @query(f"WITH {_LD}, c AS (SELECT CASE WHEN score >= .75 THEN 'HIGH' WHEN score >= .5 THEN 'MEDIUM' ELSE 'LOW' END AS band, count(*) AS n, count(*) AS graded, count(*) FILTER (t = p) AS correct FROM labelled GROUP BY band) SELECT *, round(correct / graded, 6) AS share FROM c")
@@ -372,15 +372,25 @@ def first_sentence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("sentence"))
 
 
-@query("SELECT p_partkey, lower(regexp_replace(p_name, '[-_‐-―−]', ' ', 'g')) AS flat FROM part")
+_DASHED = "concat(p_brand, '—_', p_type, '‑ ', upper(p_name), ' -')"
+
+
+@query(f"SELECT p_partkey, regexp_replace(regexp_replace(lower({_DASHED}), '[-_‐-―−]+', ' ', 'g'), '\\s+', ' ', 'g') AS flat FROM part")
 def flatten_dashes(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.flatten_dashes(F.col("p_name")).alias("flat"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.flatten_dashes(F.expr(_DASHED)).alias("flat"))
+
 
+# explanations made up from order lines
+_EXPLAINED = "CASE l_linenumber % 5 WHEN 0 THEN concat('Missing null check on part ', l_partkey) WHEN 1 THEN 'input is never sanitized' WHEN 2 THEN concat('price ', l_extendedprice, ' changed') WHEN 3 THEN 'Division by Zero when empty' ELSE 'wrong name' END"
 
-@query("SELECT event_type, count(*) AS n, count(*) FILTER (regexp_matches(props, '(?i)null|nil|none|check|guard')) AS guards, round(avg(regexp_matches(props, '(?i)null|nil|none|check|guard')::INT), 6) AS share FROM events GROUP BY event_type")
+
+@query(f"""
+    SELECT flag AS corpus, count(*) AS n, count(*) FILTER (g) AS guards, round(avg(g::INT), 6) AS share
+    FROM (SELECT l_returnflag AS flag, CASE l_linenumber % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 3 THEN true ELSE false END AS g FROM lineitem) GROUP BY 1
+""")
 def guard_share(spark, sf_dir):
-    hit = F.coalesce(F.col("props").rlike("(?i)null|nil|none|check|guard"), F.lit(False))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("guards"), F.round(F.avg(hit.cast("double")), 6).alias("share"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("corpus"), F.expr(_EXPLAINED).alias("explanation"))
+    return audits.guard_share(rows, "explanation", ["corpus"])
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?Z?', '<time>', 'g'), '[0-9]{1,2}:[0-9]{2}:[0-9]{2}', '<time>', 'g'), '[0-9]+(\\.[0-9]+)? ?(ms|s|sec|seconds|minutes)([^A-Za-z]|$)', '<duration>\\3', 'g') AS clean FROM pages")
@@ -426,11 +436,12 @@ def distinct_devs_before(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT user_id, event_type, sum(value) AS w FROM events GROUP BY ALL HAVING sum(value) > 0), t AS (SELECT *, sum(w) OVER (PARTITION BY user_id) AS t, count(*) OVER (PARTITION BY user_id) AS n FROM p)
-    SELECT user_id, round(CASE WHEN any_value(n) < 2 THEN 0 ELSE -sum(w / t * log2(w / t)) / log2(any_value(n)) END, 6) AS entropy FROM t GROUP BY user_id
+    WITH p AS (SELECT user_id, event_type, sum(CASE WHEN length(event_type) % 2 = 0 THEN value ELSE 0 END) AS w FROM events GROUP BY ALL), t AS (SELECT *, sum(w) OVER (PARTITION BY user_id) AS t, count(*) OVER (PARTITION BY user_id) AS n FROM p)
+    SELECT user_id, round(CASE WHEN any_value(n) < 2 OR any_value(t) = 0 THEN 0 ELSE -sum(CASE WHEN w > 0 THEN w / t * log2(w / t) ELSE 0 END) / log2(any_value(n)) END, 6) AS entropy FROM t GROUP BY user_id
 """)
 def churn_entropy(spark, sf_dir):
-    return history.entropy(table(spark, sf_dir, "events"), ["user_id"], "event_type", "value")
+    weight = F.when(F.length("event_type") % 2 == 0, F.col("value")).otherwise(0.0)
+    return history.entropy(table(spark, sf_dir, "events").withColumn("w", weight), ["user_id"], "event_type", "w")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -514,12 +525,18 @@ def coerce_confidence(spark, sf_dir):
     return spark.createDataFrame(rows, "id int, raw string").select("id", coerce.confidence(F.col("raw")).alias("confidence"))
 
 
-_ANALYSES = [(1, True, "s", 1, 40), (2, True, "s", 0, None), (3, False, "s", 3, 50), (4, True, " ", 1, 40), (5, True, "s", 1, 10), (6, False, "s", 0, None)]
-
-
-@query("SELECT * FROM (VALUES (1, 'ok'), (2, 'silent on a defect'), (3, 'too many findings on a clean commit'), (4, 'no summary'), (5, 'explanation too short'), (6, 'ok')) v(id, reason)")
+@query("""
+    WITH a AS (SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 1 AS buggy, l_orderkey % 4 AS n, l_suppkey % 5 = 0 AS thin, l_partkey % 7 = 0 AS blank FROM lineitem)
+    SELECT concat(l_orderkey, '-', l_linenumber) AS id, CASE WHEN n > 0 AND thin THEN 'explanation too thin to learn from' WHEN blank THEN 'no summary' WHEN buggy AND n = 0 THEN 'SZZ says buggy, teacher found nothing'
+           WHEN NOT buggy AND n > 2 THEN 'SZZ says clean, teacher found several defects' ELSE 'ok' END AS reason FROM a
+""")
 def verify_reason(spark, sf_dir):
-    return labels.verify_reason(spark.createDataFrame(_ANALYSES, "id int, buggy boolean, summary string, n_findings int, shortest int"))
+    explanation = F.when(F.col("l_suppkey") % 5 == 0, F.rpad(F.lit("too thin"), 40, " ")).otherwise("an explanation of more than thirty characters")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), (F.col("l_linenumber") % 2 == 1).alias("buggy"), F.when(F.col("l_partkey") % 7 == 0, " ").otherwise("s").alias("summary"),
+        F.array_repeat(explanation, (F.col("l_orderkey") % 4).cast("int")).alias("explanations"),
+    )
+    return labels.verify_reason(rows)
 
 
 _REMOVED = [("f1", 100, "a.py", n) for n in range(1, 7)] + [("f2", 50, "b.py", 1)]
@@ -571,14 +588,169 @@ def count_features(spark, sf_dir):
     return _diffs(spark).select("id", *(f[n].alias(n) for n in ("added", "removed", "net", "ratio", "added_chars", "removed_chars", "net_chars")))
 
 
-_CLAIMS = [(1, True, "3", " 3", "went from 5 to 3", "3", "5"), (2, False, "3", "5", "from 3 to 5.", "3", "5"), (3, True, "5", "3", "x", "3", "5")]
+# claims made up from order lines: the measured values are those of quantity and line number
+_MEASURED = "SELECT concat(l_orderkey, '-', l_linenumber) AS id, CAST(CAST(l_quantity AS INT) AS {t}) AS b, CAST(l_linenumber AS {t}) AS a, l_orderkey % 4 AS k, l_partkey % 4 AS m FROM {src}"
 
 
-@query("SELECT * FROM (VALUES (1, 'says the runs differ but gives equal values', false, true), (2, 'says the runs agree but gives unequal values', false, false), (3, NULL, true, false)) v(id, contradiction, swapped, reversed)")
+@query(f"""
+    WITH v AS ({_MEASURED.format(t='VARCHAR', src='lineitem')}),
+    c AS (SELECT *, CASE k WHEN 1 THEN a WHEN 2 THEN a ELSE b END AS cb, CASE k WHEN 1 THEN b ELSE a END AS ca, CASE WHEN m IN (0, 3) THEN b ELSE a END AS x, CASE WHEN m IN (0, 3) THEN a ELSE b END AS y FROM v)
+    SELECT id, CASE WHEN k < 3 AND cb = ca THEN 'says the runs differ but gives equal values' WHEN k = 3 AND cb <> ca THEN 'says the runs agree but gives unequal values' END AS contradiction,
+           a <> b AND k IN (1, 2) AS swapped, a <> b AND m < 3 AND contains(a, x) AND NOT contains(b, x) AND contains(b, y) AND NOT contains(a, y) AS reversed FROM c
+""")
 def claim_checks(spark, sf_dir):
-    rows = spark.createDataFrame(_CLAIMS, "id int, differs boolean, b string, a string, text string, before string, after string")
-    c = F.col
-    return rows.select("id", claims.contradiction(c("differs"), c("b"), c("a")).alias("contradiction"), claims.swapped(c("b"), c("a"), c("before"), c("after")).alias("swapped"), claims.direction_reversed(c("text"), c("before"), c("after")).alias("reversed"))
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_claim_lines")
+    v, c = spark.sql(_MEASURED.format(t="STRING", src="_claim_lines")), F.col
+    rows = v.withColumn("cb", F.expr("CASE k WHEN 1 THEN concat(' ', a) WHEN 2 THEN a ELSE b END")).withColumn("ca", F.expr("CASE k WHEN 1 THEN b ELSE a END"))
+    said = F.expr("CASE m WHEN 0 THEN concat('It went from `', b, '` to ', a, '.') WHEN 1 THEN concat('The value was ', a, ' and is now ', b, ', ok') WHEN 2 THEN concat('changed from ', a, ' into ', b) ELSE concat(b, ' became ', a) END")
+    return rows.select("id", claims.contradiction(c("k") < 3, c("cb"), c("ca")).alias("contradiction"), claims.swapped(c("cb"), c("ca"), c("b"), c("a")).alias("swapped"), claims.direction_reversed(said, c("b"), c("a")).alias("reversed"))
+
+
+# diffs made up from order lines: an indented line, a comment, a label with a blank less, another value
+_EDITED = (
+    "concat('--- a/f', l_linenumber, '.', CASE WHEN l_orderkey % 3 = 0 THEN 'txt' ELSE 'py' END, chr(10), '+++ b/f', l_linenumber, '.', CASE WHEN l_orderkey % 3 = 0 THEN 'txt' ELSE 'py' END, chr(10), '@@ -1 +1 @@', chr(10), "
+    "CASE l_partkey % 4 WHEN 0 THEN concat('-x  = ', l_suppkey, chr(10), '+    x = ', l_suppkey) WHEN 1 THEN concat('-  # old', chr(10), '+# new ', l_suppkey) "
+    "WHEN 2 THEN concat('->Jatim<', chr(10), '+>Ja tim<') ELSE concat('-x = 1', chr(10), '+x = ', l_suppkey, chr(10), '+') END)"
+)
+
+
+@query("SELECT concat(l_orderkey, '-', l_linenumber) AS id, l_partkey % 4 = 0 OR l_partkey % 4 = 1 AND l_orderkey % 3 <> 0 OR l_partkey % 4 = 3 AND l_suppkey = 1 AS cosmetic FROM lineitem")
+def cosmetic_diffs(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), diff.cosmetic_only(F.expr(_EDITED)).alias("cosmetic"))
+
+
+_MARKED = "concat('+++ b/x.py', chr(10), CASE p_size % 4 WHEN 0 THEN concat('a {+', p_name, '+}') WHEN 1 THEN concat('-', p_name, chr(10), 'a [-b-]') WHEN 2 THEN concat('+', p_name) ELSE 'a [-b-] c' END)"
+
+
+@query("SELECT p_partkey, p_size % 4 IN (0, 3) AS marked FROM part")
+def word_diff_detected(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", diff.already_word_diff(F.expr(_MARKED)).alias("marked"))
+
+
+_SUBJECT = "CASE o_orderkey % 7 WHEN 0 THEN concat('Fixes #', o_custkey) WHEN 1 THEN 'fix typo in the long readme text' WHEN 2 THEN 'Fixed' WHEN 3 THEN concat('hotfix for overflow in order ', o_orderkey) WHEN 4 THEN 'resolve JIRA-12' WHEN 5 THEN 'prefix the names of all order fields' ELSE 'corrected  formats, then patched the reader' END"
+
+
+@query(f"""
+    SELECT o_orderkey, len(list_filter(regexp_extract_all(s, '(?i)\\b(fix(e[sd])?|bugfix|hotfix|patch(ed)?|resolve[sd]?|correct(ed)?)\\b(\\s+(typo|lint|format|style|doc|readme|comment|test))?'),
+           lambda x: NOT regexp_matches(x, '(?i)\\s(typo|lint|format|style|doc|readme|comment|test)$'))) > 0 AND (regexp_matches(s, '#\\d+|[A-Z]+-\\d+') OR length(s) > 20) AS is_fix FROM (SELECT o_orderkey, {_SUBJECT} AS s FROM orders)
+""")
+def fix_subjects(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", coerce.is_fix_subject(F.expr(_SUBJECT)).alias("is_fix"))
+
+
+@query("""
+    SELECT l_orderkey, count(*) AS n, round_even(least(0.45 + least(count(*), 20) / 20 * 0.2 + 0.15 / sqrt(count(DISTINCT l_suppkey) + 4) + CASE WHEN bool_or(l_returnflag = 'R') THEN 0.1 ELSE 0 END, 0.92), 2) AS buggy,
+           round_even(least(0.5 + sqrt(least(max(l_partkey), 2000) / 2000) * 0.28, 0.78), 2) AS clean FROM lineitem GROUP BY 1
+""")
+def label_confidences(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("l_suppkey") + 4).alias("fan"), F.bool_or(F.col("l_returnflag") == "R").alias("issue"), F.max("l_partkey").alias("later"))
+    return g.select("l_orderkey", "n", coerce.label_confidence(F.col("n"), F.col("fan"), F.col("issue")).alias("buggy"), coerce.clean_confidence(F.col("later")).alias("clean"))
+
+
+@query()
+def variant_indices(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", coerce.variant_index(F.col("o_orderkey"), F.col("o_custkey"), 7, "check").alias("variant"))
+
+
+_DURATION = "CASE l_linenumber % 4 WHEN 0 THEN concat(l_suppkey, 'm', l_partkey, '.5s') WHEN 1 THEN concat(' ', l_partkey) WHEN 2 THEN concat(l_suppkey, 'h') ELSE concat(l_partkey, '.25s') END"
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN l_suppkey * 60 + l_partkey + 0.5::DOUBLE WHEN 1 THEN l_partkey::DOUBLE WHEN 2 THEN NULL ELSE l_partkey + 0.25::DOUBLE END AS seconds FROM lineitem")
+def durations(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", coerce.duration_seconds(F.expr(_DURATION)).alias("seconds"))
+
+
+@query("SELECT doc_id, trim(regexp_extract(text, '(?s)^(.*[.!?])', 1), ' ') AS whole FROM documents")
+def terminated_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.terminated(F.col("text")).alias("whole"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN user_id::VARCHAR ELSE '' END AS id FROM events")
+def first_ids(spark, sf_dir):
+    k = F.col("event_id") % 3
+    return table(spark, sf_dir, "events").select("event_id", coerce.first_id(F.when(k == 0, F.col("event_type")).when(k == 1, ""), F.when(k < 2, F.col("user_id").cast("string"))).alias("id"))
+
+
+@query("""
+    WITH m AS (SELECT l_orderkey, l_linenumber, l_linenumber AS a, l_partkey % 5 AS b, l_suppkey % 11 AS c, l_orderkey % 13 AS d FROM lineitem), n AS (SELECT *, c - a AS x, d - b AS y, greatest(abs(a - b), 2) AS w FROM m)
+    SELECT l_orderkey, l_linenumber, CASE WHEN a = b THEN a::VARCHAR ELSE concat(least(a, b), '-', greatest(a, b)) END AS band,
+           CASE WHEN x = 0 AND y = 0 THEN 'no - unchanged' WHEN NOT (x > 0 AND y > 0 OR x < 0 AND y < 0) THEN 'no - seeds disagree'
+                WHEN least(abs(x), abs(y)) <= w THEN concat('no - inside seed band (+-', w, ')') ELSE concat('YES (', CASE WHEN x > 0 THEN '+' ELSE '' END, x, '/', CASE WHEN y > 0 THEN '+' ELSE '' END, y, ')') END AS readable FROM n
+""")
+def seed_readability(spark, sf_dir):
+    a, b, c, d = F.col("l_linenumber").cast("long"), F.col("l_partkey") % 5, F.col("l_suppkey") % 11, F.col("l_orderkey") % 13
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", stats.seed_band(a, b).alias("band"), stats.readable_move(a, b, c, d).alias("readable"))
+
+
+@query("SELECT lang, count(*) AS n, round(avg(v), 6) AS mean, round(list_sort(list(v))[count(*) // 2 + 1], 6) AS median, round(avg((v > 0)::INT), 6) AS nonzero FROM (SELECT lang, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars / (n_chars + 1000.0) END AS v FROM documents) GROUP BY lang")
+def overlap_by_lang(spark, sf_dir):
+    return metrics.overlap_report(table(spark, sf_dir, "documents"), F.when(F.col("doc_id") % 3 == 0, 0.0).otherwise(score()), ["lang"])
+
+
+@query("""
+    WITH s AS (SELECT l_returnflag, l_orderkey, bool_or(l_discount > 0.05) FILTER (l_linenumber % 2 = 1) AS p, bool_or(l_discount > 0.05) FILTER (l_linenumber % 2 = 0) AS q FROM lineitem GROUP BY ALL)
+    SELECT l_returnflag, count(*) AS pairs, count(*) FILTER (p AND q) AS both, count(*) FILTER (NOT p AND NOT q) AS neither, count(*) FILTER (p AND NOT q) AS correct, count(*) FILTER (q AND NOT p) AS backwards FROM s WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY 1
+""")
+def pair_outcomes(spark, sf_dir):
+    return metrics.pair_outcomes(table(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_linenumber") % 2 == 1, F.col("l_discount") > 0.05, ["l_returnflag"])
+
+
+@query("""
+    WITH l AS (SELECT c_custkey, ln(1 + greatest(c_acctbal, 0)) AS a, ln(1 + c_nationkey) AS b FROM customer)
+    SELECT c_custkey, round((a - avg(a) OVER ()) / (CASE WHEN stddev_pop(a) OVER () < 1e-6 THEN 1 ELSE stddev_pop(a) OVER () END), 6) AS c_acctbal, round((b - avg(b) OVER ()) / (CASE WHEN stddev_pop(b) OVER () < 1e-6 THEN 1 ELSE stddev_pop(b) OVER () END), 6) AS c_nationkey FROM l
+""")
+def standardised_metrics(spark, sf_dir):
+    return metrics.standardise_log1p(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey"])
+
+
+_SPEND = "SELECT o_custkey AS c_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS spend FROM orders GROUP BY 1"
+
+
+def _spend(spark, sf_dir):
+    g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
+    return g.agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spend"))
+
+
+@query(f"SELECT c_custkey, c_name, coalesce(n_orders, 0) AS n_orders, coalesce(spend, 0) AS spend, n_orders IS NOT NULL AS matched FROM customer LEFT JOIN ({_SPEND}) USING (c_custkey)")
+def metrics_zero_filled(spark, sf_dir):
+    return joins.zero_filled(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), _spend(spark, sf_dir), "c_custkey")
+
+
+@query(f"SELECT c_custkey, c_name, n_orders, spend FROM customer JOIN ({_SPEND}) USING (c_custkey)")
+def metrics_matched_only(spark, sf_dir):
+    return joins.matched_only(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), _spend(spark, sf_dir), "c_custkey")
+
+
+@query("SELECT a.doc_id, a.quality, a.quality * b.toxic AS quality_b FROM labels a JOIN labels b USING (doc_id) WHERE a.doc_id % 5 > 0 AND b.doc_id % 7 > 0")
+def paired_results(spark, sf_dir):
+    rows, error = table(spark, sf_dir, "labels"), lambda n: F.when(F.col("doc_id") % n == 0, "failed")
+    return joins.paired(rows.withColumn("error", error(5)), rows.withColumn("quality", F.col("quality") * F.col("toxic")).withColumn("error", error(7)), "doc_id", "error", ["quality"])
+
+
+@query("SELECT l_orderkey, avg(l_discount) FILTER (l_linenumber % 2 = 1) AS mean_a, avg(l_discount) FILTER (l_linenumber % 2 = 0) AS mean_b FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber % 2) = 2")
+def paired_group_means(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", (F.col("l_linenumber") % 2).alias("arm"))
+    return joins.paired_means(rows.where("arm = 1"), rows.where("arm = 0"), "l_orderkey", "l_discount")
+
+
+@query("SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
+def ids_in_all_arms(spark, sf_dir):
+    return joins.ids_of_all(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query("SELECT doc_id, lang, NULL::BIGINT AS item_id FROM documents UNION ALL SELECT NULL, NULL, item_id FROM benchmark")
+def union_of_parts(spark, sf_dir):
+    return joins.union_parts(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "benchmark").select("item_id"))
+
+
+@query("""
+    WITH v AS (SELECT DISTINCT l_orderkey, l_linenumber AS r, l_discount > 0.05 AS v FROM lineitem)
+    SELECT a.r AS l_linenumber, count(*) AS n, count(*) FILTER (a.v = b.v) AS agree, count(*) FILTER (a.v AND NOT b.v) AS raised, count(*) FILTER (b.v AND NOT a.v) AS dropped
+    FROM v a JOIN v b ON a.l_orderkey = b.l_orderkey AND b.r = 1 AND a.r <> 1 GROUP BY 1
+""")
+def rendering_flips(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") > 0.05).alias("v")).distinct()
+    return joins.flips(rows, "l_orderkey", "l_linenumber", 1, F.col("v"))
 
 
 # --- event windows and relational queries

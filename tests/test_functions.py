@@ -86,3 +86,29 @@ def test_stream_equals_table(spark, tmp_path):
     streamed = ingest.run_to_table(ingest.tumbling(stream, "ts", "1 hour", ["event_type"], "value"), "tumbled", "complete", str(tmp_path / "ck"))
     want = ingest.tumbling(rows, "ts", "1 hour", ["event_type"], "value")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_variant_index_equals_zlib(spark):
+    import zlib
+
+    from skarn.functions import coerce
+
+    rows = spark.range(50).select("id", coerce.variant_index(F.concat(F.lit("case"), "id"), F.col("id") % 5, 7, "check").alias("v")).collect()
+    assert all(r["v"] == (zlib.crc32(f"case{r['id']}:check".encode()) // 7 + r["id"] % 5) % 7 for r in rows)
+
+
+def test_kappa_at_full_chance_agreement(spark):
+    from skarn.operators import metrics
+
+    rows = spark.createDataFrame([(1, "a", "a"), (2, "a", "a")], "id int, a string, b string")
+    kappa = lambda **k: metrics.kappa(rows, F.col("a"), F.col("b"), [], **k).first()["kappa"]
+    assert kappa() is None and kappa(at_chance=1.0) == 1.0
+
+
+def test_clean_paths_of_verify(spark):
+    from skarn.operators import labels
+
+    rows = spark.createDataFrame([(1, True, "s", []), (2, True, "s", None), (3, False, "s", ["x" * 30] * 3), (4, True, " ", ["x" * 5])], "id int, buggy boolean, summary string, explanations array<string>")
+    got = lambda hinted: [r["reason"] for r in labels.verify_reason(rows, hinted).orderBy("id").collect()]
+    assert got(True) == ["SZZ says buggy, teacher found nothing"] * 2 + ["SZZ says clean, teacher found several defects", "explanation too thin to learn from"]
+    assert got(False)[:2] == ["ok", "ok"]

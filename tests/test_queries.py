@@ -6,12 +6,12 @@ import pytest
 
 import __spark_entry__
 from skarn.plans import catalog
-from tests import oracle
+from tests import expected
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalog.EXPECTED_SQL))
 def test_query_equals_sql(spark, name):
-    oracle.check(spark, name, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
+    expected.check(spark, name, catalog.QUERIES[name], catalog.EXPECTED_SQL[name])
 
 
 def test_entry_points(spark):
@@ -20,6 +20,6 @@ def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() >= 1
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.EXPECTED_SQL)))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, oracle.SF_DIR).count() >= 0
+    assert catalog.QUERIES[name](spark, expected.SF_DIR).count() >= 0
