@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm import contamination, exact, language, licenses, lines, linking, near, packing, quality, queries, suffixes, urls
 from skarn.llm.common import components
-from tests import oracle
+from tests import expected
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -193,7 +193,7 @@ def test_components_equal_union_find(spark):
 
 
 def test_language_held_out_accuracy(spark):
-    out = queries.op3_language_id(spark, oracle.SF_DIR).join(queries.table(spark, oracle.SF_DIR, "documents").select("doc_id", "lang", "text"), "doc_id")
+    out = queries.op3_language_id(spark, expected.SF_DIR).join(queries.table(spark, expected.SF_DIR, "documents").select("doc_id", "lang", "text"), "doc_id")
     rows = out.where("held_out and lang is not null and length(text) > 40").collect()
     assert len(rows) >= 20
     assert sum(r["lang_pred"] == r["lang"] for r in rows) / len(rows) >= 0.9
@@ -207,7 +207,7 @@ def test_language_without_letters(spark):
 
 
 def test_quality_held_out_ranking(spark):
-    sf = oracle.SF_DIR.replace("0.001", "0.01")
+    sf = expected.SF_DIR.replace("0.001", "0.01")
     out = queries.op8_quality(spark, sf).join(queries.table(spark, sf, "labels"), "doc_id").where("held_out")
     rows = out.select("score", "quality", "predicted").collect()
     good, bad = [r["score"] for r in rows if r["quality"] == 1], [r["score"] for r in rows if r["quality"] == 0]
@@ -237,7 +237,7 @@ def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = [r["text"] for r in queries.table(spark, oracle.SF_DIR, "documents").collect()] + [None, "", "a<|endoftext|>b", "\u200d\U0001f600 x\n\n\n  y\t" * 30, "z" * 30000]
+    texts = [r["text"] for r in queries.table(spark, expected.SF_DIR, "documents").collect()] + [None, "", "a<|endoftext|>b", "\u200d\U0001f600 x\n\n\n  y\t" * 30, "z" * 30000]
     tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     got = packing.pack(docs_of(spark, texts)).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
@@ -265,9 +265,9 @@ def test_packing_round_trip(spark):
 # --- op5, op6: SQL
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(queries.EXPECTED_SQL))
 def test_query_equals_sql(spark, name):
-    oracle.check(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name])
+    expected.check(spark, name, queries.QUERIES[name], queries.EXPECTED_SQL[name])
 
 
 def test_exact_dedup_nulls_and_ties(spark):
@@ -314,7 +314,7 @@ def test_urls_equal_brute_force(spark):
 
 
 def test_license_places_equal_brute_force(spark):
-    texts = [r["text"] for r in queries.table(spark, oracle.SF_DIR, "documents").collect()]
+    texts = [r["text"] for r in queries.table(spark, expected.SF_DIR, "documents").collect()]
     texts += [None, "", "The MIT-License, the mit license; CC BY!", "released under the mit license", "apache license " * 40, "gnu general public", "This program is free software: you can redistribute it and/or modify it under the terms of a licence"]
     for r in licenses.scan_licenses(docs_of(spark, texts)).collect():
         w = words_of(texts[r["doc_id"]])

@@ -4,25 +4,25 @@ from __future__ import annotations
 
 import corpus_pipeline
 from skarn.llm import contamination, near
-from tests import oracle
+from tests import expected
 
 
 def test_stages(spark):
-    docs = spark.read.parquet(f"{oracle.SF_DIR}/documents.parquet")
+    docs = spark.read.parquet(f"{expected.SF_DIR}/documents.parquet")
     n = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, oracle.SF_DIR).cache()
+        docs = stage(spark, docs, expected.SF_DIR).cache()
         assert docs.columns == corpus_pipeline.COLUMNS, name
         assert 0 < docs.count() <= n, name
         n = docs.count()
         if name == "near_dedup":
             assert near.near_duplicates(docs).where("not kept").count() == 0
         if name == "decontaminate":
-            bench = spark.read.parquet(f"{oracle.SF_DIR}/benchmark.parquet")
+            bench = spark.read.parquet(f"{expected.SF_DIR}/benchmark.parquet")
             assert contamination.decontaminate(docs, bench).where("contaminated").count() == 0
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, oracle.SF_DIR)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, expected.SF_DIR)
     assert packed.select("doc_id").distinct().count() == n
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, oracle.SF_DIR).count() > 0
+    assert corpus_pipeline.run(spark, expected.SF_DIR).count() > 0
