@@ -52,9 +52,16 @@ class Bench:
         self.words = np.concatenate([w for _, w in items]) if items else np.zeros(0, U64)
         self.bounds = np.cumsum([0, *(len(w) for _, w in items)])
         at, fp = winnow(self.words, self.bounds, window, k)
+        self.owner = np.repeat(np.arange(len(items)), np.diff(self.bounds))
+        if len(at):  # places of an item with the same words as far as a window reaches find the same: one of them, so that runs of a word don't make all pairs
+            near = at[:, None] + np.arange(k - window, window)
+            own = self.owner[at]
+            inside = (near >= self.bounds[own][:, None]) & (near < self.bounds[own + 1][:, None])
+            around = np.where(inside, self.words[np.clip(near, 0, len(self.words) - 1)], U64(0))
+            one = np.unique(np.column_stack([fp, own.astype(U64), around, inside.sum(axis=1).astype(U64)]), axis=0, return_index=True)[1]
+            at, fp = at[one], fp[one]
         order = np.argsort(fp, kind="stable")
         self.fp, self.at = fp[order], at[order]
-        self.owner = np.repeat(np.arange(len(items)), np.diff(self.bounds))
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sorted({len(w) for _, w in items if len(w) < window}):
             own = [j for j, (_, w) in enumerate(items) if len(w) == n]

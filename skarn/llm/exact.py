@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import cut
@@ -18,8 +18,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of all rows. Their counts and winners (largest id) are verified by a
     grouped aggregate over those at most 1/support digests, and broadcast: rows
     with such a digest get their winner on the map side and are never
-    shuffled. All other digests are dealt out by digest once; none of them has
-    more than ``support`` of the rows, so no task gets more than that of one key.
+    shuffled. All other digests are counted with a partial aggregate before the
+    shuffle and joined with their rows; none of them has more than ``support``
+    of the rows.
 
     Returns id, keep_id, group_size, kept, text_sha256. Texts are compared as
     they are, by SHA-256 of their UTF-8 bytes. A null text counts as empty.
@@ -37,12 +38,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where("group_size > 1")
     )
     heavy = digests.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    rest = (
-        digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
-        .withColumn("keep_id", F.max("doc_id").over(group))
-        .withColumn("group_size", F.count(F.lit(1)).over(group))
-    )
+    light = digests.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    sizes = light.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rest = light.join(sizes, "text_sha256")
     return heavy.unionByName(rest).select(
         F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

@@ -73,7 +73,10 @@ class Model:
         """Sums of word scores by document and language, and words of each document."""
         alpha, lower = _letters()
         small = code < _TABLE
-        letter = np.where(small, alpha[np.where(small, code, 0)], True)
+        letter = alpha[np.where(small, code, 0)]
+        if not small.all():
+            rare, which = np.unique(code[~small], return_inverse=True)
+            letter[~small] = np.array([chr(c).isalpha() for c in rare])[which]
         code = np.where(small, lower[np.where(small, code, 0)], code)
         n = len(code)
         fresh = np.ones(n, bool)
@@ -122,7 +125,12 @@ class Model:
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
-    """A model from rows with text and language; a sample of at most about train_docs of each language, by a hash of the id."""
+    """A model from rows with text and language; a sample of at most about train_docs of each language, by a hash of the id.
+
+    The model is bounded: the MAX_LANGS languages with the most rows, the
+    VOCABULARY commonest words and GRAMS commonest n-grams of each order of the
+    sample. Words that it leaves out are scored by n-grams.
+    """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id")).where("text is not null and lang is not null")
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     langs = sorted(n)

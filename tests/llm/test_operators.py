@@ -201,9 +201,9 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_without_letters(spark):
-    rows = docs_of(spark, ["the and of the and"] * 3 + [None, "", "12 %%", "Zzzq"])
+    rows = docs_of(spark, ["the and of the and"] * 3 + [None, "", "12 %%", "\U000f0001\U000e0041", "Zzzq", "\U00020010"])
     got = language.identify(rows, language.learn(rows.where("doc_id < 3"))).orderBy("doc_id").collect()
-    assert [r["lang_pred"] for r in got] == ["en"] * 3 + ["und"] * 3 + ["en"]
+    assert [r["lang_pred"] for r in got] == ["en"] * 3 + ["und"] * 4 + ["en"] * 2
 
 
 def test_quality_held_out_ranking(spark):
@@ -290,6 +290,18 @@ def test_decontamination_paths_agree(spark):
 # --- op7
 
 
+def test_runs_of_a_word_make_few_pairs():
+    item, text = b"same " * 2000, b"same " * 3000 + b"other " * 5
+    words = lambda raw: contamination.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    bench = contamination.Bench([("1", words(item)[0])], 10, contamination.K)
+    assert len(bench.fp) <= 40
+    lo, hi, _ = bench.hits(*words(text))
+    covered = np.zeros(3005, bool)
+    for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+        covered[x:y] = True
+    assert covered[:3000].all() and not covered[3000:].any() and len(lo) <= 3000 * 40
+
+
 def test_urls_equal_brute_force(spark):
     given = [None, "", "nothing", "http://Example.COM/en/a?x=1", "https://www.example.com/en/b", "ftp://a.www.example.com/en/c#f", "http://notexample.com/en/", "http://x.net/es/1", "http://x.net/fr/1?q", "http://x.net/de/", "http://x.org?/en/", "a://b://c/d"]
     given += [f"http://s{j}.{t}/{p}/{j}" for j in range(60) for t, p in (("net", "es"), ("example.com", "en"), ("shop.com", "x"))]
