@@ -105,11 +105,19 @@ def link_classes(members: DataFrame, traits: DataFrame, plausible: Callable[[Cal
         thin = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("others") / wanted))).cast("long")
         is_head = (F.col("comp") != F.col("most")) & ((F.col("others") <= wanted) | (F.pmod(F.xxhash64("node", F.lit(heads or 0)), thin) == 0))
         parts = F.ceil(wanted * F.col("all") / TASK_PAIRS).cast("int")
-        open_ = few(members.join(small(mixed), "key").select("key", "node", "comp", parts.alias("parts"), is_head.alias("is_head")))
-        rows = open_.join(traits.withColumn("bin", F.floor(F.log("size") / step).cast("int")), "node")
+        crowded = F.col("others") * F.col("all") > CROWDED
+        open_ = few(members.join(small(mixed), "key").select("key", "node", "comp", parts.alias("parts"), is_head.alias("is_head"), crowded.alias("crowded")))
+        # a pair that shares several crowded buckets is looked for in the first of those in which it has a head
+        held = open_.groupBy("node").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("key", "parts", "is_head", "crowded")).alias("at"))
+        its = lambda test: F.transform(F.filter("at", test), lambda k: k["key"])
+        held = held.select("node", "comp", "at", its(lambda k: k["crowded"]).alias("keys"), its(lambda k: k["crowded"] & k["is_head"]).alias("led"))
+        rows = held.join(traits.withColumn("bin", F.floor(F.log("size") / step).cast("int")), "node").select("*", F.inline("at")).drop("at")
         asked = rows.where("is_head").withColumn("part", F.pmod(F.hash("node"), "parts")).withColumn("bin", F.explode(F.array(*(F.col("bin") + d for d in (-1, 0, 1)))))
         others = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        both = others.alias("x").join(asked.alias("y").hint("shuffle_hash"), (x("key") == y("key")) & (x("part") == y("part")) & (x("bin") == y("bin")) & (x("comp") != y("comp")) & plausible(x, y))
+        first = F.array_min(F.concat(F.array_intersect(x("led"), y("keys")), F.array_intersect(x("keys"), y("led"))))
+        once = (~x("is_head") | (x("node") < y("node"))) & (x("comp") != y("comp"))
+        met = (x("key") == y("key")) & (x("part") == y("part")) & (x("bin") == y("bin")) & once & plausible(x, y) & (~x("crowded") | (first == x("key")))
+        both = others.alias("x").join(asked.alias("y").hint("shuffle_hash"), met)
         pairs = few(both.select(F.least(x("node"), y("node")).alias("a"), F.greatest(x("node"), y("node")).alias("b")).distinct())
         found = verify(pairs)
         members = open_.where("not is_head")
