@@ -73,6 +73,61 @@ def already_word_diff(diff: Column) -> Column:
     return (F.contains(diff, F.lit("{+")) | F.contains(diff, F.lit("[-"))) & ~signed
 
 
+#: How a path of tests looks, and how a line starts that isn't part of a hunk's body.
+TEST_PATH = r"(^|/)(tests?|spec|__tests__)/|(_test|_spec|\.test|\.spec)\."
+HEADER = r"^(@@|diff --git|index |\+\+\+|---|new file|deleted file|similarity |rename )"
+
+
+def split_diff(diff: Column) -> Column:
+    """(path, text) of each file's part, by its new path; a diff without file headers is one part, a blank one none."""
+    header = r"^diff --git a/(.+?) b/(.+)$"
+    parts = F.filter(F.split(diff, rf"(?m)(?={header})"), lambda x: x.rlike(rf"\A(?m:{header})"))
+    named = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, rf"(?m){header}", 2).alias("path"), x.alias("text")))
+    alone = F.filter(F.array(F.struct(F.lit("").alias("path"), diff.alias("text"))), lambda x: F.trim(F.regexp_replace(x["text"], r"\s", "")) != "")
+    return F.when(F.size(parts) > 0, named).otherwise(alone)
+
+
+def _files(diff: Column) -> Column:
+    """(path, rows) of what follows each new-side header, up to the next one."""
+    parts = F.filter(F.split(diff, r"(?m)^(?=\+\+\+ b/.)"), lambda x: x.rlike(r"\A\+\+\+ b/."))
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"\A\+\+\+ b/(.+)", 1).alias("path"), F.slice(lines(x), 2, 1 << 30).alias("rows")))
+
+
+def hunks_for(diff: Column, path: Column) -> Column:
+    """The lines of one file's hunks, without headers of files; empty if the diff doesn't touch it."""
+    own = F.flatten(F.transform(F.filter(_files(diff), lambda f: f["path"] == path), lambda f: f["rows"]))
+    return F.array_join(F.filter(own, lambda x: ~x.rlike("^(diff --git|index |--- )")), "\n")
+
+
+def entry_file(diff: Column, files: Column) -> Column:
+    """The path with most changed lines, the first of several; paths of tests only if there are no others. Without paths the first of files, else empty."""
+    changes = lambda f: F.size(F.filter(f["rows"], lambda x: x.rlike("^[-+]") & ~x.rlike(r"^(\+\+\+|---)")))
+    parts = F.transform(_files(diff), lambda f: F.struct(f["path"].alias("path"), changes(f).alias("n")))
+    paths = F.array_distinct(F.transform(parts, lambda f: f["path"]))
+    source = F.filter(paths, lambda p: ~p.rlike(TEST_PATH))
+    pool = F.when(F.size(source) > 0, source).otherwise(paths)
+    total = lambda p: F.aggregate(F.filter(parts, lambda f: f["path"] == p), F.lit(0), lambda n, f: n + f["n"])
+    best = F.array_max(F.transform(pool, lambda p, i: F.struct(total(p).alias("n"), (-i).alias("i"), p.alias("path"))))
+    return F.coalesce(best["path"], F.get(files, F.lit(0)), F.lit(""))
+
+
+def narrow_context(diff: Column, keep: int) -> Column:
+    """Each hunk from ``keep`` lines before its first changed line to ``keep`` after its last; hunks without one and headers stay."""
+    far = 1 << 30
+    parts = F.split(F.array_join(lines(diff), "\n"), rf"\n(?={HEADER[1:]})")
+
+    def narrowed(part: Column) -> Column:
+        rows = F.split(part, "\n")
+        start = F.when(part.rlike(rf"\A{HEADER[1:]}"), 1).otherwise(0)
+        own = F.slice(rows, start + 1, far)
+        changed = F.filter(F.transform(own, lambda x, i: F.when(x.rlike("^[-+]"), i)), lambda i: i.isNotNull())
+        lo, hi = F.greatest(F.array_min(changed) - keep, F.lit(0)), F.array_max(changed) + keep + 1
+        trimmed = F.when(F.size(changed) > 0, F.slice(own, lo + 1, hi - lo)).otherwise(own)
+        return F.concat(F.slice(rows, 1, start), trimmed)
+
+    return F.array_join(F.flatten(F.transform(parts, narrowed)), "\n")
+
+
 def reverse_hunks(diffs: DataFrame, id_col: str = "id", diff_col: str = "diff", flip: bool = True) -> DataFrame:
     """Each diff with its sides exchanged: hunk ranges and signs swap, and within a run removed lines come first.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions import claims, coerce, diff, stats, text
+from skarn.functions import answers, claims, coerce, diff, stats, text
 from skarn.operators import audits, history, joins, labels, metrics, ranking
 from skarn.streaming import ingest
 
@@ -800,3 +800,30 @@ def semi_anti_orders(spark, sf_dir):
 def rollup_region(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
     return table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("n_nationkey") == F.col("c_nationkey")).rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- answers
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS kind, o_orderpriority AS p FROM orders)
+    SELECT o_orderkey, CASE WHEN kind = 6 THEN 'says "' || p || '" here' WHEN kind < 6 THEN p END AS explanation, CASE WHEN kind < 6 THEN o_orderkey END AS key,
+        CASE kind WHEN 2 THEN 'trailing-comma' WHEN 3 THEN 'python-repr' WHEN 4 THEN 'truncated' WHEN 5 THEN 'truncated+trailing-comma' WHEN 6 THEN 'explanation-only' END AS repair,
+        CASE WHEN kind < 2 THEN p END AS strict_explanation, kind < 2 AS has_keys
+    FROM o
+""")
+def json_in_answers(spark, sf_dir):
+    """Answers made of orders, each damaged in the way of its key."""
+    k, p = F.col("o_orderkey").cast("string"), F.col("o_orderpriority")
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    whole = say('{"explanation": "', p, '", "key": ', k, "}")
+    forms = [
+        whole, say('First {"n": 1}, then ```json\n', whole, "\n``` done"), say('{"explanation": "', p, '", "key": ', k, ",}"), say("{'explanation': '", p, "', 'key': ", k, "}"),
+        say('{"key": ', k, ', "explanation": "', p), say('{"explanation": "', p, '", "list": [', k, ',], "key": ', k), say('{"explanation": "says "', p, '" here"}'), say("no answer for ", p),
+    ]
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("answer"))
+    got = rows.select("o_orderkey", answers.repaired_json(F.col("answer")).alias("r"), answers.extract_json(F.col("answer")).alias("s"))
+    return got.select(
+        "o_orderkey", F.get_json_object("r.object", "$.explanation").alias("explanation"), F.get_json_object("r.object", "$.key").cast("long").alias("key"), F.col("r.repair").alias("repair"),
+        F.get_json_object("s", "$.explanation").alias("strict_explanation"), answers.has_keys(F.col("s"), ["explanation", "key"]).alias("has_keys"),
+    )

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from skarn.functions import claims, coerce, diff
+from skarn.functions import answers, claims, coerce, diff
 from skarn.operators import metrics, ranking
 from skarn.sources import records
 from skarn.streaming import ingest
@@ -112,3 +112,43 @@ def test_clean_paths_of_verify(spark):
     got = lambda hinted: [r["reason"] for r in labels.verify_reason(rows, hinted).orderBy("id").collect()]
     assert got(True) == ["SZZ says buggy, teacher found nothing"] * 2 + ["SZZ says clean, teacher found several defects", "explanation too thin to learn from"]
     assert got(False)[:2] == ["ok", "ok"]
+
+
+TWO = "diff --git a/tests/t.py b/tests/t.py\nindex 1..2\n--- a/tests/t.py\n+++ b/tests/t.py\n@@ -1 +1,3 @@\n+a\n+b\n-c\ndiff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,6 +1,6 @@\n 1\n 2\n 3\n-old\n+new\n 4\n 5\n"
+
+
+def test_files_of_a_diff(spark):
+    d = F.lit(TWO)
+    row = one(spark, diff.split_diff(d).alias("s"), diff.hunks_for(d, F.lit("x.py")).alias("h"), diff.entry_file(d, F.array(F.lit("z"))).alias("e"), diff.hunks_for(d, F.lit("y")).alias("none"))
+    assert [p["path"] for p in row.s] == ["tests/t.py", "x.py"] and "".join(p["text"] for p in row.s) == TWO
+    assert row.h == "@@ -1,6 +1,6 @@\n 1\n 2\n 3\n-old\n+new\n 4\n 5" and row.none == "" and row.e == "x.py"
+    bare = one(spark, diff.split_diff(F.lit("+a")).alias("s"), diff.split_diff(F.lit(" \n")).alias("blank"), diff.entry_file(F.lit("+a"), F.array(F.lit("z"))).alias("e"), diff.entry_file(F.lit(TWO.split("diff --git a/x")[0]), F.array(F.lit("z"))).alias("t"))
+    assert [tuple(p) for p in bare.s] == [("", "+a")] and bare.blank == [] and bare.e == "z" and bare.t == "tests/t.py"
+
+
+def test_narrow_context(spark):
+    d = F.lit(TWO)
+    row = one(spark, diff.narrow_context(d, 1).alias("n"), diff.narrow_context(d, 9).alias("all"), diff.narrow_context(F.lit(" a\n b"), 1).alias("same"))
+    assert row.n == TWO.replace(" 1\n 2\n", "").replace(" 5\n", "").rstrip("\n") and row.all == TWO.rstrip("\n") and row.same == " a\n b"
+
+
+def test_json_in_answers(spark):
+    cases = {
+        '{"explanation": "a"}': ('{"explanation": "a"}', None),
+        'x {"n": 1} then {"explanation": "b", "k": [1,],} y': ('{"explanation": "b", "k": [1]}', "trailing-comma"),
+        '{"a": {"explanation": "in"}, "b": 1': ('{"explanation": "in"}', None),
+        '{"explanation": "cut \\': ('{"explanation": "cut "}', "truncated"),
+        '{"explanation": "k", "next":': ('{"explanation": "k"}', "truncated"),
+        '{"n": 1}': ('{"n": 1}', None),
+        "{'explanation': 'p', 'ok': True}": ('{"explanation": "p", "ok": true}', "python-repr"),
+        '{"explanation": "got {"d": 0} here"}': ('{"explanation": "got {\\"d\\": 0} here"}', "explanation-only"),
+        "{'explanation': 'q', (1, 2): b'y'}": ('{"explanation": "q", "(1, 2)": "b\'y\'"}', "python-repr"),
+        '{"explanation": "\\ud800", }': ('{"explanation": "\\ud800"}', "trailing-comma"),
+        '[{"explanation": "x"}]': ('{"explanation": "x"}', None), "": (None, None), "none": (None, None), "{": ("{}", "truncated"),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", answers.repaired_json(F.col("t")).alias("r"), answers.extract_json(F.col("t")).alias("s"))
+    for r in rows.collect():
+        assert tuple(r.r) == cases.get(r.t, (None, None)), r
+    strict = {r.t: r.s for r in rows.collect()}
+    assert strict["[{\"explanation\": \"x\"}]"] == '[{"explanation": "x"}]' and strict['{"explanation": "cut \\'] is None and strict["{"] is None
+    assert one(spark, answers.extract_json(F.lit('see ```json\n{"a": 1}\n``` {"b": 2}')).alias("s")).s == '{"a": 1}'
