@@ -91,12 +91,14 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 
 
 def text_slices(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of pieces of a batch; null texts are empty."""
+    """(first row, end row, bytes, offsets) of pieces of a batch, of a string or binary column; null texts are empty."""
     col = batch.column(batch.schema.get_field_index(name))
-    if not pa.types.is_large_string(col.type):
-        col = col.cast(pa.large_string())
+    binary = pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type)
+    wide = pa.large_binary() if binary else pa.large_string()
+    if col.type != wide:
+        col = col.cast(wide)
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if binary else "")
     n = len(col)
     if not n:
         return

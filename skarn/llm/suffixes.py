@@ -14,14 +14,14 @@ from skarn.llm.common import _MULT, U64, cut, mix64, powers, text_slices
 
 #: Bytes of a repeated string, and of an anchor. Every string of LENGTH bytes has an anchor: the least ANCHOR-gram in it.
 LENGTH, ANCHOR = 400, 96
-#: Distinct surroundings of one anchor up to which they meet in one transform; beyond, their strings are dealt out one by one.
-GROUP = 250
+#: Distinct surroundings of one anchor up to which they meet in one transform; beyond, they are told apart by SPLIT longer anchors each.
+GROUP, SPLIT = 250, 8
 #: Bytes that one transform takes, about.
 TRANSFORM_BYTES = 1 << 20
 
 _VALUES = mix64((np.arange(256, dtype=U64) + U64(501)) * _MULT)
-_POS_BITS = 28
-_SALT = mix64(np.array([0x5EED], U64))[0]
+#: More than a text in an Arrow batch can have.
+_POS_BITS = 31
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -83,13 +83,13 @@ def repeats(texts: list[bytes], own: np.ndarray, start: np.ndarray, many: np.nda
     key = np.zeros(n, U64)
     for j in range(8):
         key = (key << U64(8)) | np.roll(joined, -j).astype(U64)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     rank = np.empty(n, np.int64)
     rank[sa] = np.cumsum(np.concatenate([[0], key[sa][1:] != key[sa][:-1]]))
     done = 8
     while done < length and rank[sa[-1]] < n - 1:
         key = rank * n + np.roll(rank, -done)
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)
         rank[sa] = np.cumsum(np.concatenate([[0], key[sa][1:] != key[sa][:-1]]))
         done *= 2
     bwt = joined[sa - 1]
@@ -159,7 +159,7 @@ def _anchored(docs: DataFrame, length: int, anchor: int) -> DataFrame:
 
 
 def _surroundings(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """rows: d, text, found (h, pos, n). The bytes around each place."""
+    """rows: d, text, found (h, pos, n). The bytes around each place; skip: how many of the strings that could hold the anchor begin before the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,15 +171,49 @@ def _surroundings(rows: DataFrame, length: int, anchor: int) -> DataFrame:
                     for f in found[first + j]:
                         at = offs[j] + f["pos"]
                         lo = max(at - (length - anchor), offs[j])
-                        out.append((f["h"], ids[first + j], lo - offs[j], f["n"] > 1, raw[lo : min(at + length, offs[j + 1])]))
-                cols = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["h", "d", "lo", "many", "bytes"])
+                        out.append((f["h"], ids[first + j], lo - offs[j], lo - (at - (length - anchor)), f["n"] > 1, raw[lo : min(at + length, offs[j + 1])]))
+                cols = list(zip(*out, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.bool_(), pa.binary()), strict=True)], ["h", "d", "lo", "skip", "many", "bytes"])
 
-    return rows.select("d", "text", "found").mapInArrow(run, "h long, d long, lo long, many boolean, bytes binary")
+    return rows.select("d", "text", "found").mapInArrow(run, "h long, d long, lo long, skip long, many boolean, bytes binary")
+
+
+def _split(held: DataFrame, length: int, width: int, step: int) -> DataFrame:
+    """(p, d, h, around, lo, hi, skip, many): surroundings of strings with ``width`` possible starts cut into those with ``step``.
+
+    What all strings of a part have in common is its anchor, h, which is
+    length - step + 1 bytes long.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offs in text_slices(batch, "bytes"):
+                p, d, h, lo, skip, many = (np.asarray(batch.column(c)[row:end]) for c in ("p", "d", "h", "lo", "skip", "many"))
+                total, begin = prefix_sums(data), offs[:-1] - skip
+                most = skip + np.diff(offs) - length
+                for first in range(0, width, step):
+                    last = min(first + step, width) - 1
+                    left, right = np.maximum(first, skip), np.minimum(last, most)
+                    ok = left <= right
+                    at, left, right, left_out = begin[ok], left[ok], right[ok], (left - first)[ok]
+                    middle = at + last + (first + length - last) // 2
+                    common = range_hash(total, at + last, middle) + range_hash(total, middle, at + first + length) * _MULT
+                    key = mix64(mix64(common) ^ (h[ok].view(U64) + U64(first)))
+                    around = mix64(range_hash(total, at + left, at + right + length) + left_out.astype(U64))
+                    cols = (p[ok], d[ok], key.view(np.int64), around.view(np.int64), lo[ok] + left - skip[ok], lo[ok] + right - skip[ok] + length, left_out, many[ok])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["p", "d", "h", "around", "lo", "hi", "skip", "many"])
+
+    return held.select("p", "d", "h", "lo", "skip", "many", "bytes").mapInArrow(run, "p long, d long, h long, around long, lo long, hi long, skip long, many boolean")
+
+
+def _meeting(kinds: DataFrame) -> DataFrame:
+    """kinds (h, around, n), computed, of anchors with two places, and how many kinds the anchor has."""
+    per_anchor = kinds.groupBy("h").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds")).where("places > 1")
+    return cut(kinds.join(per_anchor, "h").drop("places"))
 
 
 def _transformed(around: DataFrame, length: int) -> DataFrame:
-    """(d, lo, hi) of repeated parts; around is dealt out and sorted by h."""
+    """(d, lo, hi) of repeated parts of around, whose surroundings of an anchor meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -204,32 +238,7 @@ def _transformed(around: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush()
 
-    return around.select("h", "d", "lo", "many", "bytes").mapInArrow(run, "d long, lo long, hi long")
-
-
-def _strings(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """rows: d, text, found. Two hashes of every string of ``length`` bytes that holds an anchor of found."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for first, _, data, offs in text_slices(batch, "text"):
-                total = prefix_sums(data)
-                for j in range(len(offs) - 1):
-                    parts = []
-                    for many in (False, True):
-                        at = np.array([f["pos"] for f in found[first + j] if (f["n"] > 1) == many], np.int64)
-                        s = (at[:, None] - np.arange(length - anchor + 1)[None, :]).ravel()
-                        s = np.unique(s[(s >= 0) & (s + length <= offs[j + 1] - offs[j])])
-                        parts.append((s, np.full(len(s), many)))
-                    s, many = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                    one = range_hash(total, s + offs[j], s + offs[j] + length)
-                    half = range_hash(total, s + offs[j], s + offs[j] + length // 2)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(s), ids[first + j])), pa.array(s), pa.array(one.view(np.int64)), pa.array((half ^ _SALT).view(np.int64)), pa.array(many)], ["d", "at", "k1", "k2", "many"]
-                    )
-
-    return rows.select("d", "text", "found").mapInArrow(run, "d long, at long, k1 long, k2 long, many boolean")
+    return around.select("h", "d", "lo", "many", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "d long, lo long, hi long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
@@ -241,8 +250,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their number. An anchor with several different passages sends one of each
     into a Burrows-Wheeler transform with others of its partition (see
     repeats); passages that occur twice are repeated as a whole. An anchor
-    with more than ``group`` different passages would make a large group: the
-    strings around it are hashed and counted one by one instead.
+    with more than ``group`` different passages would make a large group: its
+    strings are divided by where they begin into SPLIT parts, those of a part
+    have a longer anchor in common, and parts go on in the same way, until an
+    anchor is a whole string.
 
     One row per input row: id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256 (hex, of the remaining bytes), kept (those bytes, as
@@ -253,27 +264,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
     placed = cut(_anchored(docs.where(f"d is not null and length(text) * 4 >= {length}"), length, anchor))
-    kinds = placed.groupBy("h", "around").agg(F.count(F.lit(1)).alias("n"), F.first("d").alias("d"), F.first("pos").alias("pos"))
-    per_anchor = kinds.groupBy("h").agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("kinds")).where("places > 1")
-    kinds = cut(kinds.join(per_anchor, "h").drop("places"))
-
-    whole = kinds.where("n > 1").select("h", "around")
     pos = F.col("pos")
-    spans = placed.join(whole, ["h", "around"]).select("d", F.greatest(pos - (length - anchor), F.lit(0)).alias("lo"), (pos + length).alias("hi"))
+    kinds = _meeting(placed.groupBy("h", "around").agg(F.count(F.lit(1)).alias("n"), F.first("d").alias("d"), F.first("pos").alias("pos")))
+    spans = placed.join(kinds.where("n > 1").select("h", "around"), ["h", "around"]).select("d", F.greatest(pos - (length - anchor), F.lit(0)).alias("lo"), (pos + length).alias("hi"))
 
     def with_text(chosen: DataFrame) -> DataFrame:
         lists = chosen.groupBy("d").agg(F.collect_list(F.struct("h", "pos", "n")).alias("found"))
         return docs.join(lists, "d")
 
-    mixed = kinds.where(f"kinds between 2 and {group}")
-    around = _surroundings(with_text(mixed), length, anchor).repartition("h").sortWithinPartitions("h")
+    around = _surroundings(with_text(kinds.where(f"kinds between 2 and {group}")), length, anchor)
     spans = spans.union(_transformed(around, length))
-    hot = kinds.where(f"kinds > {group}")
-    if not hot.isEmpty():
-        strings = cut(_strings(with_text(hot), length, anchor))
-        place = F.xxhash64("d", "at")
-        twice = strings.groupBy("k1", "k2").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max(F.col("many").cast("int")).alias("m")).where("a <> b or m = 1").select("k1", "k2")
-        spans = spans.union(strings.where("not many").join(twice, ["k1", "k2"]).select("d", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
+    hot, width = kinds.where(f"kinds > {group}"), length - anchor + 1
+    held = None if hot.isEmpty() else cut(_surroundings(with_text(hot), length, anchor).withColumn("p", F.monotonically_increasing_id()))
+    while held is not None and width > 1:
+        step = -(-width // SPLIT)
+        placed = cut(_split(held, length, width, step))
+        one = F.min(F.struct("p", "d", "lo", "hi", "skip")).alias("one")
+        kinds = _meeting(placed.groupBy("h", "around").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"), one))
+        spans = spans.union(placed.where("not many").join(kinds.where("n > 1").select("h", "around"), ["h", "around"]).select("d", "lo", "hi"))
+        parts = kinds.select("h", "kinds", (F.col("many") | (F.col("n") > 1)).alias("many"), "one.*").join(held.select("p", F.col("lo").alias("_lo"), F.col("bytes").alias("_bytes")), "p")
+        parts = parts.withColumn("bytes", F.substring("_bytes", (F.col("lo") - F.col("_lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")))
+        spans = spans.union(_transformed(parts.where(f"kinds between 2 and {group}"), length))
+        hot, width = kinds.where(f"kinds > {group}"), step
+        held = None if hot.isEmpty() else cut(parts.where(f"kinds > {group}").select("h", "d", "lo", "skip", "many", "bytes", F.monotonically_increasing_id().alias("p")))
     # touching spans of a document are merged where they are read
     per_doc = spans.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
