@@ -62,6 +62,20 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, anchor: int) -> tup
     return at, g[at], total
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of key (at least 0), and each place's rank, equal for equal keys."""
+    n, bits = len(key), max(1, int(len(key) - 1).bit_length())
+    if int(key.max()).bit_length() + bits < 64:  # sorting place and key in one number is several times faster
+        both = np.sort((key << bits) | np.arange(n))
+        sa, ordered = (both & ((1 << bits) - 1)).astype(np.int32), both >> bits
+    else:
+        sa = np.argsort(key).astype(np.int32)
+        ordered = key[sa]
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]), dtype=np.int32)
+    return sa, rank
+
+
 def repeats(texts: list[bytes], own: np.ndarray, start: np.ndarray, many: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(index, lo, hi): parts of texts covered by strings of ``length`` bytes that start at two places.
 
@@ -79,25 +93,21 @@ def repeats(texts: list[bytes], own: np.ndarray, start: np.ndarray, many: np.nda
     n = len(joined)
     sizes = np.array([len(t) for t in texts])
     begin = np.cumsum(sizes + 1) - (sizes + 1)
-    # order by 8 bytes, then doubled
-    key = np.zeros(n, U64)
-    for j in range(8):
-        key = (key << U64(8)) | np.roll(joined, -j).astype(U64)
-    sa = np.argsort(key)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.cumsum(np.concatenate([[0], key[sa][1:] != key[sa][:-1]]))
-    done = 8
+    # order by 5 bytes, then doubled
+    key = np.zeros(n, np.int64)
+    for j in range(5):
+        key = (key << 8) | np.roll(joined, -j)
+    sa, rank = _ranked(key)
+    done = 5
     while done < length and rank[sa[-1]] < n - 1:
-        key = rank * n + np.roll(rank, -done)
-        sa = np.argsort(key)
-        rank[sa] = np.cumsum(np.concatenate([[0], key[sa][1:] != key[sa][:-1]]))
+        sa, rank = _ranked(rank.astype(np.int64) * n + np.roll(rank, -done))
         done *= 2
     bwt = joined[sa - 1]
-    lf = np.empty(n, np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
+    lf = np.empty(n, np.int32)
+    lf[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
 
     unset = np.ones(n + 1, bool)
-    lo, hi = np.array([0]), np.array([n])
+    lo, hi = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(length):
         width = hi - lo
         one = width == 1
@@ -106,13 +116,13 @@ def repeats(texts: list[bytes], own: np.ndarray, start: np.ndarray, many: np.nda
         wide = ~one
         if wide.any():
             w, first = width[wide], lo[wide]
-            which = np.repeat(np.arange(len(w)), w)
-            rows = np.arange(len(which)) - np.repeat(np.cumsum(w) - w, w) + first[which]
+            which = np.repeat(np.arange(len(w), dtype=np.int32), w)
+            rows = np.arange(len(which), dtype=np.int32) + np.repeat((first - (np.cumsum(w) - w)).astype(np.int32), w)
             code = which * 256 + bwt[rows]
             order = np.argsort(code, kind="stable")
             head = np.flatnonzero(np.concatenate([[True], code[order][1:] != code[order][:-1]]))
             left.append(lf[rows[order[head]]])
-            right.append(left[1] + np.diff(np.append(head, len(code))))
+            right.append(left[1] + np.diff(np.append(head, len(code))).astype(np.int32))
         lo, hi = np.concatenate(left), np.concatenate(right)
         new = unset[hi]
         lo, hi = lo[new], hi[new]
@@ -238,7 +248,9 @@ def _transformed(around: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush()
 
-    return around.select("h", "d", "lo", "many", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "d long, lo long, hi long")
+    # the bytes of a group are compressed to little, by which Spark would give a task too many
+    tasks = int(around.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return around.select("h", "d", "lo", "many", "bytes").repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(run, "d long, lo long, hi long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
