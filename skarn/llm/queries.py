@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import contamination, exact, language, licenses, lines, near, packing, quality, suffixes, urls
+from skarn.llm import completion, contamination, exact, language, licenses, lines, near, packing, quality, suffixes, tries, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return completion.complete_bins(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_minhash_near_dedup, op3_language_id, op4_packing, op5_exact_dedup, op6_decontamination, op7_url_filter, op8_quality, op9_license_scan, op10_line_dedup)
+    f.__name__: f for f in (op1_suffix_dedup, op2_minhash_near_dedup, op3_language_id, op4_packing, op5_exact_dedup, op6_decontamination, op7_url_filter, op8_quality, op9_license_scan, op10_line_dedup, op11_bin_completion, op12_prefix_trie)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
