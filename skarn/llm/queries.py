@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm import completion, contamination, exact, language, licenses, lines, near, packing, quality, suffixes, tries, urls
+from skarn.llm import completion, contamination, exact, language, licenses, lines, near, negatives, packing, quality, suffixes, tries, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seventh = F.col("vec_id") % 7 == 0
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_minhash_near_dedup, op3_language_id, op4_packing, op5_exact_dedup, op6_decontamination, op7_url_filter, op8_quality, op9_license_scan, op10_line_dedup, op11_bin_completion, op12_prefix_trie)
+    f.__name__: f for f in (op1_suffix_dedup, op2_minhash_near_dedup, op3_language_id, op4_packing, op5_exact_dedup, op6_decontamination, op7_url_filter, op8_quality, op9_license_scan, op10_line_dedup, op11_bin_completion, op12_prefix_trie, op13_hard_negatives)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
