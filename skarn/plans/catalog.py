@@ -806,10 +806,10 @@ def rollup_region(spark, sf_dir):
 
 
 @query("""
-    WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS kind, o_orderpriority AS p FROM orders)
-    SELECT o_orderkey, CASE WHEN kind = 6 THEN 'says "' || p || '" here' WHEN kind < 6 THEN p END AS explanation, CASE WHEN kind < 6 THEN o_orderkey END AS key,
+    WITH o AS (SELECT o_orderkey, o_orderkey % 12 AS kind, o_orderpriority AS p FROM orders)
+    SELECT o_orderkey, CASE WHEN kind = 6 THEN 'says "' || p || '" here' WHEN kind <> 7 THEN p END AS explanation, CASE WHEN kind NOT IN (6, 7) THEN o_orderkey END AS key,
         CASE kind WHEN 2 THEN 'trailing-comma' WHEN 3 THEN 'python-repr' WHEN 4 THEN 'truncated' WHEN 5 THEN 'truncated+trailing-comma' WHEN 6 THEN 'explanation-only' END AS repair,
-        CASE WHEN kind < 2 THEN p END AS strict_explanation, kind < 2 AS has_keys
+        CASE WHEN kind IN (0, 1, 8, 10, 11) THEN p END AS strict_explanation, kind IN (0, 1, 8, 10, 11) AS has_keys
     FROM o
 """)
 def json_in_answers(spark, sf_dir):
@@ -820,8 +820,9 @@ def json_in_answers(spark, sf_dir):
     forms = [
         whole, say('First {"n": 1}, then ```json\n', whole, "\n``` done"), say('{"explanation": "', p, '", "key": ', k, ",}"), say("{'explanation': '", p, "', 'key': ", k, "}"),
         say('{"key": ', k, ', "explanation": "', p), say('{"explanation": "', p, '", "list": [', k, ',], "key": ', k), say('{"explanation": "says "', p, '" here"}'), say("no answer for ", p),
+        say(whole, " and more"), say('{"n": 1} ', whole), say("[1, 2] ", whole), say(whole, "] {x}"),
     ]
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("answer"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 12 + 1).cast("int")).alias("answer"))
     got = rows.select("o_orderkey", answers.repaired_json(F.col("answer")).alias("r"), answers.extract_json(F.col("answer")).alias("s"))
     return got.select(
         "o_orderkey", F.get_json_object("r.object", "$.explanation").alias("explanation"), F.get_json_object("r.object", "$.key").cast("long").alias("key"), F.col("r.repair").alias("repair"),

@@ -144,6 +144,10 @@ def test_json_in_answers(spark):
         '{"explanation": "got {"d": 0} here"}': ('{"explanation": "got {\\"d\\": 0} here"}', "explanation-only"),
         "{'explanation': 'q', (1, 2): b'y'}": ('{"explanation": "q", "(1, 2)": "b\'y\'"}', "python-repr"),
         '{"explanation": "\\ud800", }': ('{"explanation": "\\ud800"}', "trailing-comma"),
+        '{"explanation":"a"} and more': ('{"explanation": "a"}', None), '3 apples {"explanation": 2}': ('{"explanation": 2}', None), '{"n": 1} {"explanation": "b"}': ('{"explanation": "b"}', None),
+        '{"explanation": "tail"}] x }': ('{"explanation": "tail"}', None), '{"explanation": "a } b", "k": "{"}': ('{"explanation": "a } b", "k": "{"}', None),
+        '{"explanation": "keeps , ] inside", "k": [1,]}': ('{"explanation": "keeps , ] inside", "k": [1]}', "trailing-comma"), '{"explanation": "line\nbreak"}': ('{"explanation": "line\\nbreak"}', None),
+        '{"explanation": "one", "two": "x" "explanation": "y"': ('{"explanation": "one"}', "explanation-only"), '"{" {"explanation": "q"}': ('{"explanation": "q"}', None),
         '[{"explanation": "x"}]': ('{"explanation": "x"}', None), "": (None, None), "none": (None, None), "{": ("{}", "truncated"),
     }
     rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", answers.repaired_json(F.col("t")).alias("r"), answers.extract_json(F.col("t")).alias("s"))
@@ -151,4 +155,5 @@ def test_json_in_answers(spark):
         assert tuple(r.r) == cases.get(r.t, (None, None)), r
     strict = {r.t: r.s for r in rows.collect()}
     assert strict["[{\"explanation\": \"x\"}]"] == '[{"explanation": "x"}]' and strict['{"explanation": "cut \\'] is None and strict["{"] is None
+    assert strict['{"explanation":"a"} and more'] == '{"explanation": "a"}' and strict['3 apples {"explanation": 2}'] == '{"explanation": 2}' and strict['{"n": 1} {"explanation": "b"}'] == '{"n": 1}'
     assert one(spark, answers.extract_json(F.lit('see ```json\n{"a": 1}\n``` {"b": 2}')).alias("s")).s == '{"a": 1}'
