@@ -16,6 +16,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 SIGNED, MINIMA, ROWS = 8, 14, 3
 #: Signed shingles that begin with one of these characters come first in the order of hashes, so that of lines of LONG characters that have
 #: MINIMA of them only these need be taken out. (About every eighth character of a text in Latin letters; other texts have none of them and take all.)
+#: This order is not a random one: lines whose edits fall on shingles that begin with these characters are likelier to be lost as candidates.
 LEADERS, LONG = "aiqyAIQY19", 120
 #: Lines of at most FEW different signed shingles are signed by the SHINGLE characters that are verified, too, in bands of two minima; from MANY on by the longer ones.
 FEW, MANY = 40, 24
@@ -105,7 +106,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = [F.min(F.call_function("shiftleft", F.coalesce(x, F.lit(0)).cast("long"), F.lit(32)).bitwiseOR(F.coalesce(y, F.lit(0)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias(x) for x, y in zip(values[::2], values[1::2], strict=True)]
     signed = keyed.groupBy("h", "h2").agg(F.min("d").alias("first_doc"), F.count(F.lit(1)).alias("n"), *packed).withColumn("node", F.monotonically_increasing_id())
     signed = stored(signed)
-    unpacked = signed.select("node", *(c for x, y in zip(values[::2], values[1::2], strict=True) for c in (F.shiftright(x, 32).alias(x), F.pmod(F.col(x).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(1 << 32)).alias(y))))
+    unpacked = signed.select("node", *(c for x, y in zip(values[::2], values[1::2], strict=True) for c in (F.shiftright(x, 32).alias(x), F.shiftright(F.shiftleft(x, 32), 32).alias(y))))
 
     members = shared_buckets(band_keys(unpacked))
     wanted = cut(signed.join(members.select("node").distinct(), "node", "left_semi").select("node", "h", "h2", F.col("first_doc").alias("d")))
