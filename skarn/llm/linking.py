@@ -104,17 +104,19 @@ def link_classes(members: DataFrame, traits: DataFrame, plausible: Callable[[Cal
         # by a power of two: a node that is a head in a large bucket is one in its smaller ones, so their pairs are mostly the same
         thin = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("others") / wanted))).cast("long")
         is_head = (F.col("comp") != F.col("most")) & ((F.col("others") <= wanted) | (F.pmod(F.xxhash64("node", F.lit(heads or 0)), thin) == 0))
-        parts = F.ceil(wanted * F.col("all") / TASK_PAIRS).cast("int")
-        open_ = few(members.join(small(mixed), "key").select("key", "node", "comp", parts.alias("parts"), is_head.alias("is_head")))
+        # heads and others are both dealt to that many parts, so that each row is copied to the root of the number of tasks only
+        side = F.ceil(F.sqrt(wanted * F.col("all") / TASK_PAIRS)).cast("int")
+        open_ = few(members.join(small(mixed), "key").select("key", "node", "comp", side.alias("side"), is_head.alias("is_head")))
         # a pair that shares several buckets is looked for in the first of those in which it has a head
-        held = open_.groupBy("node").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("key", "parts", "is_head")).alias("at"))
+        held = open_.groupBy("node").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("key", "side", "is_head")).alias("at"))
         held = held.select("node", "comp", "at", F.col("at.key").alias("keys"), F.transform(F.filter("at", lambda k: k["is_head"]), lambda k: k["key"]).alias("led"))
         rows = held.join(traits.withColumn("bin", F.floor(F.log("size") / step).cast("int")), "node").select("*", F.inline("at")).drop("at")
-        asked = rows.where("is_head").withColumn("part", F.pmod(F.hash("node"), "parts")).withColumn("bin", F.explode(F.array(*(F.col("bin") + d for d in (-1, 0, 1)))))
-        others = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        every, own = F.explode(F.sequence(F.lit(0), F.col("side") - 1)), lambda salt: F.pmod(F.hash("node", F.lit(salt)), "side")
+        asked = rows.where("is_head").withColumn("row", own(1)).withColumn("column", every).withColumn("bin", F.explode(F.array(*(F.col("bin") + d for d in (-1, 0, 1)))))
+        others = rows.withColumn("column", own(2)).withColumn("row", every)
         first = F.array_min(F.concat(F.array_intersect(x("led"), y("keys")), F.array_intersect(x("keys"), y("led"))))
         once = (~x("is_head") | (x("node") < y("node"))) & (x("comp") != y("comp"))
-        met = (x("key") == y("key")) & (x("part") == y("part")) & (x("bin") == y("bin")) & once & plausible(x, y) & (first == x("key"))
+        met = (x("key") == y("key")) & (x("row") == y("row")) & (x("column") == y("column")) & (x("bin") == y("bin")) & once & plausible(x, y) & (first == x("key"))
         both = others.alias("x").join(asked.alias("y").hint("shuffle_hash"), met)
         pairs = few(both.select(F.least(x("node"), y("node")).alias("a"), F.greatest(x("node"), y("node")).alias("b")).distinct())
         found = verify(pairs)
