@@ -113,6 +113,17 @@ def text_slices(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np
         row = end
 
 
+def sound(data: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Bytes and offsets of a slice, in texts that are not UTF-8 what is broken as U+FFFD."""
+    raw = data.tobytes()
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        texts = [raw[a:b].decode(errors="replace").encode() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        return b"".join(texts), np.cumsum([0, *map(len, texts)])
+    return raw, offs
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a slice in order, and each document's bounds among them.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import _MULT, U64, cut, mix64, powers, text_slices
+from skarn.llm.common import _MULT, U64, cut, mix64, powers, sound, text_slices
 
 #: Documents of each language that the model learns from at most; words and n-grams that it keeps; n-gram orders, longest first.
 TRAIN_DOCS, VOCABULARY, GRAMS, ORDERS = 1500, 50_000, 60_000, (4, 3, 2, 1)
@@ -181,8 +181,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         names = np.array([*m.langs, "und"], dtype=object)
         for batch in batches:
             for first, end, data, offs in text_slices(batch, "text"):
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offs]
-                code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+                raw, offs = sound(data, offs)
+                chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])[offs]
+                code = np.frombuffer(raw.decode(errors="replace").encode("utf-32-le"), np.uint32)
                 if m.langs:
                     sums, n = m.score(code, chars)
                     sums *= (np.minimum(n, SURE_WORDS) / np.maximum(n, 1))[:, None]

@@ -119,6 +119,21 @@ def byte_encoder(path: str, tokens: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+def byte_reader(path: str, tokens: str):
+    """byte_encoder's ids of a text; where its pattern gives up on a very long run of white space, those of the `tokenizers` file itself."""
+    from tokenizers import Tokenizer
+
+    fast, whole = byte_encoder(path, tokens), Tokenizer.from_file(tokens)
+
+    def read(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return read
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = "byte_bpe_50k.tiktoken", tokens: str = "byte_bpe_50k.json", pool: int = POOL) -> DataFrame:
     """Pieces of token sequences of at most ``capacity`` ids, one row per piece.
 
@@ -134,7 +149,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     (of the piece's ids as little-endian unsigned 32-bit), doc_tokens,
     sequence_id (task << 33 | number within it), offset (within the sequence,
     gapless from 0). Null and empty texts are the end id alone. Added tokens' strings
-    in a text get their ids, as the `tokenizers` file has it. Rows with equal ids are packed
+    in a text get their ids, as the `tokenizers` file has it; bytes that are not UTF-8 count as U+FFFD. Rows with equal ids are packed
     apart; an empty table gives no rows; further columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -144,7 +159,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = byte_encoder(public_tokenizers.path(vocabulary), public_tokenizers.path(tokens))
+        read = byte_reader(public_tokenizers.path(vocabulary), public_tokenizers.path(tokens))
         packer = Packer(capacity, pool)
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -161,9 +176,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             for first, _, data, offs in text_slices(batch, "text"):
                 raw = data.tobytes()
                 for j in range(len(offs) - 1):
-                    text = raw[offs[j] : offs[j + 1]].decode()
-                    own = enc.encode_to_numpy(text, allowed_special="all")
-                    own = np.append(own, np.uint32(end_id))
+                    own = np.append(read(raw[offs[j] : offs[j + 1]].decode(errors="replace")), np.uint32(end_id))
                     rows.extend(packer.add((ids[first + j], len(own)), 0, own))
                 if len(rows) >= 20_000:
                     yield flush()

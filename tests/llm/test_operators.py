@@ -233,6 +233,26 @@ def test_fill_is_optimal():
         assert not Counter(chosen) - Counter(lengths)
 
 
+@pytest.mark.parametrize("char", [" ", "\n", "a", "7", ".", " \n\t", "\u3000"])
+def test_ids_of_very_long_runs(char):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, text = str(public_tokenizers.path("byte_bpe_50k.json")), "x" + char * 1_500_000
+    read = packing.byte_reader(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), path)
+    assert read(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_texts_that_are_not_utf8(spark):
+    """Parquet holds any bytes in strings; what is broken counts as U+FFFD."""
+    broken = spark.sql("SELECT 0L AS doc_id, cast(concat(cast('the and of ' AS binary), unhex('FFC328E282')) AS string) AS text UNION ALL SELECT 1L, 'the and'")
+    mended = docs_of(spark, ["the and of \ufffd\ufffd(\ufffd", "the and"])
+    drop = lambda df: sorted(tuple(r) for r in df.drop("sequence_id", "offset").collect())
+    assert drop(packing.pack(broken)) == drop(packing.pack(mended))
+    model = language.learn(docs_of(spark, ["the and of the and"] * 3))
+    assert drop(language.identify(broken, model)) == drop(language.identify(mended, model))
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -434,6 +454,30 @@ def test_line_bands_find_similar_lines(spark, n):
     assert found >= 0.9 * len(pairs)
 
 
+def test_lines_of_the_documents_equal_brute_force(spark):
+    """Real lines of all lengths and similarities, through the whole operator."""
+    docs = [(r["doc_id"], r["text"]) for r in queries.table(spark, expected.SF_DIR.replace("0.001", "0.01"), "documents").where("doc_id < 400").select("doc_id", "text").collect()]
+    every = sorted({x for _, t in docs for x in (t or "").split("\n") if x.strip()})
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} or {x} for x in every]
+    rare = Counter(s for own in sets for s in own)
+    at = defaultdict(list)
+    for j, own in enumerate(sets):  # sets of a similarity of 0.8 share one of their rarest fifth and one
+        for s in sorted(own, key=lambda s: (rare[s], s))[: len(own) - -(-len(own) * 4 // 5) + 1]:
+            at[s].append(j)
+    pairs = {p for own in at.values() for p in combinations(own, 2)}
+    group = union_find(range(len(every)), [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert sum(group[j] != j for j in group) > 20
+    number, seen, want = {x: group[j] for j, x in enumerate(every)}, set(), {}
+    for doc, t in sorted(docs):
+        want[doc] = 0
+        for x in (t or "").split("\n"):
+            if x.strip():
+                want[doc] += number[x] in seen
+                seen.add(number[x])
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got[d] != want[d] for d in want) <= 2, [(d, got[d], want[d]) for d in want if got[d] != want[d]]
+
+
 def test_lines_without_words_equal_brute_force(spark):
     rng = random.Random(29)
     every = ["=====", "==========", "----", "-----", "------", "||||||", "*-*-*-*-*-*-*", "*-*-*-*-*-*-*-*", "\u2500" * 7, "\u2500" * 9, "\U0001f600" * 6, "\U0001f600" * 8, "abc", "abd"]
