@@ -1,8 +1,8 @@
-"""Unified diffs as column expressions, and hunk reversal as a DataFrame operation."""
+"""Unified diffs as column expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -126,21 +126,3 @@ def narrow_context(diff: Column, keep: int) -> Column:
         return F.concat(F.slice(rows, 1, start), trimmed)
 
     return F.array_join(F.flatten(F.transform(parts, narrowed)), "\n")
-
-
-def reverse_hunks(diffs: DataFrame, id_col: str = "id", diff_col: str = "diff", flip: bool = True) -> DataFrame:
-    """Each diff with its sides exchanged: hunk ranges and signs swap, and within a run removed lines come first.
-
-    Lines are rows of one diff; a run of changed lines ends at any other line. With flip false only the order
-    within runs is mended. Returns id and the diff.
-    """
-    w = Window.partitionBy(id_col).orderBy("pos")
-    rows = diffs.select(id_col, F.posexplode(F.split(F.col(diff_col), "\n")).alias("pos", "line"))
-    changed = F.col("line").rlike(r"^[-+]") & ~F.col("line").rlike(r"^(--- |\+\+\+ )")
-    rows = rows.withColumn("changed", changed).withColumn("run", F.sum(F.when(F.col("changed") & F.lag("changed", 1, False).over(w), 0).otherwise(1)).over(w))
-    if flip:
-        hunk = F.regexp_replace("line", r"^@@ -(\S+) \+(\S+) @@", r"@@ -$2 +$1 @@")
-        turned = F.when(F.col("line").startswith("+"), F.concat(F.lit("-"), F.substring("line", 2, 1 << 30))).otherwise(F.concat(F.lit("+"), F.substring("line", 2, 1 << 30)))
-        rows = rows.withColumn("line", F.when(F.col("changed"), turned).otherwise(hunk))
-    key = F.struct("run", F.when(F.col("changed") & F.col("line").startswith("+"), 1).otherwise(0).alias("side"), "pos", "line")
-    return rows.groupBy(id_col).agg(F.array_sort(F.collect_list(key)).alias("k")).select(id_col, F.array_join(F.transform("k", lambda x: x["line"]), "\n").alias(diff_col))

@@ -87,14 +87,29 @@ def norm(text: Column) -> Column:
 
 
 def frame(text: Column) -> Column:
-    """Numbers become N, identifier-like words ID, white space collapses."""
-    out = F.regexp_replace(text, r"[0-9]+", "N")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[A-Za-z_]*_[A-Za-z0-9_]*|[a-z]+[A-Z][A-Za-z0-9]*", "ID"), r"\s+", " "))
-
-
-def scrub(text: Column) -> Column:
-    """Terminal colours, ISO times, clock times and durations out of a program's output."""
-    out = F.regexp_replace(text, r"\x1b\[[0-9;]*[A-Za-z]", "")
-    out = F.regexp_replace(out, r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?Z?", "<time>")
-    out = F.regexp_replace(out, r"[0-9]{1,2}:[0-9]{2}:[0-9]{2}", "<time>")
-    return F.regexp_replace(out, r"[0-9]+(\.[0-9]+)? ?(ms|s|sec|seconds|minutes)([^A-Za-z]|$)", "<duration>$3")
+    """Whole numbers become N, lower-case words ID, white space collapses: what is left is the structure."""
+    out = F.regexp_replace(F.regexp_replace(text, r"\b[0-9]+\b", "N"), r"\b[a-z_][a-z0-9_]*\b", "ID")
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+#: What differs from run to run in a program's output, and what stands for it, in this order.
+VARYING = (
+    (r"\x1b\[[0-9;?]*[a-zA-Z]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)", ""),
+    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<time>"),
+    (r"\b\d{1,2}:\d{2}:\d{2}\b", "<time>"),
+    (r"(?i)\b\d+(?:\.\d+)?\s*\S*\s*ago\b", "<ago>"),
+    (r"(?i)\b\d+(?:[.,]\d+)?(?:ms|s|h)\b|\b\d+(?:[.,]\d+)?\s+(?:ms|secs?|seconds?|minutes?|hours?)\b", "<dur>"),
+)
+
+
+def scrub(text: Column, root: Column | None = None) -> Column:
+    """A program's output without what differs between runs: colours, the folder it ran in, times and durations; of a line that is drawn anew the last state. Null is empty."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r+(?=\n|\z)", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"[^\n]*\r", ""), r"[^\S\n]+(?=\n|\z)", "")
+    (colour, nothing), *others = VARYING
+    out = F.regexp_replace(out, colour, nothing)
+    if root is not None:
+        out = F.when(F.coalesce(root, F.lit("")) != "", F.replace(out, root, F.lit("<repo>"))).otherwise(out)
+    for pattern, sign in others:
+        out = F.regexp_replace(out, pattern, sign)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.text import frame, ngrams, words
@@ -36,41 +36,17 @@ def top_phrase(df: DataFrame, text: str, n: int, top: int) -> DataFrame:
     return rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_texts")).orderBy(F.desc("n_texts"), "phrase").limit(top)
 
 
-def ngram_coverage(answers: DataFrame, corpus: DataFrame, answer_id: str, answer_text: str, corpus_text: str, n: int) -> DataFrame:
-    """Share of each answer's words that lie in a run of n words of the corpus.
-
-    The corpus is distinct n-grams; both sides meet in one join on them, and
-    covered positions are the distinct ones of its hits.
-    """
-    tokens = words(F.coalesce(F.col(answer_text), F.lit("")))
-    known = corpus.select(F.explode(F.array_distinct(ngrams(words(F.coalesce(F.col(corpus_text), F.lit(""))), n))).alias("gram")).distinct()
-    rows = answers.select(F.col(answer_id), F.posexplode(ngrams(tokens, n)).alias("pos", "gram"))
-    hits = rows.join(known, "gram", "left_semi").select(answer_id, F.explode(F.sequence(F.col("pos"), F.col("pos") + n - 1)).alias("p")).groupBy(answer_id).agg(F.count_distinct("p").alias("covered"))
-    sizes = answers.select(answer_id, F.size(tokens).alias("n_words"))
-    return sizes.join(hits, answer_id, "left").select(answer_id, "n_words", F.coalesce("covered", F.lit(0)).cast("long").alias("covered"), F.round(F.coalesce(F.try_divide("covered", "n_words"), F.lit(0.0)), 6).alias("coverage"))
-
-
 def cross_group_reuse(df: DataFrame, group: str, text: str, n: int) -> DataFrame:
-    """Of each group's distinct n-grams, how many another group has, too. One aggregate, no self-join."""
-    grams = df.select(group, F.explode(F.array_distinct(ngrams(words(F.coalesce(F.col(text), F.lit(""))), n))).alias("gram")).distinct()
+    """Of each group's distinct n-grams, how many another group has, too. Hashed where they are read, one aggregate, no self-join."""
+    tokens = F.transform(words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.slice("_w", i, n)))
+    grams = df.select(group, tokens.alias("_w")).select(group, F.explode(F.array_distinct(F.when(F.size("_w") >= n, hashes))).alias("gram")).distinct()
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("g"), F.min(group).alias("only"))
     own = shared.where("g = 1").groupBy(F.col("only").alias(group)).agg(F.count(F.lit(1)).alias("alone"))
     total = grams.groupBy(group).agg(F.count(F.lit(1)).alias("n_grams"))
     return total.join(own, group, "left").select(group, "n_grams", (F.col("n_grams") - F.coalesce("alone", F.lit(0))).alias("n_shared"))
 
 
-def longest_shared_run(answers: DataFrame, corpus: DataFrame, answer_id: str, answer_text: str, corpus_id: str, corpus_text: str, n: int) -> DataFrame:
-    """Words of the longest run (n or more) that an answer shares with one corpus text; no row without any.
-
-    n-gram hits of a pair on one diagonal are islands of consecutive places.
-    """
-    a = answers.select(F.col(answer_id).alias("a"), F.posexplode(ngrams(words(F.coalesce(F.col(answer_text), F.lit(""))), n)).alias("i", "gram"))
-    b = corpus.select(F.col(corpus_id).alias("b"), F.posexplode(ngrams(words(F.coalesce(F.col(corpus_text), F.lit(""))), n)).alias("j", "gram"))
-    w = Window.partitionBy("a", "b", "d").orderBy("i")
-    hits = a.join(b, "gram").select("a", "b", "i", (F.col("i") - F.col("j")).alias("d")).withColumn("island", F.col("i") - F.row_number().over(w))
-    return hits.groupBy("a", "b", "d", "island").agg((F.count(F.lit(1)) + n - 1).alias("run")).groupBy(F.col("a").alias(answer_id)).agg(F.max("run").alias("longest_run"))
-
-
 #: Fixed value: explanations that tell of a missing guard.
 GUARD = (
     r"(?i)guard|missing check|missing.{0,12}(check|validation)|nil check|null check|unchecked|without check|no check|validat|sanitiz|bounds|out of range|"
@@ -78,7 +54,8 @@ GUARD = (
 )
 
 
-def guard_share(findings: DataFrame, explanation: str, by: list[str]) -> DataFrame:
-    """Findings, and those that tell of a missing guard."""
-    hit = F.coalesce(F.col(explanation).rlike(GUARD), F.lit(False))
-    return findings.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("guards"), F.round(F.avg(hit.cast("double")), 6).alias("share"))
+def guard_share(findings: DataFrame, category: str, explanation: str, by: list[str]) -> DataFrame:
+    """Findings of each group and category, and those whose category or explanation tells of a missing guard."""
+    text = F.concat_ws(" ", F.coalesce(F.col(category), F.lit("")), F.coalesce(F.col(explanation), F.lit("")))
+    hit = text.rlike(GUARD)
+    return findings.groupBy(*by, category).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("guards"), F.round(F.avg(hit.cast("double")), 6).alias("share"))

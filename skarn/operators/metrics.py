@@ -95,28 +95,6 @@ def calibration(df: DataFrame, band: Column, correct: Column) -> DataFrame:
     return out.withColumn("share", F.round(guarded(F.col("correct"), F.col("graded")), 6))
 
 
-def bootstrap_mean_difference(df: DataFrame, block: str, value: Column, other: Column, draws: int, seed: int) -> DataFrame:
-    """Paired block bootstrap of a difference of means.
-
-    Rows are summed by block once; each draw weighs every block by a Poisson
-    count that a hash of draw and block gives (so SQL can repeat it). The
-    interval's ends are the sorted draws at int(.025 n) and int(.975 n), p is
-    the share of draws up to 0.
-    """
-    sums = df.select(F.col(block).alias("g"), value.alias("x"), other.alias("y")).where("x is not null and y is not null").groupBy("g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
-    rows = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("g").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight, at, p = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):
-        weight = weight + F.when(u >= at, 1).otherwise(0)
-        p /= k
-        at += p
-    per_draw = rows.groupBy("draw").agg(F.sum(weight * F.col("x")).alias("x"), F.sum(weight * F.col("y")).alias("y"), F.sum(weight * F.col("n")).alias("n"))
-    d = F.round(guarded(F.col("x") - F.col("y"), F.col("n")), 9)
-    all_draws = per_draw.agg(F.array_sort(F.collect_list(d)).alias("d"))  # one number a draw
-    return all_draws.select(F.round(F.get("d", F.lit(int(0.025 * draws))), 6).alias("low"), F.round(F.get("d", F.lit(int(0.975 * draws))), 6).alias("high"), F.round(F.size(F.filter("d", lambda x: x <= 0)) / draws, 6).alias("p"))
-
-
 def overlap_report(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
     """Count, mean, upper median (the sorted value at n // 2) and share above 0."""
     v = df.select(*by, value.alias("v"))

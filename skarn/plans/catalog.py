@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions import answers, claims, coerce, diff, stats, text
-from skarn.operators import audits, history, joins, labels, metrics, ranking
+from skarn.operators import audits, history, joins, labels, metrics, ranking, reuse
 from skarn.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,17 +163,6 @@ for _k in range(1, 9):
     _at += _p
 
 
-@query(f"""
-    WITH {_LD}, b AS (SELECT source AS g, sum(t::INT) AS x, sum(p::INT) AS y, count(*) AS n FROM labelled GROUP BY source),
-    d AS (SELECT draw, x, y, n, ('0x' || substr(md5('11:' || draw || ':' || g), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM b, range(0, 200) r(draw)),
-    w AS (SELECT draw, x, y, n, {' + '.join(_CDF)} AS w FROM d),
-    s AS (SELECT round(coalesce((sum(w * x) - sum(w * y)) / nullif(sum(w * n), 0), 0), 9) AS d FROM w GROUP BY draw), l AS (SELECT list_sort(list(d)) AS l FROM s)
-    SELECT round(l[6], 6) AS low, round(l[196], 6) AS high, round(len(list_filter(l, lambda z: z <= 0)) / 200, 6) AS p FROM l
-""")
-def paired_bootstrap_ci(spark, sf_dir):
-    return metrics.bootstrap_mean_difference(labelled(spark, sf_dir), "source", buggy().cast("int"), flagged().cast("int"), 200, 11)
-
-
 # --- samples and splits
 
 
@@ -257,12 +246,14 @@ def repeated_sentences(spark, sf_dir):
     return audits.repeated_parts(table(spark, sf_dir, "documents"), F.split("text", "\n"), 8, 20)
 
 
-_FRAME = "trim(regexp_replace(regexp_replace(regexp_replace({}, '[0-9]+', 'N', 'g'), '[A-Za-z_]*_[A-Za-z0-9_]*|[a-z]+[A-Z][A-Za-z0-9]*', 'ID', 'g'), '\\s+', ' ', 'g'))"
+_FRAME = "trim(regexp_replace(regexp_replace(regexp_replace({}, '\\b[0-9]+\\b', 'N', 'g'), '\\b[a-z_][a-z0-9_]*\\b', 'ID', 'g'), '\\s+', ' ', 'g'))"
+_LINE = "'Order ' || o_orderkey || ' of cust_' || o_custkey % 9 || ': ' || lower(o_orderpriority) || CASE WHEN o_orderkey % 4 = 0 THEN ' x1  y' ELSE ' Total' END"
 
 
-@query(f"SELECT s_nation AS nation, count(DISTINCT f) AS n_frames, count(*) AS n_rows, round(count(DISTINCT f) / count(*), 6) AS ratio FROM (SELECT c_nationkey AS s_nation, {_FRAME.format('c_name')} AS f FROM customer) GROUP BY s_nation")
+@query(f"SELECT status, count(DISTINCT f) AS n_frames, count(*) AS n_rows, round(count(DISTINCT f) / count(*), 6) AS ratio FROM (SELECT o_orderstatus AS status, {_FRAME.format(f'({_LINE})')} AS f FROM orders) GROUP BY status")
 def frame_ratio(spark, sf_dir):
-    return audits.frame_ratio(table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "nation"), "c_name", ["nation"])
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.expr(_LINE).alias("line"))
+    return audits.frame_ratio(rows, "line", ["status"])
 
 
 @query(f"WITH {_LD} SELECT source, count(*) AS n_rows, count(DISTINCT quality) AS n_labels, round(avg(quality), 6) AS positive_share, count(DISTINCT quality) = 1 AS single FROM labelled GROUP BY source")
@@ -299,7 +290,7 @@ def case_insensitive_dup(spark, sf_dir):
     SELECT doc_id, n_words, coalesce(covered, 0) AS covered, round(coalesce(covered / nullif(n_words, 0), 0), 6) AS coverage FROM n LEFT JOIN c USING (doc_id)
 """)
 def ngram_coverage_vs_benchmark(spark, sf_dir):
-    return audits.ngram_coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "text", 6)
+    return reuse.against(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 6).drop("longest")
 
 
 @query(f"""
@@ -317,7 +308,8 @@ def self_similarity_leave_group_out(spark, sf_dir):
     SELECT doc_id, max(run) AS longest_run FROM r GROUP BY doc_id
 """)
 def longest_verbatim_run(spark, sf_dir):
-    return audits.longest_shared_run(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 6)
+    found = reuse.against(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", 6)
+    return found.where("longest > 0").select("doc_id", F.col("longest").alias("longest_run"))
 
 
 # --- text functions
@@ -362,9 +354,24 @@ def word_overlap_f1(spark, sf_dir):
     return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(text.overlap_f1(F.col("a"), F.col("b")), 6).alias("f1"))
 
 
-@query(f"WITH p AS ({_TURNS}), w AS (SELECT conv_id, turn, {_CONTENT.format('a')} AS x, {_CONTENT.format('b')} AS y FROM p), n AS (SELECT *, len(list_intersect(x, y)) AS k FROM w) SELECT conv_id, turn, round(coalesce(k / nullif(len(x) + len(y) - k, 0), 0), 6) AS jaccard FROM n".replace("{{", "{").replace("}}", "}"))
+_NAMED = "{0} || ' self.turn_' || turn % {1} || ' getNext' || chr(65 + (conv_id % {1})::INT) || ' plain return'"
+
+
+def _names(column: str) -> str:
+    """Names of a text as T3 has them, in SQL."""
+    own = f"regexp_extract_all({column}, '[A-Za-z_][A-Za-z0-9_.]{{2,}}')"
+    shaped = "regexp_matches(z, '_|\\.|[a-z][A-Z]')"
+    return f"list_distinct(list_concat(list_transform(list_filter({own}, lambda z: {shaped}), lambda z: trim(lower(z), '.')), list_filter(list_transform(list_filter({own}, lambda z: NOT {shaped}), lambda z: lower(z)), lambda z: z NOT IN ({_STOP_SQL}))))"
+
+
+@query(f"""
+    WITH p AS ({_TURNS}), t AS (SELECT conv_id, turn, {_NAMED.format('a', 2)} AS a, {_NAMED.format('b', 3)} AS b FROM p), w AS (SELECT conv_id, turn, {_names('a')} AS x, {_names('b')} AS y FROM t), n AS (SELECT *, len(list_intersect(x, y)) AS k FROM w)
+    SELECT conv_id, turn, round(coalesce(k / nullif(len(x) + len(y) - k, 0), 0), 6) AS jaccard FROM n
+""")
 def identifier_jaccard(spark, sf_dir):
-    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(text.jaccard(text.content_words(F.col("a")), text.content_words(F.col("b"))), 6).alias("jaccard"))
+    """Turns and the ones that follow, with names as code has them."""
+    named = lambda c, n: text.identifiers(F.concat(F.col(c), F.lit(" self.turn_"), F.col("turn") % n, F.lit(" getNext"), F.char(65 + F.col("conv_id") % n), F.lit(" plain return")))
+    return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(text.jaccard(named("a", 2), named("b", 3)), 6).alias("jaccard"))
 
 
 @query("SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?s)^(.*?[.!?])\\s', 1), ''), text) AS sentence FROM documents")
@@ -385,17 +392,27 @@ _EXPLAINED = "CASE l_linenumber % 5 WHEN 0 THEN concat('Missing null check on pa
 
 
 @query(f"""
-    SELECT flag AS corpus, count(*) AS n, count(*) FILTER (g) AS guards, round(avg(g::INT), 6) AS share
-    FROM (SELECT l_returnflag AS flag, CASE l_linenumber % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 3 THEN true ELSE false END AS g FROM lineitem) GROUP BY 1
+    SELECT flag AS corpus, category, count(*) AS n, count(*) FILTER (g) AS guards, round(avg(g::INT), 6) AS share
+    FROM (SELECT l_returnflag AS flag, CASE l_linenumber % 3 WHEN 0 THEN 'input-validation' WHEN 1 THEN 'logic' ELSE 'naming' END AS category, l_linenumber % 5 IN (0, 1, 3) OR l_linenumber % 3 = 0 AS g FROM lineitem) GROUP BY 1, 2
 """)
 def guard_share(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("corpus"), F.expr(_EXPLAINED).alias("explanation"))
-    return audits.guard_share(rows, "explanation", ["corpus"])
+    category = F.expr("CASE l_linenumber % 3 WHEN 0 THEN 'input-validation' WHEN 1 THEN 'logic' ELSE 'naming' END")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("corpus"), category.alias("category"), F.expr(_EXPLAINED).alias("explanation"))
+    return audits.guard_share(rows, "category", "explanation", ["corpus"])
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g'), '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?Z?', '<time>', 'g'), '[0-9]{1,2}:[0-9]{2}:[0-9]{2}', '<time>', 'g'), '[0-9]+(\\.[0-9]+)? ?(ms|s|sec|seconds|minutes)([^A-Za-z]|$)', '<duration>\\3', 'g') AS clean FROM pages")
+@query("""
+    SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'done in <dur>' WHEN 1 THEN 'ok ' || event_type || chr(10) || 'next' WHEN 2 THEN 'at <repo>/x.js:3' WHEN 3 THEN 'started <time> and <time>'
+        WHEN 4 THEN 'verified <ago>, took <dur> or <dur>, width 5m, total ' || event_id ELSE 'value = ' || event_id || chr(10) || '2' END AS clean FROM events
+""")
 def scrub_output(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.scrub(F.col("url")).alias("clean"))
+    """Outputs made of events, each with what its kind of run leaves behind."""
+    forms = [
+        r"concat('10%\r50%\rdone in ', event_id, ' seconds')", r"concat('\u001b[32mok ', event_type, '\u001b[0m\r\nnext  ')", "concat('at /tmp/wt-', user_id, '/x.js:3')",
+        "concat('started ', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), '.25Z and 11:02:33')", "concat('verified ', event_id, 's ago, took 1,5s or 12 Minutes, width 5m, total ', event_id)", r"concat('value = ', event_id, ' \r\n2')",
+    ]
+    output = F.element_at(F.array(*map(F.expr, forms)), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", text.scrub(output, F.concat(F.lit("/tmp/wt-"), "user_id")).alias("clean"))
 
 
 # --- history
@@ -563,7 +580,6 @@ def bic_smallest_fan(spark, sf_dir):
 
 
 _DIFF = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,3 +1,4 @@\n def f():\n-    return 1\n+    y = 2\n+    return y\n # end"
-_BACK = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,4 +1,3 @@\n def f():\n-    y = 2\n-    return y\n+    return 1\n # end"
 _SPACES = "--- a/y.c\n+++ b/y.c\n@@ -1 +1 @@\n-a  = 1;\n+a = 1;"
 
 
@@ -571,11 +587,6 @@ def _diffs(spark):
     return spark.createDataFrame([(1, _DIFF), (2, _SPACES)], "id int, diff string")
 
 
-@query(f"SELECT id, diff FROM {_values([(1, _BACK), (2, '--- a/y.c\n+++ b/y.c\n@@ -1 +1 @@\n-a = 1;\n+a  = 1;')])} v(id, diff)")
-def reverse_hunks(spark, sf_dir):
-    return diff.reverse_hunks(_diffs(spark))
-
-
 @query("SELECT * FROM (VALUES (1, 'x.py', 3, false), (2, 'y.c', 2, true)) v(id, files, n_changed, cosmetic)")
 def changed_lines(spark, sf_dir):
     d = F.col("diff")

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from skarn.functions import answers, claims, coerce, diff
+from skarn.functions import answers, claims, coerce, diff, patch, text
 from skarn.operators import metrics, ranking
 from skarn.sources import records
 from skarn.streaming import ingest
@@ -20,8 +20,12 @@ def one(spark, *cols):
 
 def test_reverse_hunks_twice_is_the_same(spark):
     rows = spark.createDataFrame([(1, EDIT), (2, "@@ -1 +1 @@\n-a\n+b"), (3, "")], "id int, diff string")
-    back = diff.reverse_hunks(diff.reverse_hunks(rows))
+    once = F.expr("diff")
+    back = rows.select("id", patch.reversed_diff(patch.reversed_diff(once)).alias("diff"))
     assert dict(back.collect()) == dict(rows.collect())
+    mixed = "@@ -1,2 +3,4 @@ f\n+a\n-b\n c\n+d"
+    got = one(spark, patch.reversed_diff(F.lit(mixed)).alias("a"), patch.reversed_diff(F.lit(mixed), flip=False).alias("b"))
+    assert list(got) == ["@@ -3,4 +1,2 @@ f\n-a\n+b\n c\n-d", "@@ -1,2 +3,4 @@ f\n-b\n+a\n c\n+d"]
 
 
 def test_changed_lines_and_sides(spark):
@@ -157,3 +161,14 @@ def test_json_in_answers(spark):
     assert strict["[{\"explanation\": \"x\"}]"] == '[{"explanation": "x"}]' and strict['{"explanation": "cut \\'] is None and strict["{"] is None
     assert strict['{"explanation":"a"} and more'] == '{"explanation": "a"}' and strict['3 apples {"explanation": 2}'] == '{"explanation": 2}' and strict['{"n": 1} {"explanation": "b"}'] == '{"n": 1}'
     assert one(spark, answers.extract_json(F.lit('see ```json\n{"a": 1}\n``` {"b": 2}')).alias("s")).s == '{"a": 1}'
+
+
+def test_scrub_and_frame(spark):
+    cases = {
+        "can't open '/tmp/wt-abc/t/main.py'": "can't open '<repo>/t/main.py'", "3 passed in 0.12s": "3 passed in <dur>", "took 450ms": "took <dur>", "done in 9 seconds": "done in <dur>", "built 2026-09-03T19:11:02Z": "built <time>",
+        "passes (verified 41s ago)": "passes (verified <ago>)", "started 11:02:33": "started <time>", "\x1b[32mok\x1b[0m": "ok", "10%\r50%\rdone": "done", "10%\r50%\r\nnext": "50%\nnext", "a\r\nb": "a\nb",
+        "sum_to(5) = 15": "sum_to(5) = 15", "10\n9\n2": "10\n9\n2", "total 100": "total 100", "width 5m": "width 5m", "": "", "tail  \n  x\t": "tail\n  x", "2 HOURS 3h": "<dur> <dur>",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.scrub(F.col("t"), F.lit("/tmp/wt-abc")).alias("x"))
+    assert {r.t: r.x for r in rows.collect()} == cases
+    assert one(spark, text.scrub(F.lit(None).cast("string")).alias("a"), text.frame(F.lit("the  f1 of 12 Items a_b X9")).alias("b")) == ("", "ID ID ID N Items ID X9")
