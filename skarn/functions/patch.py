@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skarn.functions.diff import lines
+from skarn.functions.text import let
 
 #: How lines begin that are no content, a hunk's header, and a definition.
 NO_CONTENT = r"^(diff |index |--- |\+\+\+ |old mode|new mode|new file|deleted file|similarity |rename |Binary )"
@@ -22,11 +23,6 @@ DEFINITION = r"^\s*(?:async\s+)?(?:def|class)\s+([A-Za-z_]\w*)"
 _FAR = 1 << 30
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once a row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _where(rows: Column, test: Callable[[Column], Column]) -> Column:
     """Indices of the elements that pass a test."""
     return F.filter(F.transform(rows, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
@@ -44,7 +40,7 @@ def _behind(x: Column) -> Column:
 def _runs(rows: Column, ends_run: Callable[[Column], Column]) -> Column:
     """Stretches between lines that end a run: (first index, their lines, the line that ends it or null)."""
     at = F.concat(F.array(F.lit(-1)), _where(rows, ends_run), F.array(F.size(rows)))
-    return _let(at, lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda k: F.struct(
+    return let(at, lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda k: F.struct(
         (F.get(b, k) + 1).alias("first"), F.slice(rows, F.get(b, k) + 2, F.get(b, k + 1) - F.get(b, k) - 1).alias("rows"), F.get(rows, F.get(b, k + 1)).alias("end"))))
 
 
@@ -85,7 +81,7 @@ def changed_places(diff: Column) -> Column:
         _where(lines(diff), lambda x: x.startswith("-") & ~no_content(x)).alias("removed"),
         _where(lines(diff), lambda x: ~x.rlike(HUNK) & ~no_content(x) & _behind(x).rlike(DEFINITION)).alias("definitions"),
     )
-    return _let(parts, places)
+    return let(parts, places)
 
 
 def line_index(diff: Column) -> Column:
@@ -111,7 +107,7 @@ def line_index(diff: Column) -> Column:
         lines(diff).alias("rows"), _where(lines(diff), heads).alias("heads"), _where(lines(diff), lambda x: x.startswith("+++ ")).alias("paths"),
         _where(lines(diff), lambda x: heads(x) | x.startswith("+++ ") | ~x.rlike("^([-+ ]|$)")).alias("stops"),
     )
-    return _let(parts, index)
+    return let(parts, index)
 
 
 def side_by_side(diff: Column) -> Column:
@@ -142,14 +138,14 @@ def side_by_side(diff: Column) -> Column:
                     return F.concat(F.when(longest > 0, both).otherwise(F.slice(both, 1, 0)), F.when(r["end"].isNotNull(), end).otherwise(F.slice(end, 1, 0)))
 
                 sides = F.struct(F.filter(r["rows"], lambda x: x.startswith("-")).alias("minus"), F.filter(r["rows"], lambda x: x.startswith("+")).alias("plus"), number("old", "added").alias("minus_no"), number("new", "removed").alias("plus_no"))
-                return _let(sides, pairs)
+                return let(sides, pairs)
 
             return F.flatten(F.transform(_runs(d["own"], lambda x: ~x.rlike("^[-+]")), run))
 
         start = lambda k: F.regexp_extract(header, HUNK, k).cast("long")
         title = F.array(F.struct(F.lit(None).cast("long").alias("left_no"), header.alias("left"), F.lit(None).cast("long").alias("right_no"), header.alias("right"), F.lit("hunk").alias("kind")))
         fields = F.struct(own.alias("own"), start(1).alias("old"), start(2).alias("new"), _where(own, lambda x: x.startswith("+")).alias("added"), _where(own, lambda x: x.startswith("-")).alias("removed"))
-        return F.concat(title, _let(fields, rows))
+        return F.concat(title, let(fields, rows))
 
     parts = F.filter(F.split(F.array_join(lines(diff), "\n"), rf"(?m)(?={HUNK})"), lambda x: x.rlike(rf"\A{HUNK[1:]}"))
     return F.flatten(F.transform(parts, lambda x: columns(F.split(x.substr(F.lit(1), F.length(x) - F.when(x.endswith("\n"), 1).otherwise(0)), "\n"))))
@@ -166,4 +162,4 @@ def reversed_diff(diff: Column, flip: bool = True) -> Column:
         return F.concat(run, F.when(r["end"].isNotNull(), F.array(end)).otherwise(F.slice(F.array(end), 1, 0)))
 
     unchanged = lambda x: ~x.rlike(r"^[-+]") | x.rlike(r"^(--- |\+\+\+ )")
-    return _let(F.split(diff, "\n"), lambda rows: F.array_join(F.flatten(F.transform(_runs(rows, unchanged), mended)), "\n"))
+    return let(F.split(diff, "\n"), lambda rows: F.array_join(F.flatten(F.transform(_runs(rows, unchanged), mended)), "\n"))

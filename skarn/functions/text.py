@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ STOP = (
 NAME = r"[A-Za-z_][A-Za-z0-9_.]{2,}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row: as a lambda's argument, as Spark puts what a column holds in each place that names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
