@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions import patch
+from skarn.functions import patch, verify
 from skarn.operators import process, resampling, reuse
 from skarn.plans.catalog import _LD, _grams, _TOKENS, buggy, flagged, labelled, query, table
 
@@ -179,3 +179,29 @@ def changed_places(spark, sf_dir):
 """)
 def reverse_hunks(spark, sf_dir):
     return order_diffs(spark, sf_dir).select("id", patch.reversed_diff(F.col("diff")).alias("diff"))
+
+
+# --- prose against measurements
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey AS id, o_orderkey % 8 AS kind, o_custkey::VARCHAR AS b, (o_custkey + 7)::VARCHAR AS a FROM orders),
+    s AS (SELECT *, 'The output changed from ' || b || ' to ' || a || '.' AS good, NOT contains(b, a) AND NOT contains(a, b) AS apart,
+        CASE WHEN kind IN (3, 4) THEN 'This is purely cosmetic for users.' WHEN kind = 6 THEN 'The `part_' || id || '` method was removed.' WHEN kind = 2 THEN 'The total went from ' || a || ' to ' || b || '.' END AS second FROM o)
+    SELECT id, CASE WHEN kind = 0 THEN '' WHEN kind IN (4, 6) OR (kind = 2 AND NOT apart) THEN good || ' ' || second ELSE good END AS kept,
+        CASE kind WHEN 0 THEN 'reports an observation that was never made (''The output changed'') with nothing measured|reports an observation that was never made (''Still prints'') with nothing measured'
+            WHEN 1 THEN 'invented [''-424242'', ''99887766'']' WHEN 2 THEN CASE WHEN apart THEN 'states the change as ''' || a || ''' -> ''' || b || '''; the measurement is the reverse' ELSE '' END
+            WHEN 3 THEN 'claims the change is harmless (''purely cosmetic'') with nothing measured' WHEN 5 THEN 'says ''part_' || id || ''' was removed, but no removed line in the diff mentions it' WHEN 7 THEN 'empty' ELSE '' END AS dropped
+    FROM s
+""")
+def filtered_prose(spark, sf_dir):
+    """Explanations made of orders: a sentence that holds, and one that is wrong in the way of the order's key."""
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 8
+    before, after = F.col("o_custkey").cast("string"), (F.col("o_custkey") + 7).cast("string")
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    removal, cosmetic = say("The `part_", key, "` method was removed."), F.lit("This is purely cosmetic for users.")
+    second = [F.lit("Still prints the list here."), F.lit("It then prints 99887766 and -424242."), say("The total went from ", after, " to ", before, "."), cosmetic, cosmetic, removal, removal, F.lit("Too short.")]
+    prose = say("The output changed from ", before, " to ", after, ". ", F.element_at(F.array(*second), (kind + 1).cast("int")))
+    diff = say("--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n", F.when(kind == 6, "-").otherwise("+"), "def part_", key, "(): pass\n+keep()")
+    found = verify.filtered_prose(prose, before, after, diff, ~kind.isin(0, 3), kind == 0)
+    return table(spark, sf_dir, "orders").select(key.alias("id"), found.alias("x")).select("id", "x.kept", F.array_join("x.dropped", "|").alias("dropped"))

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from skarn.functions import patch
+from skarn.functions import patch, verify
 from skarn.operators import process, resampling, reuse
 
 TWO_FILES = """commit abc
@@ -130,3 +130,28 @@ def test_measures_of_odd_commits(spark):
     assert got[1] == zeros | {"id": 1, "fix": 0, "ns": 1, "nd": 1, "nf": 1, "la": 10, "exp": 0, "rexp": 0.0}
     assert got[2] == {"id": 2, "fix": 1, "ns": 2, "nd": 2, "nf": 2, "la": 5, "ld": 1, "exp": 1, "sexp": 1, "entropy": 0.0, "lt": 5.0, "ndev": 0.5, "age": 0.0, "nuc": 0.5, "rexp": 1.0}
     assert got[3] == {"id": 3, "fix": 0, "ns": 1, "nd": 2, "nf": 2, "la": 1, "ld": 5, "exp": 0, "sexp": 0, "entropy": 0.918296, "lt": 7.0, "ndev": 0.5, "age": 10.0, "nuc": 1.0, "rexp": 0.0}
+
+
+def kept_and_dropped(spark, prose, before="", after="", diff="", measured=True, broken=False):
+    row = one(spark, verify.filtered_prose(*(F.lit(x) for x in (prose, before, after, diff, measured, broken))))
+    return row.kept, row.dropped
+
+
+def test_sentences_pass_one_by_one(spark):
+    split = lambda t: one(spark, verify.prose_sentences(F.lit(t)))
+    assert len(split("Calls h.Cache.Set(k, v) now. It failed in 0.12s.")) == 2 and split("One sentence only") == ["One sentence only"] and split("") == []
+    assert kept_and_dropped(spark, "The output changed from 10 to 15.", "10", "15") == ("The output changed from 10 to 15.", [])
+    kept, dropped = kept_and_dropped(spark, "This is safe. It does not affect behavior.", measured=False)
+    assert kept == "" and len(dropped) == 2
+    diff = "-old\n+    c.EventCache.Version()\n"
+    kept, dropped = kept_and_dropped(spark, "The `Version` method was removed from it. This causes the program to fail at `c.EventCache`.", diff=diff)
+    assert kept.startswith("This causes") and dropped == ["says 'Version' was removed, but no removed line in the diff mentions it"]
+    assert kept_and_dropped(spark, "This removes the `old` value and the rest.", diff=diff)[1] == []
+    assert kept_and_dropped(spark, "The function removes the leading zeros here. A write racing a `Clear` is dropped.", diff=diff)[1] == []
+    assert kept_and_dropped(spark, "It says 'it is not' and nothing is broken.", measured=False)[1] == ["claims the change is harmless ('nothing is broken') with nothing measured"]
+    assert kept_and_dropped(spark, None) == ("", []) and kept_and_dropped(spark, "The run gives 7 and 8 now.", "7", "9")[1] == ["invented ['8']"]
+
+
+def test_verdict_from_reading(spark):
+    args = [F.lit(x) for x in ("This change does not affect anything.", "", "", "")] + [F.lit(False), F.lit(False)]
+    assert one(spark, verify.verdict(*args)) == "claims the change is harmless ('does not affect') with nothing measured" and one(spark, verify.verdict(*args, may_judge=True)) is None
