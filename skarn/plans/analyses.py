@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions import patch, verify
-from skarn.operators import process, resampling, reuse
+from skarn.operators import process, ranks, resampling, reuse
 from skarn.plans.catalog import _LD, _grams, _TOKENS, buggy, flagged, labelled, query, table
 
 # --- resampling
@@ -205,3 +205,23 @@ def filtered_prose(spark, sf_dir):
     diff = say("--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n", F.when(kind == 6, "-").otherwise("+"), "def part_", key, "(): pass\n+keep()")
     found = verify.filtered_prose(prose, before, after, diff, ~kind.isin(0, 3), kind == 0)
     return table(spark, sf_dir, "orders").select(key.alias("id"), found.alias("x")).select("id", "x.kept", F.array_join("x.dropped", "|").alias("dropped"))
+
+
+# --- rank statistics
+
+
+@query(f"""
+    WITH {_LD}, v AS (SELECT n_chars AS x, doc_id % 13 + quality * 3 AS y FROM labelled), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM v)
+    SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r
+""")
+def rank_correlation(spark, sf_dir):
+    return ranks.spearman(labelled(spark, sf_dir), F.col("n_chars"), F.col("doc_id") % 13 + F.col("quality") * 3)
+
+
+@query(f"""
+    WITH {_LD}, v AS (SELECT n_chars - (400 + doc_id % 200) AS d FROM labelled WHERE n_chars <> 400 + doc_id % 200), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM v)
+    SELECT count(*) AS n, sum(r) FILTER (d > 0) AS w_plus, sum(r) FILTER (d < 0) AS w_minus FROM r
+""")
+def signed_rank_sums(spark, sf_dir):
+    """Against made-up lengths; the probability is tested on fixtures, as SQL has no normal distribution."""
+    return ranks.signed_rank(labelled(spark, sf_dir), F.col("n_chars"), 400 + F.col("doc_id") % 200).drop("p")

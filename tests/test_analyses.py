@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from skarn.functions import patch, verify
-from skarn.operators import process, resampling, reuse
+from skarn.operators import process, ranks, resampling, reuse
+from skarn.sources import sinks
 
 TWO_FILES = """commit abc
     -not a removed line
@@ -155,3 +158,45 @@ def test_sentences_pass_one_by_one(spark):
 def test_verdict_from_reading(spark):
     args = [F.lit(x) for x in ("This change does not affect anything.", "", "", "")] + [F.lit(False), F.lit(False)]
     assert one(spark, verify.verdict(*args)) == "claims the change is harmless ('does not affect') with nothing measured" and one(spark, verify.verdict(*args, may_judge=True)) is None
+
+
+def test_signed_rank_counts_all_signs(spark):
+    rnd = random.Random(6)
+    for n in (1, 5, 9):
+        d = rnd.sample([k * rnd.choice([-1, 1]) for k in range(1, 40)], n)
+        order = sorted(d, key=abs)
+        plus = sum(k + 1 for k, x in enumerate(order) if x > 0)
+        sums = [sum(k + 1 for k in range(n) if m >> k & 1) for m in range(1 << n)]
+        low = min(plus, n * (n + 1) // 2 - plus)
+        got = ranks.signed_rank(spark.createDataFrame([(x, 0) for x in [*d, 0, None]], "x int, y int"), F.col("x"), F.col("y")).first()
+        assert (got.n, got.w_plus) == (n, plus) and abs(got.p - min(1, 2 * sum(s <= low for s in sums) / (1 << n))) < 1e-6
+    tied = ranks.signed_rank(spark.createDataFrame([(x,) for x in [1] * 30 + [-1] * 10 + [2] * 20], "x int"), F.col("x"), F.lit(0)).first()
+    mean, sd = 60 * 61 / 4, (60 * 61 * 121 / 24 - (40**3 - 40 + 20**3 - 20) / 48) ** 0.5
+    assert (tied.w_plus, tied.w_minus) == (30 * 20.5 + 20 * 50.5, 10 * 20.5) and abs(tied.p - math.erfc((mean - 205) / sd / 2**0.5)) < 1e-6
+    assert ranks.signed_rank(spark.createDataFrame([(1,)], "x int"), F.col("x"), F.col("x")).first().p is None
+
+
+def test_rank_correlation_of_ties(spark):
+    df = spark.createDataFrame([(1, 5), (2, 6), (2, 7), (3, 7), (None, 1), (9, None)], "x int, y int")
+    assert tuple(ranks.spearman(df, F.col("x"), F.col("y")).first()) == (4, 0.833333)
+    assert ranks.spearman(df, F.lit(1), F.col("y")).first().rho is None
+
+
+def test_sinks_refuse_and_leave_nothing(spark, tmp_path):
+    rows = [(f"prompt {i} a.py", f"Target {i} says something of its own about a.py here.", ("train", "val", "test")[i % 3], i % 2) for i in range(30)]
+    schema = "prompt string, target string, split string, label int"
+    gates = [sinks.no_repeated_target("target"), sinks.no_repeated_sentence("target"), sinks.no_unseen_file("prompt", "target"), sinks.whole_splits("split", "label", ("train", "val", "test"))]
+    good = spark.createDataFrame(rows, schema)
+    assert sinks.publish(good, f"{tmp_path}/good", gates, by=("split",)) == []
+    assert spark.read.schema(good.schema).json(f"{tmp_path}/good").count() == 30 and [p.name for p in tmp_path.iterdir()] == ["good"]
+    bad = {
+        "one string": [*rows, *[("p a.py", "Same.", "train", 1)] * 4], "one sentence": [*rows, *((f"p{i} a.py", f"Own {i}. It is the very same sentence of more than eight words.", "val", 0) for i in range(5))],
+        "name a file": [*rows, ("p", "see b.py", "test", 1)], "empty: test": [r for r in rows if r[2] != "test"], "single label: val": [r for r in rows if r[2] != "val" or r[3]], "empty: train, val, test": [],
+    }
+    for said, own in bad.items():
+        with pytest.raises(sinks.Refused, match=said):
+            sinks.publish(spark.createDataFrame(own, schema), f"{tmp_path}/bad", gates)
+        assert [p.name for p in tmp_path.iterdir()] == ["good"]
+    assert len(sinks.publish(spark.createDataFrame(bad["name a file"], schema), f"{tmp_path}/warned", gates, refuse=False)) == 1
+    with pytest.raises(FileExistsError):
+        sinks.publish(good, f"{tmp_path}/good", gates)
