@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.functions import patch, verify
-from skarn.operators import process, ranks, resampling, reuse
+from skarn.functions import diff, patch, verify
+from skarn.operators import grading, process, ranks, resampling, reuse
 from skarn.plans.catalog import _LD, _grams, _TOKENS, buggy, flagged, labelled, query, table
 
 # --- resampling
@@ -225,3 +225,74 @@ def rank_correlation(spark, sf_dir):
 def signed_rank_sums(spark, sf_dir):
     """Against made-up lengths; the probability is tested on fixtures, as SQL has no normal distribution."""
     return ranks.signed_rank(labelled(spark, sf_dir), F.col("n_chars"), 400 + F.col("doc_id") % 200).drop("p")
+
+
+# --- grading
+
+
+def graded_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results made of orders: none or one finding, about a definition that changed, another file, or in plain words."""
+    item = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("id")).agg(F.max(F.when(F.col("l_partkey") % 7 == 0, F.col("l_partkey"))).alias("part"))
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id").join(order_diffs(spark, sf_dir), "id").join(item, "id", "left")
+    kind, named = F.col("id") % 4, F.concat(F.lit("part_"), F.coalesce("part", F.lit(0)))
+    said = F.when(kind == 1, F.concat(named, F.lit(" fails"))).when(kind == 2, "The value is wrong").otherwise("The part is wrong")
+    category = F.when(F.col("id") % 5 < 2, "logic").when(F.col("id") % 5 == 2, "naming").otherwise("bounds")
+    file = F.when(kind == 1, F.concat(F.lit("f"), F.col("id"), F.lit(".py"))).when(kind == 2, "other.py")
+    finding = F.struct(category.alias("category"), file.alias("file"), said.alias("explanation"))
+    return rows.select(
+        "id", F.col("o_orderstatus").alias("arm"), (F.col("id") % 3 == 0).alias("buggy"), F.when(F.col("id") % 10 == 9, "timeout").alias("error"), "diff", F.when(F.col("id") % 6 == 1, F.concat(F.lit("fix "), named)).alias("fix_diff"),
+        F.col("o_totalprice").alias("seconds"), F.when(kind == 0, F.slice(F.array(finding), 1, 0)).otherwise(F.array(finding)).alias("findings"),
+        F.when(F.col("id") % 7 < 3, F.array(F.lit("logic"))).alias("teacher"), F.lit("post-breaks").alias("direction"),
+    )
+
+
+_GRADED = """c AS (SELECT l_orderkey AS id, bool_or(l_partkey % 7 = 0) AS def, bool_or(l_partkey % 7 <> 0) AS part FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1),
+    r AS (SELECT o_orderkey AS id, o_orderstatus AS arm, o_orderkey % 3 = 0 AS t, o_orderkey % 4 AS kind, o_orderkey % 4 > 0 AS p, o_orderkey % 10 = 9 AS bad, o_totalprice AS s, coalesce(def, false) AS def, coalesce(part, false) AS part,
+        CASE WHEN o_orderkey % 5 < 2 THEN 'logic' WHEN o_orderkey % 5 = 2 THEN 'naming' ELSE 'bounds' END AS cat FROM orders LEFT JOIN c ON c.id = o_orderkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+    u AS (SELECT *, CASE kind WHEN 1 THEN def WHEN 2 THEN false ELSE NOT def AND part END AS g, CASE WHEN id % 6 = 1 THEN CASE WHEN kind = 1 THEN 0.5 ELSE 0 END END AS f FROM r WHERE NOT bad)"""
+
+
+@query(f"""
+    WITH {_GRADED}, n AS (SELECT arm, count(*) AS n, round(avg((NOT bad)::INT), 6) AS valid, list_sort(list(s))[count(*) // 2 + 1] AS median_seconds FROM r GROUP BY arm),
+    x AS (SELECT arm, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn, count(*) FILTER (p) AS n_findings,
+        round(coalesce(avg(g::INT) FILTER (p), 0), 6) AS grounded, round(avg(f) FILTER (p), 6) AS fix_agreement, count(f) FILTER (p) AS n_fix, round(avg((p AND cat = 'logic')::INT) FILTER (id % 7 < 3), 6) AS category_match FROM u GROUP BY arm),
+    k AS (SELECT arm, string_agg(cat || ':' || k, ',' ORDER BY k DESC, cat) AS categories FROM (SELECT arm, cat, count(*) AS k FROM u WHERE p GROUP BY ALL) GROUP BY arm),
+    q AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re FROM x)
+    SELECT arm, n, valid, tp, fp, fn, tn, round(pr, 6) AS precision, round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
+        n_findings, grounded, fix_agreement, n_fix, category_match, categories, median_seconds FROM n JOIN q USING (arm) JOIN k USING (arm)
+""")
+def score_card(spark, sf_dir):
+    return grading.score_card(graded_results(spark, sf_dir), ["arm"])
+
+
+@query("""
+    WITH c AS (SELECT l_orderkey AS id, bool_or(l_partkey % 7 = 0 AND l_returnflag <> 'N') AS changed_def, bool_or(l_partkey % 7 = 0) AS def, bool_or(l_partkey % 7 <> 0) AS part FROM lineitem GROUP BY 1)
+    SELECT o_orderkey AS id, CASE WHEN g THEN 1 ELSE 0 END AS n_kept, CASE WHEN o_orderkey % 4 = 0 OR g THEN 'post-breaks' ELSE 'unchanged' END AS direction
+    FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN false WHEN 1 THEN changed_def WHEN 2 THEN false ELSE NOT def AND part END AS g FROM orders JOIN c ON c.id = o_orderkey)
+""")
+def grounded_findings(spark, sf_dir):
+    """What is left of each result's findings, looked for in the whole hunks."""
+    rows = graded_results(spark, sf_dir)
+    return rows.select("id", grading.drop_ungrounded(F.col("findings"), F.col("direction"), F.col("diff")).alias("x")).select("id", F.size("x.findings").alias("n_kept"), "x.direction")
+
+
+# --- lines of diffs
+
+
+@query(f"""
+    WITH {_LINES}, g AS (SELECT id, count(*) FILTER (s <> ' ')::INT AS n_changed, coalesce(list_sort(list(trim(t)) FILTER (s = '-')), []) AS x, coalesce(list_sort(list(trim(t)) FILTER (s = '+')), []) AS y FROM n GROUP BY id)
+    SELECT id, 'f' || id || '.py' AS files, n_changed, n_changed > 0 AND x = y AS cosmetic FROM g
+""")
+def changed_lines(spark, sf_dir):
+    d = F.col("diff")
+    return order_diffs(spark, sf_dir).select("id", F.array_join(diff.files_in_diff(d), ",").alias("files"), F.size(diff.changed_lines(d)).alias("n_changed"), diff.cosmetic_only(d).alias("cosmetic"))
+
+
+@query(f"""
+    WITH {_LINES}, g AS (SELECT id, count(*) FILTER (s = '+')::INT AS p, count(*) FILTER (s = '-')::INT AS m, coalesce(sum(length(t) + 1) FILTER (s = '+'), 0)::INT AS pc, coalesce(sum(length(t) + 1) FILTER (s = '-'), 0)::INT AS mc, count(*)::INT AS n_lines FROM n GROUP BY id)
+    SELECT id, p AS added, m AS removed, p - m AS net, round(p / greatest(m, 1), 6) AS ratio, pc AS added_chars, mc AS removed_chars, pc - mc AS net_chars, round(pc / greatest(mc, 1), 6) AS chars_ratio, n_lines FROM g
+""")
+def count_features(spark, sf_dir):
+    f = diff.count_features(F.col("diff"))
+    whole = ("added", "removed", "net", "added_chars", "removed_chars", "net_chars", "n_lines")
+    return order_diffs(spark, sf_dir).select("id", *(f[n].alias(n) for n in whole), *(F.round(f[n], 6).alias(n) for n in ("ratio", "chars_ratio")))

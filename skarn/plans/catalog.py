@@ -579,26 +579,6 @@ def bic_smallest_fan(spark, sf_dir):
     return labels.smallest_fan(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fix"), F.col("l_partkey").alias("inducing")))
 
 
-_DIFF = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,3 +1,4 @@\n def f():\n-    return 1\n+    y = 2\n+    return y\n # end"
-_SPACES = "--- a/y.c\n+++ b/y.c\n@@ -1 +1 @@\n-a  = 1;\n+a = 1;"
-
-
-def _diffs(spark):
-    return spark.createDataFrame([(1, _DIFF), (2, _SPACES)], "id int, diff string")
-
-
-@query("SELECT * FROM (VALUES (1, 'x.py', 3, false), (2, 'y.c', 2, true)) v(id, files, n_changed, cosmetic)")
-def changed_lines(spark, sf_dir):
-    d = F.col("diff")
-    return _diffs(spark).select("id", F.array_join(diff.files_in_diff(d), ",").alias("files"), F.size(diff.changed_lines(d)).alias("n_changed"), diff.cosmetic_only(d).alias("cosmetic"))
-
-
-@query("SELECT * FROM (VALUES (1, 2, 1, 1, 2.0::DOUBLE, 23, 13, 10), (2, 1, 1, 0, 1.0::DOUBLE, 7, 8, -1)) v(id, added, removed, net, ratio, added_chars, removed_chars, net_chars)")
-def count_features(spark, sf_dir):
-    f = diff.count_features(F.col("diff"))
-    return _diffs(spark).select("id", *(f[n].alias(n) for n in ("added", "removed", "net", "ratio", "added_chars", "removed_chars", "net_chars")))
-
-
 # claims made up from order lines: the measured values are those of quantity and line number
 _MEASURED = "SELECT concat(l_orderkey, '-', l_linenumber) AS id, CAST(CAST(l_quantity AS INT) AS {t}) AS b, CAST(l_linenumber AS {t}) AS a, l_orderkey % 4 AS k, l_partkey % 4 AS m FROM {src}"
 

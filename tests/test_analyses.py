@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skarn.functions import patch, verify
-from skarn.operators import process, ranks, resampling, reuse
+from skarn.operators import grading, process, ranks, resampling, reuse
 from skarn.sources import sinks
 
 TWO_FILES = """commit abc
@@ -200,3 +200,15 @@ def test_sinks_refuse_and_leave_nothing(spark, tmp_path):
     assert len(sinks.publish(spark.createDataFrame(bad["name a file"], schema), f"{tmp_path}/warned", gates, refuse=False)) == 1
     with pytest.raises(FileExistsError):
         sinks.publish(good, f"{tmp_path}/good", gates)
+
+
+def test_grounding(spark):
+    diff = "diff --git a/a.py b/a.py\n--- a/a.py\n+++ b/a.py\n@@ -1,2 +1,2 @@\n window.Promise here\n-x = old_name(buf, size, limit)\n+x = fooBar(buf, size)"
+    plain = "--- a/m.c\n+++ b/m.c\n@@ -1 +1 @@\n-buf\n+len"
+    cases = [
+        (None, "calls `old_name` late", diff, False, True), ("b.py", "calls old_name late", diff, False, False), ("a.py", "fooBar is wrong", diff, False, True), ("a.py", "touches window.Promise", diff, False, False),
+        ("a.py", "touches window.Promise", diff, True, True), ("", "buf and size overflow", diff, False, False), ("", "buf, size and limit overflow", diff, False, True), ("", "the buf overflows", plain, False, True), (None, None, plain, False, False), (None, "buf", "", False, False),
+    ]
+    for file, said, code, context, want in cases:
+        assert one(spark, grading.grounded(F.lit(file).cast("string"), F.lit(said).cast("string"), F.lit(code), context)) == want, said
+    assert one(spark, grading.fix_agreement(F.lit("empty check in parse"), F.lit("+ parse(x) check"))) == 2 / 3 and one(spark, grading.fix_agreement(F.lit("a"), F.lit(""))) is None
