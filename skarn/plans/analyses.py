@@ -266,9 +266,9 @@ def score_card(spark, sf_dir):
 
 
 @query("""
-    WITH c AS (SELECT l_orderkey AS id, bool_or(l_partkey % 7 = 0 AND l_returnflag <> 'N') AS changed_def, bool_or(l_partkey % 7 = 0) AS def, bool_or(l_partkey % 7 <> 0) AS part FROM lineitem GROUP BY 1)
+    WITH c AS (SELECT l_orderkey AS id, bool_or((l_partkey % 7 = 0 AND l_returnflag <> 'N') OR l_partkey = 0) AS named, bool_or(l_partkey % 7 = 0) AS def, bool_or(l_partkey % 7 <> 0) AS part FROM lineitem GROUP BY 1)
     SELECT o_orderkey AS id, CASE WHEN g THEN 1 ELSE 0 END AS n_kept, CASE WHEN o_orderkey % 4 = 0 OR g THEN 'post-breaks' ELSE 'unchanged' END AS direction
-    FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN false WHEN 1 THEN changed_def WHEN 2 THEN false ELSE NOT def AND part END AS g FROM orders JOIN c ON c.id = o_orderkey)
+    FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN false WHEN 1 THEN named WHEN 2 THEN false ELSE NOT def AND part END AS g FROM orders JOIN c ON c.id = o_orderkey)
 """)
 def grounded_findings(spark, sf_dir):
     """What is left of each result's findings, looked for in the whole hunks."""
