@@ -1 +1 @@
-from skarn.plans import catalog, analyses  # noqa: F401, I001  (the second adds its queries to the first's)
+from skarn.plans import catalog, analyses, corpora  # noqa: F401, I001  (the others add their queries to the first's)
