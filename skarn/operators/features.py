@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
-def _terms(text: Column) -> Column:
-    """Words and pairs of neighbouring words, in lower case; null has none."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+def _terms(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, t): words and pairs of neighbouring words, in lower case; null has none. The words are a projection of their own, so that texts are read once."""
+    words = df.select(*keep, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0)).alias("_w"))
+    firsts = F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0)))
+    seconds = F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0)))
+    return words.select(*keep, F.concat("_w", F.zip_with(firsts, seconds, lambda a, b: F.concat(a, F.lit(" "), b))).alias("t"))
 
 
 def vocabulary(train: DataFrame, text: str, min_df: int = 3, size: int = 300) -> DataFrame:
@@ -25,13 +26,15 @@ def vocabulary(train: DataFrame, text: str, min_df: int = 3, size: int = 300) ->
     Counting shuffles hashes of terms only, summed before the shuffle; the
     text of a term is looked up for those that are common enough to be chosen.
     """
-    grams = train.select(F.transform(_terms(F.col(text)), lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("term"))).alias("g"))
-    once = F.transform(F.array_distinct("g"), lambda x: F.struct(x["h"].alias("h"), F.lit(0).cast("long").alias("tf"), F.lit(1).cast("long").alias("df")))
-    each = F.transform("g", lambda x: F.struct(x["h"].alias("h"), F.lit(1).cast("long").alias("tf"), F.lit(0).cast("long").alias("df")))
-    counts = grams.select(F.inline(F.concat(each, once))).groupBy("h").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(F.col("df") >= min_df)
+    terms = _terms(train, text)
+    # hashes, as distinct ones of an array of numbers are found by a hash set and those of structs by comparing all
+    hashed = terms.select(F.transform("t", lambda t: F.xxhash64(t)).alias("h"))
+    row = lambda h, tf, df: F.struct(h.alias("h"), F.lit(tf).cast("long").alias("tf"), F.lit(df).cast("long").alias("df"))
+    each = F.concat(F.transform("h", lambda h: row(h, 1, 0)), F.transform(F.array_distinct("h"), lambda h: row(h, 0, 1)))
+    counts = hashed.select(F.inline(each)).groupBy("h").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where(F.col("df") >= min_df)
     least = counts.orderBy(F.desc("tf")).limit(size).agg(F.min("tf").alias("least"))
     chosen = counts.join(F.broadcast(least)).where("tf >= least").drop("least")
-    named = grams.select(F.explode(F.array_distinct("g")).alias("x")).select("x.*").join(chosen.select("h"), "h", "left_semi").groupBy("h").agg(F.min("term").alias("term"))
+    named = terms.select(F.explode(F.array_distinct("t")).alias("term")).withColumn("h", F.xxhash64("term")).join(chosen.select("h"), "h", "left_semi").groupBy("h").agg(F.min("term").alias("term"))
     top = chosen.join(named, "h").orderBy(F.desc("tf"), "term").limit(size)
     n = F.broadcast(train.agg(F.count(F.lit(1)).alias("n")))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
@@ -44,7 +47,7 @@ def tfidf(df: DataFrame, id_col: str, text: str, train: Column, min_df: int = 3,
     A row without a term of the vocabulary has no rows. id must be unique.
     """
     terms = F.broadcast(vocabulary(df.where(train).select(text), text, min_df, size))  # at most ``size`` rows
-    tf = df.select(id_col, F.explode(_terms(F.col(text))).alias("term")).join(terms, "term").groupBy(id_col, "term", "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    tf = _terms(df, text, id_col).select(id_col, F.explode("t").alias("term")).join(terms, "term").groupBy(id_col, "term", "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
     raw = tf.withColumn("weight", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id_col)))
     return raw.withColumn("weight", F.col("weight") / norm).select(id_col, "term", "idx", "weight")
