@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.functions import profile
 from skarn.operators import features, sampling
 from skarn.operators.ranking import hash_key
 from skarn.plans.catalog import _order, query, table
@@ -96,6 +97,25 @@ def family_splits(spark, sf_dir):
     return sampling.family_splits(rows, "family", F.col("p"), 6, 0.1, 25, "id").select("id", "family", "split")
 
 
+@query("""
+    WITH o AS (SELECT o_orderkey AS id, o_orderkey % 10 AS kind, o_orderkey % 3 AS ext, count(l_orderkey) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+    SELECT id, CASE ext WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE CASE WHEN kind = 7 THEN '.js' ELSE '?' END END AS lang, CASE WHEN keep THEN n END AS n_lines, CASE WHEN keep THEN r > 0 END AS structured
+    FROM (SELECT *, n > 0 AND (ext < 2 OR kind = 7) AND kind NOT IN (1, 2, 3, 4, 5) AS keep FROM o)
+""")
+def commit_profiles(spark, sf_dir):
+    """Orders as commits, their items as changed lines: returned ones are branches; each tenth kind is noise of its own sort."""
+    key, kind = F.col("o_orderkey"), F.col("o_orderkey") % 10
+    line = F.when(kind == 1, "import part").when(kind == 2, "  # part").when(F.col("l_returnflag") == "R", "if part:").otherwise("part = call(part)")
+    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    rows = items.groupBy("o_orderkey").agg(F.concat_ws("\n", F.collect_list(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-"), line))).alias("body"))
+    main = F.concat(F.lit("src/a"), F.element_at(F.array(*map(F.lit, (".py", ".tsx", ".txt"))), (key % 3 + 1).cast("int")))
+    more = F.when(kind == 3, F.array(F.lit("src/b.c"))).when(kind == 4, F.array(F.lit("x/README.md"))).when(kind == 5, F.array(*(F.lit(f"d{j}.go") for j in range(5)))).when(kind == 7, F.array(F.lit("b.mjs"), F.lit(".ts"))).otherwise(F.array().cast("array<string>"))
+    files = F.concat(F.array(main), more)
+    diff = F.concat(F.lit("--- a/src/a\n+++ b/src/a\n@@ -1 +1 @@\n context\n+\n"), F.coalesce("body", F.lit("")))
+    found = table(spark, sf_dir, "orders").select("o_orderkey").join(rows, "o_orderkey", "left").select(key.alias("id"), profile.language_of(files).alias("lang"), profile.commit_profile(files, diff).alias("x"))
+    return found.select("id", "lang", F.col("x.n_lines").cast("long").alias("n_lines"), "x.structured")
+
+
 # --- features
 
 _TERMS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM documents), g AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w),

@@ -11,6 +11,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from skarn.functions import profile
 from skarn.operators import features, metrics, sampling
 from skarn.operators.ranking import hash_key
 from skarn.plans import catalog
@@ -205,3 +206,16 @@ def test_even_sample_and_negatives(spark):
 def test_matched_queries_are_not_vacuous(spark):
     rows = catalog.QUERIES["matched_quotas"](spark, expected.SF_DIR).collect()
     assert any(0 < r.taken < r.neg for r in rows) and any(r.taken == r.neg for r in rows)
+
+
+def test_noise_of_commits(spark):
+    code = "--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-x = 1\n+x = 2\n+\n+# why"
+    cases = [
+        (["x.py"], code, (2, False, ".py")), (["x.py", "a/b.java"], code, (2, False, ".java")), (["x.py"], code.replace("x = 2", "x += 2"), (2, True, ".py")),
+        ([], code, None), (["x.txt"], code, None), (["x.py", "y.h"], code, None), (["x.py", "d/Setup.py"], code, None), ([f"{j}.py" for j in range(6)], code, None),
+        ([".py"], code, None), (["x.PY"], code, None), (["x.py"], "", None), (["x.py"], None, None), (None, code, None), (["x.py"], "+# a\n+  \n-// b", None),
+        (["x.py"], "+import a\n-from b import c", None), (["x.py"], "+import a\n+a()", (2, False, ".py")), (["x.mjs"], "+x\n" * 500, (500, False, ".js")), (["x.mjs"], "+x\n" * 501, None),
+    ]
+    df = spark.createDataFrame([(j, f, d) for j, (f, d, _) in enumerate(cases)], "id int, f array<string>, d string")
+    got = {r.id: tuple(r.x) if r.x else None for r in df.select("id", profile.commit_profile(F.col("f"), F.col("d")).alias("x")).collect()}
+    assert got == {j: want for j, (_, _, want) in enumerate(cases)}
