@@ -80,9 +80,14 @@ def gate_band(spark, sf_dir):
     return labelled(spark, sf_dir).groupBy(coerce.risk_band(score(), 0.5).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey, lower(trim(o_orderstatus)) IN ('1', 'true', 'yes', 'buggy', 'defective', 'y') AS flag FROM orders")
+@query("""
+    SELECT o_orderkey, CASE o_orderkey % 8 WHEN 4 THEN false WHEN 6 THEN o_orderstatus = 'F' ELSE o_orderkey % 8 IN (0, 1, 3, 7) END AS flag FROM orders
+""")
 def boolean_text_parse(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", coerce.is_true(F.col("o_orderstatus")).alias("flag"))
+    """Words for true and others by the order's key, and one that its status decides."""
+    words = [F.lit(" Yes"), F.lit("TRUE"), F.lit("0"), F.lit("buggy "), F.lit(None).cast("string"), F.lit("yess"), F.regexp_replace("o_orderstatus", "F", "1"), F.lit("Defective")]
+    said = F.element_at(F.array(*words), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", coerce.is_true(said).alias("flag"))
 
 
 @query(f"WITH {_LD}, b AS (SELECT avg(t::INT) AS b FROM labelled) SELECT round(b, 6) AS base_rate, round(2 * b / (1 + b), 6) AS always_f1, round(b, 6) AS always_accuracy, round(1 - b, 6) AS never_accuracy FROM b")
