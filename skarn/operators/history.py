@@ -34,14 +34,19 @@ def recent_experience(df: DataFrame, key: str, ts: str, id_col: str, name: str)
     return rows.withColumn(name, F.round(F.coalesce(name, F.lit(0.0)), 6)).drop("k", "now", "_day")
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df, to be joined where both sides are dealt to: a history grows with its table, and what is broadcast is held by the driver first."""
+    return df.hint("merge")
+
+
 def first_touches_before(df: DataFrame, place: str, who: str, ts: str, id_col: str, name: str) -> DataFrame:
     """M1: distinct others and selves seen at a place before each event."""
     first = df.groupBy(place, who).agg(F.min(F.struct(ts, id_col)).alias("f")).select(place, F.col(f"f.{ts}").alias(ts), F.col(f"f.{id_col}").alias(id_col), F.lit(1).alias("_new"))
-    rows = df.join(first, [place, ts, id_col], "left").withColumn("_new", F.coalesce("_new", F.lit(0))).withColumn("_day", F.to_date(ts))
+    rows = df.join(apart(first), [place, ts, id_col], "left").withColumn("_new", F.coalesce("_new", F.lit(0))).withColumn("_day", F.to_date(ts))
     per_day = rows.groupBy(place, "_day").agg(F.sum("_new").alias("_n"))
     before = per_day.withColumn("_off", F.coalesce(F.sum("_n").over(Window.partitionBy(place).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inner = Window.partitionBy(place, "_day").orderBy(ts, id_col).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_new").over(inner), F.lit(0))).join(before, [place, "_day"])
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_new").over(inner), F.lit(0))).join(apart(before), [place, "_day"])
     return rows.withColumn(name, F.col("_in") + F.col("_off")).drop("_new", "_day", "_in", "_off")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.operators.history import first_touches_before
+from skarn.operators.history import apart, first_touches_before
 
 #: Parts of a subject that tell of a fix.
 FIX_WORDS = ("fix", "bug", "defect", "patch", "issue", "crash", "regression", "hotfix")
@@ -30,10 +30,10 @@ def before(df: DataFrame, keys: list[str], values: dict[str, tuple[str, Column]]
     upto = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
     months = per_month.select(*keys, "_month", *(agg[kind](f"_v_{n}").over(upto).alias(f"_m_{n}") for n, (kind, _) in values.items()))
     inner = Window.partitionBy(*keys, "_month").orderBy(ts, id_col).rowsBetween(Window.unboundedPreceding, -1)
-    events = per_event.select(*keys, "_month", ts, id_col, *(agg[kind](f"_v_{n}").over(inner).alias(f"_i_{n}") for n, (kind, _) in values.items())).join(months, [*keys, "_month"])
+    events = per_event.select(*keys, "_month", ts, id_col, *(agg[kind](f"_v_{n}").over(inner).alias(f"_i_{n}") for n, (kind, _) in values.items())).join(apart(months), [*keys, "_month"])
     both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b)}
     seen = events.select(*keys, ts, id_col, *(both[kind](F.col(f"_i_{n}"), F.col(f"_m_{n}")).alias(n) for n, (kind, _) in values.items()))
-    return df.join(seen, [*keys, ts, id_col])
+    return df.join(apart(seen), [*keys, ts, id_col])
 
 
 def recent_experience(commits: DataFrame) -> DataFrame:
@@ -47,10 +47,10 @@ def recent_experience(commits: DataFrame) -> DataFrame:
     earlier = times.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     seconds = lambda c: F.col(c).cast("timestamp").cast("double")
     score = F.sum(F.col("n") / ((seconds("now") - seconds("ts")) / YEAR + 1))
-    past = later.join(earlier, ["author", "_part"]).where("ts < now").groupBy("author", "now").agg(score.alias("past")).withColumnRenamed("now", "ts")
+    past = later.join(apart(earlier), ["author", "_part"]).where("ts < now").groupBy("author", "now").agg(score.alias("past")).withColumnRenamed("now", "ts")
     order = Window.partitionBy("author", "ts").orderBy("id")
     rows = commits.select("id", "author", "ts", (F.row_number().over(order) - 1).alias("same"))
-    return rows.join(past, ["author", "ts"], "left").select("id", (F.coalesce("past", F.lit(0.0)) + F.col("same")).alias("rexp"))
+    return rows.join(apart(past), ["author", "ts"], "left").select("id", (F.coalesce("past", F.lit(0.0)) + F.col("same")).alias("rexp"))
 
 
 def process_measures(commits: DataFrame, changes: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def process_measures(commits: DataFrame, changes: DataFrame) -> DataFrame:
     the commit's subsystems. A commit without files has zeros for all that concern files.
     """
     path = F.col("path")
-    lines = changes.join(commits.select("id", "author", "ts"), "id").select(
+    lines = changes.join(apart(commits.select("id", "author", "ts")), "id").select(
         "id", "author", "ts", "path", F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("deleted", F.lit(0)).alias("deleted"),
         F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1)).otherwise(".").alias("subsystem"), F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, "^(.*)/", 1)).otherwise(".").alias("folder"),
     )
@@ -83,6 +83,6 @@ def process_measures(commits: DataFrame, changes: DataFrame) -> DataFrame:
     sexp = before(touched, ["author", "subsystem"], {"sexp": ("sum", F.col("n"))}).groupBy("id").agg(F.sum("sexp").alias("sexp"))
     exp = before(commits.select("id", "author", "ts"), ["author"], {"exp": ("sum", F.lit(1))}).select("id", "exp")
     fix = F.lower(F.coalesce("subject", F.lit(""))).rlike("|".join(FIX_WORDS)).cast("int")
-    out = commits.select("id", fix.alias("fix")).join(per_file.withColumn("entropy", entropy), "id", "left").join(sexp, "id", "left").join(exp, "id", "left").join(recent_experience(commits), "id", "left")
+    out = commits.select("id", fix.alias("fix")).join(apart(per_file.withColumn("entropy", entropy)), "id", "left").join(apart(sexp), "id", "left").join(apart(exp), "id", "left").join(apart(recent_experience(commits)), "id", "left")
     whole, real = ("ns", "nd", "nf", "la", "ld", "exp", "sexp"), ("entropy", "lt", "ndev", "age", "nuc", "rexp")
     return out.select("id", "fix", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in whole), *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in real))

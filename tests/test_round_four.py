@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from skarn.operators import reuse
+from skarn.operators import process, reuse
 
 
 def _common_run(a: list[str], b: list[str]) -> int:
@@ -52,3 +52,11 @@ def test_groups_of_equal_record_ids_in_two_tables(spark):
     rows = spark.createDataFrame([(1, "a b c d e f g"), (2, None)], "id int, text string")
     got = reuse.against(rows, rows.withColumn("text", F.concat(F.lit("z "), "text")), "id", "text", "id", "text", 6).collect()
     assert {(r.id, r.n_words, r.covered, r.longest) for r in got} == {(1, 7, 7, 7), (2, 0, 0, 0)}
+
+
+def test_process_measures_broadcast_no_history(spark):
+    commits = spark.createDataFrame([(1, "a", "2024-01-01", "fix x"), (2, "a", "2024-01-02", "add y")], "id long, author string, ts string, subject string").withColumn("ts", F.to_date("ts"))
+    changes = spark.createDataFrame([(1, "d/x", 1, 0), (2, "d/x", 2, 1)], "id long, path string, added long, deleted long")
+    df = process.process_measures(commits, changes)
+    assert sorted((r.id, r.nuc, r.ndev, r.exp, r.sexp) for r in df.collect()) == [(1, 0.0, 0.0, 0, 0), (2, 1.0, 1.0, 1, 1)]
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
