@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import cut, text_slices, word_hashes
+from skarn.llm.linking import likely_in
+from skarn.operators.ranking import running_by_value
 
-#: Labelled documents of each label that the scores are learned from at most; preferred documents that each other one is paired with, about.
-TRAIN_DOCS, PAIRS_EACH = 3000, 4
+#: Preferred documents that each other one is paired with, about.
+PAIRS_EACH = 4
 #: Where predicted turns to 1.
 THRESHOLD = 0.3
 FEATURES = ["upper", "symbol", "digit", "space", "newline", "high", "pipe", "punct_run", "word_len", "distinct", "repeat", "top", "log_words", "log_bytes", "entropy"]
@@ -99,45 +101,45 @@ def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, x array<double>")
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> Ranking | None:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> Ranking | None:
     """Bradley-Terry weights from pairs of a preferred (label 1) and another document (label 0).
 
-    The sample is at most about train_docs labelled rows of each label, by a
-    hash of the id; rows without a label or text play no part. Pairs meet by a
-    hash bucket. The logistic loss on feature differences has no intercept.
-    The cut is the quantile of the sample's scores at the share of label 0
-    among all labelled rows. None if a label is missing.
+    All labelled rows are learned from; rows without a label or text play no
+    part. Pairs meet by a hash bucket. The logistic loss on feature
+    differences has no intercept. The cut is the quantile of the scores at the
+    share of label 0 among all labelled rows; scales, scores and the cut are
+    aggregates, the driver gets a few numbers. None if a label is missing.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    keep = F.lit(False)
-    for label, total in n.items():
-        keep = keep | ((F.col("label") == label) & (draw < train_docs / total))
-    # about 2 * train_docs rows of two numbers
-    chosen = F.broadcast(known.where(keep))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(chosen, "doc_id")
-    sample = cut(_featured(texts, ["doc_id", "label"]))
-    got = sample.select("label", "x").collect()
-    if len({r["label"] for r in got}) < 2:
+    # texts without a label are left out before they are looked at, and only their features are joined
+    texts = likely_in(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null"), "doc_id", known.select("doc_id"))
+    learnt = cut(_featured(texts, ["doc_id"]).join(known, "doc_id"))
+    each = range(len(FEATURES))
+    counted = [F.count_if(F.col("label") == label).alias(f"n{label}") for label in (0, 1)]
+    told = learnt.agg(*counted, *(F.avg(F.get("x", F.lit(k))).alias(f"m{k}") for k in each), *(F.stddev_pop(F.get("x", F.lit(k))).alias(f"s{k}") for k in each)).first()
+    if not told["n0"] or not told["n1"]:
         return None
-    x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    mean, scale = np.array([told[f"m{k}"] for k in each]), np.array([told[f"s{k}"] for k in each]) + 1e-6
     scaled = F.transform(F.arrays_zip("x", F.array(*map(F.lit, mean.tolist())).alias("m"), F.array(*map(F.lit, scale.tolist())).alias("s")), lambda v: F.least(F.greatest((v["x"] - v["m"]) / v["s"], F.lit(-8.0)), F.lit(8.0)))
-    buckets = max(1, min(train_docs, int((y == 1).sum())) // PAIRS_EACH)
-    rows = sample.select("label", scaled.alias("z"), F.pmod(F.xxhash64(F.lit("pair"), "doc_id"), F.lit(buckets)).alias("bucket"))
+    buckets = max(1, told["n1"] // PAIRS_EACH)
+    rows = learnt.select("label", scaled.alias("z"), F.pmod(F.xxhash64(F.lit("pair"), "doc_id"), F.lit(buckets)).alias("bucket"))
     good = rows.where("label = 1").select("bucket", F.col("z").alias("g"))
     pairs = good.join(rows.where("label = 0").select("bucket", F.col("z").alias("b")), "bucket")
     both = pairs.select(F.zip_with("g", "b", lambda g, b: g - b).alias("d"), F.lit(1.0).alias("label")).union(pairs.select(F.zip_with("g", "b", lambda g, b: b - g).alias("d"), F.lit(0.0).alias("label")))
     fitted = LogisticRegression(fitIntercept=False, regParam=1e-3, maxIter=60, standardization=False).fit(both.select(array_to_vector("d").alias("features"), "label"))
     ranking = Ranking(mean, scale, fitted.coefficients.toArray(), 0.0, 1.0, threshold)
-    raw = ranking.raw(x)
-    weight = np.where(y == 1, n[1] / max(1, (y == 1).sum()), n[0] / max(1, (y == 0).sum()))
-    order = np.argsort(raw)
-    ranking.cut_at = float(np.interp(n[0] / (n[0] + n[1]), np.cumsum(weight[order]) / weight.sum(), raw[order]))
-    ranking.width = float(raw.std() + 1e-9)
+    terms = F.zip_with("z", F.array(*map(F.lit, ranking.weights.tolist())), lambda z, w: z * w)
+    raw = cut(rows.select("label", F.aggregate(terms, F.lit(0.0), lambda s, v: s + v).alias("raw")))
+    weight = F.when(F.col("label") == 1, n[1] / told["n1"]).otherwise(n[0] / told["n0"])
+    values = running_by_value(raw, "raw", {"w": F.sum(weight)})
+    place = float(n[0])  # of n[0] + n[1], the weight of all
+    above = values.where(F.col("w_below") + F.col("w") >= place * (1 - 1e-12)).agg(F.min(F.struct("raw", "w_below", "w")).alias("v")).first()["v"]
+    below = values.where(F.col("raw") < above["raw"]).agg(F.max("raw").alias("raw")).first()["raw"]
+    ranking.cut_at = above["raw"] if below is None else below + (above["raw"] - below) * min(1.0, max(0.0, (place - above["w_below"]) / above["w"]))
+    ranking.width = raw.agg(F.stddev_pop("raw").alias("sd")).first()["sd"] + 1e-9
     return ranking
 
 
