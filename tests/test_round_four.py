@@ -7,6 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from skarn.functions import diff, verify
 from skarn.operators import process, reuse
 
 
@@ -60,3 +61,17 @@ def test_process_measures_broadcast_no_history(spark):
     df = process.process_measures(commits, changes)
     assert sorted((r.id, r.nuc, r.ndev, r.exp, r.sexp) for r in df.collect()) == [(1, 0.0, 0.0, 0, 0), (2, 1.0, 1.0, 1, 1)]
     assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cosmetic_diffs_are_split_once(spark):
+    told = diff.cosmetic_only(F.col("d"))
+    rows = spark.createDataFrame([("+++ b/a.py\n-# x\n+# y",), ("+++ b/a.JS\n-// x\n+a",), ("+++ b/a\n-a  b\n+ a b",), ("-# x\n+# y",), ("+++ b/a.html\n+<!-- x",), ("+++ b/a.py\n+",)], "d string")
+    assert [r[0] for r in rows.select(told).collect()] == [True, False, True, False, True, False]
+    assert rows.select(told)._jdf.queryExecution().analyzed().toString().count("split(") == 2  # the expression and the column's name
+
+
+def test_prose_looks_for_what_was_removed_once(spark):
+    rows = spark.createDataFrame([("The `part_x` method was removed.", "-def part_y()"), ("The `part_x` method was removed.", "-def part_x()"), ("Nothing here.", "+x")], "p string, d string")
+    told = verify.phantom_removal(F.col("p"), F.col("d"))
+    assert [r[0] for r in rows.select(told).collect()] == ["says 'part_x' was removed, but no removed line in the diff mentions it", None, None]
+    assert rows.select(told)._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") <= 12
