@@ -92,8 +92,9 @@ def phantom_removal(prose: Column, diff: Column) -> Column:
     subject = lambda x: code_like(x["name"], prose) & ~upto(x).rlike(OBJECT_OF)
     first = F.get(F.filter(F.concat(*(named(p, 1, 3) for p in REMOVED)), subject), F.lit(0))["name"]
     last = F.element_at(F.split(first, r"\."), -1)
-    missing = first.isNotNull() & ~F.exists(changed_lines(diff, "-"), lambda x: F.contains(x, last))
-    return F.when(missing, F.concat(F.lit("says "), _quoted(last), F.lit(" was removed, but no removed line in the diff mentions it")))
+    missing = lambda n: n.isNotNull() & ~F.exists(changed_lines(diff, "-"), lambda x: F.contains(x, n))
+    why = let(last, lambda n: F.when(missing(n), F.concat(F.lit("says "), _quoted(n), F.lit(" was removed, but no removed line in the diff mentions it"))))
+    return F.when(prose.rlike("(?i)remov|delet|drop|strip"), why)  # one of these stands in every such statement
 
 
 def reversed_claim(prose: Column, before: Column, after: Column) -> Column:
@@ -101,10 +102,11 @@ def reversed_claim(prose: Column, before: Column, after: Column) -> Column:
     value = lambda i: F.regexp_extract_all(prose, F.lit(FROM_TO), F.lit(i))
     bare = lambda x: F.btrim(norm(x), F.lit("`'\" "))
     pairs = F.zip_with(value(1), value(2), lambda x, y: F.struct(bare(x).alias("x"), bare(y).alias("y")))
-    b, a = norm(before), norm(after)
-    wrong = lambda p: (p["x"] != "") & (p["y"] != "") & (p["x"] != p["y"]) & F.contains(a, p["x"]) & ~F.contains(b, p["x"]) & F.contains(b, p["y"]) & ~F.contains(a, p["y"])
-    first = F.get(F.filter(pairs, wrong), F.lit(0))
-    return F.when((b != a) & first.isNotNull(), F.concat(F.lit("states the change as "), _quoted(first["x"]), F.lit(" -> "), _quoted(first["y"]), F.lit("; the measurement is the reverse")))
+    sides = F.struct(norm(before).alias("b"), norm(after).alias("a"))
+    wrong = lambda p, b, a: (p["x"] != "") & (p["y"] != "") & (p["x"] != p["y"]) & F.contains(a, p["x"]) & ~F.contains(b, p["x"]) & F.contains(b, p["y"]) & ~F.contains(a, p["y"])
+    first = let(sides, lambda v: F.when(v["b"] != v["a"], F.get(F.filter(pairs, lambda p: wrong(p, v["b"], v["a"])), F.lit(0))))
+    said = lambda p: F.when(p.isNotNull(), F.concat(F.lit("states the change as "), _quoted(p["x"]), F.lit(" -> "), _quoted(p["y"]), F.lit("; the measurement is the reverse")))
+    return let(first, said)
 
 
 def verdict(prose: Column, before: Column, after: Column, diff: Column, measured: Column, baseline_broken: Column, may_judge: bool = False) -> Column:
@@ -115,10 +117,10 @@ def verdict(prose: Column, before: Column, after: Column, diff: Column, measured
     """
     numbers = lambda x: F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"-?\d+"), F.lit(0))
     invented = F.array_sort(F.array_except(numbers(prose), F.concat(numbers(before), numbers(after), numbers(diff), F.array(*map(F.lit, FREE_NUMBERS)))))
-    listed = F.concat(F.lit("invented ['"), F.array_join(F.slice(invented, 1, 2), "', '"), F.lit("']"))
+    listed = F.when(prose.rlike(r"\d"), let(invented, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("invented ['"), F.array_join(F.slice(x, 1, 2), "', '"), F.lit("']")))))
     blank = F.length(F.btrim(F.regexp_replace(F.coalesce(prose, F.lit("")), r"^\s+|\s+$", ""))) < LEAST
     unsupported = F.lit(None).cast("string") if may_judge else F.when(~measured, unmeasured_claim(prose, baseline_broken))
-    return F.coalesce(F.when(blank, "empty"), F.when(F.size(invented) > 0, listed), unsupported, phantom_removal(prose, diff), reversed_claim(prose, before, after))
+    return F.coalesce(F.when(blank, "empty"), listed, unsupported, phantom_removal(prose, diff), reversed_claim(prose, before, after))
 
 
 def prose_sentences(prose: Column) -> Column:
