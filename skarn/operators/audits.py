@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.functions.text import frame, ngrams, words
+from skarn.functions.text import frame, words
+from skarn.operators.grams import commonest, word_grams
 
 
 def distinct_targets(df: DataFrame, text: str) -> DataFrame:
@@ -32,19 +33,17 @@ def single_label_families(df: DataFrame, family: str, label: str) -> DataFrame:
 
 def top_phrase(df: DataFrame, text: str, n: int, top: int) -> DataFrame:
     """The phrases of n words that most texts have: a top-k report."""
-    rows = df.select(F.explode(F.array_distinct(ngrams(words(F.col(text)), n))).alias("phrase"))
-    return rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_texts")).orderBy(F.desc("n_texts"), "phrase").limit(top)
+    found = commonest(df, words(F.coalesce(F.col(text), F.lit(""))), text, (n,), "df", top)
+    return found.orderBy(F.desc("df"), "run").select(F.col("run").alias("phrase"), F.col("df").alias("n_texts"))
 
 
 def cross_group_reuse(df: DataFrame, group: str, text: str, n: int) -> DataFrame:
-    """Of each group's distinct n-grams, how many another group has, too. Hashed where they are read, one aggregate, no self-join."""
-    tokens = F.transform(words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w))
-    hashes = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.slice("_w", i, n)))
-    grams = df.select(group, tokens.alias("_w")).select(group, F.explode(F.array_distinct(F.when(F.size("_w") >= n, hashes))).alias("gram")).distinct()
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("g"), F.min(group).alias("only"))
-    own = shared.where("g = 1").groupBy(F.col("only").alias(group)).agg(F.count(F.lit(1)).alias("alone"))
-    total = grams.groupBy(group).agg(F.count(F.lit(1)).alias("n_grams"))
-    return total.join(own, group, "left").select(group, "n_grams", (F.col("n_grams") - F.coalesce("alone", F.lit(0))).alias("n_shared"))
+    """Of each group's distinct n-grams, how many another group has, too. Hashed where they are read and shuffled once, no self-join."""
+    each = word_grams(df.select(F.xxhash64(group).alias("g"), text), ["g"], text, n, places=False).repartition("h").distinct()
+    groups = F.count(F.lit(1)).over(Window.partitionBy("h"))  # rows of an n-gram: one for each group that has it
+    found = each.select("g", (groups > 1).alias("shared")).groupBy("g").agg(F.count(F.lit(1)).alias("n_grams"), F.count_if("shared").alias("n_shared"))
+    names = df.select(group).distinct().withColumn("g", F.xxhash64(group))
+    return names.join(found, "g").select(group, "n_grams", "n_shared")
 
 
 #: Fixed value: explanations that tell of a missing guard.
