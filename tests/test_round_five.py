@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from skarn.operators import audits, features, grams
+from skarn.operators import audits, features, grams, resampling
 
 
 def _plan(df) -> str:
@@ -37,3 +40,23 @@ def test_phrases_are_counted_by_hashes(spark, monkeypatch):
     assert [tuple(r) for r in audits.top_phrase(rows, "text", 3, 2).collect()] == [("a b c", 2), ("b c d", 2)]
     assert [tuple(r) for r in audits.top_phrase(rows, "text", 3, 4).collect()] == [("a b c", 2), ("b c d", 2), ("c d a", 1), ("d a b", 1)]
     assert plans and all("hashpartitioning(h" in p and "phrase" not in p for p in plans)
+
+
+def test_digests_of_numpy():
+    for size in (0, 3, 4, 7, 20, 55):
+        texts = np.random.default_rng(size).integers(0, 256, (9, size), np.uint8)
+        want = [np.frombuffer(hashlib.md5(t.tobytes()).digest(), ">u4").tolist() for t in texts]
+        assert resampling.md5_words(texts).tolist() == want
+
+
+def test_draws_are_counted_without_a_shuffle(spark, monkeypatch):
+    for n in (0, 1, 3, 47):
+        blocks = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 3).alias("x"), (F.col("id") % 5 / 4).alias("y"), F.lit(1).alias("one"))
+        monkeypatch.setattr(resampling, "KINDS", 15)
+        monkeypatch.setattr(resampling, "AT_ONCE", 8 if n == 47 else 1 << 15)
+        counted = resampling.drawn_sums(blocks, "k", ["x", "y", "one"], 123, 9)
+        assert not n or "Exchange" not in _plan(counted)
+        monkeypatch.setattr(resampling, "KINDS", 0)
+        joined = resampling.drawn_sums(blocks, "k", ["x", "y", "one"], 123, 9)
+        assert counted.dtypes == joined.dtypes
+        assert {tuple(r) for r in counted.collect()} == {tuple(r) for r in joined.collect()}
