@@ -106,16 +106,18 @@ def link_classes(members: DataFrame, traits: DataFrame, plausible: Callable[[Cal
         is_head = (F.col("comp") != F.col("most")) & ((F.col("others") <= wanted) | (F.pmod(F.xxhash64("node", F.lit(heads or 0)), thin) == 0))
         # heads and others are both dealt to that many parts, so that each row is copied to the root of the number of tasks only
         side = F.ceil(F.sqrt(wanted * F.col("all") / TASK_PAIRS)).cast("int")
-        open_ = few(members.join(small(mixed), "key").select("key", "node", "comp", side.alias("side"), is_head.alias("is_head")))
+        # few are compared whatever their sizes; in crowded buckets sizes are told apart by bins
+        crowded = F.col("others") * F.col("all") > CROWDED
+        open_ = few(members.join(small(mixed), "key").select("key", "node", "comp", side.alias("side"), crowded.alias("crowded"), is_head.alias("is_head")))
         # a pair that shares several buckets is looked for in the first of those in which it has a head
-        held = open_.groupBy("node").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("key", "side", "is_head")).alias("at"))
+        held = open_.groupBy("node").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("key", "side", "crowded", "is_head")).alias("at"))
         held = held.select("node", "comp", "at", F.col("at.key").alias("keys"), F.transform(F.filter("at", lambda k: k["is_head"]), lambda k: k["key"]).alias("led"))
         held = held.join(traits.withColumn("bin", F.floor(F.log("size") / step).cast("int")), "node")
         rows = lambda at: held.select("*", F.inline(at)).drop("at")
         every, own = F.explode(F.sequence(F.lit(0), F.col("side") - 1)), lambda salt: F.pmod(F.hash("node", F.lit(salt)), "side")
         # heads are picked before their keys become rows, so that the members of a bucket are made once
-        asked = rows(F.filter("at", lambda k: k["is_head"])).withColumn("row", own(1)).withColumn("column", every).withColumn("bin", F.explode(F.array(*(F.col("bin") + d for d in (-1, 0, 1)))))
-        others = rows(F.col("at")).withColumn("column", own(2)).withColumn("row", every)
+        asked = rows(F.filter("at", lambda k: k["is_head"])).withColumn("row", own(1)).withColumn("column", every).withColumn("bin", F.explode(F.when(F.col("crowded"), F.array(*(F.col("bin") + d for d in (-1, 0, 1)))).otherwise(F.array(F.lit(0)))))
+        others = rows(F.col("at")).withColumn("column", own(2)).withColumn("row", every).withColumn("bin", F.when(F.col("crowded"), F.col("bin")).otherwise(0))
         first = F.array_min(F.concat(F.array_intersect(x("led"), y("keys")), F.array_intersect(x("keys"), y("led"))))
         once = (~x("is_head") | (x("node") < y("node"))) & (x("comp") != y("comp"))
         met = (x("key") == y("key")) & (x("row") == y("row")) & (x("column") == y("column")) & (x("bin") == y("bin")) & once & plausible(x, y) & (first == x("key"))

@@ -18,8 +18,9 @@ SHINGLES = ((1, 1, 25), (2, 20, 60), (3, 48, 1 << 40))
 #: Sketches of a document by each kind of shingle, sketches of a bucket's key, least alignment similarity.
 SKETCHES, ROWS, SIMILARITY = 32, 1, 0.8
 
-#: Longs of the bits that tell of two texts whether they can be similar.
-BIT_LONGS = 16
+#: Longs of the bits that tell of two texts whether they can be similar. Texts of LONG words and more have twice as many, as
+#: their words would fill the former, so that unlike texts of common words would pass; the halves make up the bits of shorter ones.
+BIT_LONGS, LONG = 16, 256
 
 #: Words up to which the alignment's band is held as bits of integers.
 BIT_WORDS = 1 << 15
@@ -85,21 +86,37 @@ def all_sketches(words: np.ndarray, bounds: np.ndarray, shingles: tuple[tuple[in
     return np.concatenate(found)[np.argsort(docs, kind="stable")], np.bincount(docs, minlength=len(n))
 
 
-def word_bits(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """BIT_LONGS longs of bits for each document. Each (word, how often it came before) turns one bit, so as many bits as differ between two documents, their words differ in at least."""
+def word_bits(words: np.ndarray, bounds: np.ndarray, longs: int = BIT_LONGS) -> np.ndarray:
+    """``longs`` longs of bits for each document. Each (word, how often it came before) turns one bit, so as many bits as differ between two documents, their words differ in at least."""
     v, cuts = labelled_shingles(words, bounds, 1)
-    size, n = 64 * BIT_LONGS, len(bounds) - 1
+    size, n = 64 * longs, len(bounds) - 1
     at = np.repeat(np.arange(n), np.diff(cuts)) * size + (v % U64(size)).astype(np.int64)
     odd = (np.bincount(at, minlength=n * size) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def all_bits(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of all documents, one document after the other, and the number of longs of each."""
+    n = np.diff(bounds)
+    sizes = np.where(n >= LONG, 2 * BIT_LONGS, BIT_LONGS)
+    out, begin = np.empty(sizes.sum(), np.int64), np.cumsum(sizes) - sizes
+    for longs in (BIT_LONGS, 2 * BIT_LONGS):
+        mine = sizes == longs
+        own = word_bits(words[np.repeat(mine, n)], np.concatenate([[0], np.cumsum(n[mine])]), longs)
+        out[begin[mine, None] + np.arange(longs)] = own.reshape(-1, longs)
+    return out, sizes
+
+
 def plausible(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
     """Whether the lengths and bits of two texts allow an alignment; an edit changes the bag of words by two at most, by one where it changes the length."""
     limit = F.floor((1 - similarity) * F.greatest(x("size"), y("size")) + 1e-9)
     longer = F.abs(x("size") - y("size"))
-    differ = sum((F.bit_count(F.get(x("bits"), F.lit(j)).bitwiseXOR(F.get(y("bits"), F.lit(j)))) for j in range(BIT_LONGS)), F.lit(0))
-    return (longer <= limit) & (differ <= 2 * limit - longer)
+    at = lambda of, j: F.coalesce(F.get(of("bits"), F.lit(j)), F.lit(0).cast("long"))
+    halves = [tuple(at(x, j + k).bitwiseXOR(at(y, j + k)) for k in (0, BIT_LONGS)) for j in range(BIT_LONGS)]
+    both = (F.size(x("bits")) > BIT_LONGS) & (F.size(y("bits")) > BIT_LONGS)
+    differ = lambda parts: sum(map(F.bit_count, parts), F.lit(0))
+    apart = F.when(both, differ(p for pair in halves for p in pair)).otherwise(differ(a.bitwiseXOR(b) for a, b in halves))
+    return (longer <= limit) & (apart <= 2 * limit - longer)
 
 
 def sequence_digest(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +226,8 @@ def _signed(docs: DataFrame, shingles: tuple[tuple[int, int, int], ...], sketche
                 words, bounds = word_hashes(data, offs)
                 sketch, kinds = all_sketches(words, bounds, shingles, sketches)
                 lists = pa.ListArray.from_arrays(pa.array((np.concatenate([[0], np.cumsum(kinds)]) * sketches).astype(np.int32)), pa.array(sketch.ravel().view(np.int64)))
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(bounds), dtype=np.int32) * BIT_LONGS), pa.array(word_bits(words, bounds)))
+                flags, longs = all_bits(words, bounds)
+                bits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(longs)]).astype(np.int32)), pa.array(flags))
                 d1, d2 = sequence_digest(words, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(np.diff(bounds)), lists, bits], ["d", "d1", "d2", "n_words", "sketch", "bits"])
 

@@ -15,7 +15,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skarn.llm import completion, negatives, queries, tries
+from skarn.llm import completion, near, negatives, queries, tries
+from skarn.llm.common import mix64
 from tests.expected import SF_DIR
 
 
@@ -247,3 +248,15 @@ def test_pruning_leaves_nodes_out(monkeypatch):
     want = {(a, b) for a in range(len(q)) for b in sorted(range(4000), key=lambda j: (-s[a, j], j))[:5]}
     assert {(int(a), int(tree.ids[b])) for a, b in zip(which, row, strict=True)} == want
     assert sum(seen) < 0.2 * len(q) * 4000
+
+
+def test_long_texts_of_common_words_are_told_apart(spark):
+    rng = np.random.default_rng(4)
+    words = rng.zipf(1.35, 4000) % 3000
+    texts = [words[:800], words[800:1600], np.where(np.arange(800) % 11 == 0, 5, words[:800]), words[1600:1860], words[1600:1850]]
+    bits, sizes = near.all_bits(mix64(np.concatenate(texts).astype(np.uint64)), np.cumsum([0, *map(len, texts)]))
+    ends = np.cumsum(sizes)
+    rows = spark.createDataFrame([(k, len(t), bits[e - n : e].tolist()) for k, (t, e, n) in enumerate(zip(texts, ends, sizes, strict=True))], "k int, size long, bits array<long>")
+    x, y = (lambda name, of=of: F.col(f"{of}.{name}") for of in "xy")
+    met = rows.alias("x").join(rows.alias("y"), (x("k") < y("k")) & near.plausible(x, y, 0.8)).select(x("k"), y("k"))
+    assert sorted(tuple(r) for r in met.collect()) == [(0, 2), (3, 4)]
