@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ FEW, MANY = 40, 24
 
 #: Longs of the bits that tell of two lines whether they can be similar.
 BIT_LONGS = 16
+#: Shingles that one row of the count of bits takes.
+AT_ONCE = 4
 
 
 def shingles(line: Column, n: int = SHINGLE) -> Column:
@@ -31,14 +34,24 @@ def shingles(line: Column, n: int = SHINGLE) -> Column:
 
 
 def hashed(line: Column, n: int) -> Column:
-    """64-bit hashes of a line's different n-character shingles."""
-    return F.array_distinct(F.transform(shingles(line, n), lambda s: F.xxhash64(s)))
+    """64-bit hashes of a line's different n-character shingles; a shorter line is its own."""
+    # four bytes a character, so that shingles are found by their place; the outer transform holds them, as the inner one would copy a column's bytes for each shingle
+    of = lambda b: F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(b) / 4).cast("int") - n, F.lit(0))), lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(n * 4))))
+    return F.array_distinct(F.get(F.transform(F.array(F.encode(line, "UTF-32")), of), F.lit(0)))
+
+
+def _changed(line: Column, n: int, change: Callable[[Column], Column]) -> Column:
+    """change of each different n-character shingle, in lines under LONG characters without a regular expression."""
+    short = F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - (n - 1), F.lit(1))), lambda i: change(F.substring(line, i, F.lit(n))))
+    return F.array_distinct(F.when(F.length(line) < LONG, short).otherwise(F.transform(shingles(line, n), change)))
 
 
 def plausible(x: Callable[[str], Column], y: Callable[[str], Column], similarity: float) -> Column:
     """Whether the sizes and bits of two lines' sets allow the similarity: of sets that reach it, at most (1 - s) / (1 + s) of both sizes together differ."""
-    differ = sum((F.bit_count(F.get(x("bits"), F.lit(j)).bitwiseXOR(F.get(y("bits"), F.lit(j)))) for j in range(BIT_LONGS)), F.lit(0))
-    return F.greatest(differ, F.abs(x("size") - y("size"))) <= (1 - similarity) / (1 + similarity) * (x("size") + y("size")) + 1e-6
+    most = (1 - similarity) / (1 + similarity) * (x("size") + y("size")) + 1e-6
+    differ = [F.bit_count(x(f"b{j}").bitwiseXOR(y(f"b{j}"))) for j in range(BIT_LONGS)]
+    # a part of the bits tells most unlike lines apart
+    return (F.abs(x("size") - y("size")) <= most) & (sum(differ[:4], F.lit(0)) <= most) & (sum(differ, F.lit(0)) <= most)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -58,10 +71,10 @@ def signatures(lines: DataFrame) -> DataFrame:
     rest = [c for c in lines.columns if c != "line"]
     led = lines.select(*rest, "line", hashes(leaders, lambda s: F.hash(s).bitwiseOR(F.lit(-(1 << 31)))).alias("led"))
     enough = (F.size("led") >= MINIMA) & (F.length(line) >= LONG)
-    own = led.select(*rest, "line", "led", F.when(~enough, hashes(shingles(line, SIGNED), lambda s: F.hash(s).bitwiseAND(low))).alias("own"))
+    own = led.select(*rest, "line", "led", F.when(~enough, _changed(line, SIGNED, lambda s: F.hash(s).bitwiseAND(low))).alias("own"))
     both = own.select(
         *rest, F.coalesce(F.size("own"), F.lit(LONG)).alias("n_a"), F.when(F.col("own").isNull(), first(F.col("led"))).otherwise(first(F.concat("led", "own"))).alias("a"),
-        F.when(F.size("own") <= FEW, first(hashes(shingles(line), lambda s: F.hash(s)))).alias("b"),
+        F.when(F.size("own") <= FEW, first(_changed(line, SHINGLE, lambda s: F.hash(s)))).alias("b"),
     )
     values = lambda name: [F.get(name, F.lit(i)).alias(f"{name}{i}") for i in range(MINIMA)]
     return both.select(*rest, "n_a", F.coalesce(F.size("b"), F.lit(0)).alias("n_b"), *values("a"), *values("b"))
@@ -75,6 +88,18 @@ def band_keys(signed: DataFrame) -> DataFrame:
     return signed.select("node", F.explode(F.array(*long_, *short, one)).alias("key")).where("key is not null")
 
 
+def bits_of(texts: DataFrame) -> DataFrame:
+    """(node, size, b0..) of texts' lines: each different shingle turns one bit, so as many bits as differ between two sets, the sets differ in at least."""
+    sets = texts.select("node", hashed(F.col("line"), SHINGLE).alias("set")).withColumn("size", F.size("set").cast("long"))
+    # a row takes AT_ONCE shingles, which saves most of the lookups of its node
+    rows = sets.select("node", "size", "set", F.explode(F.sequence(F.lit(0), F.col("size").cast("int") - 1, F.lit(AT_ONCE))).alias("i"))
+    own = [F.get("set", F.col("i") + k) for k in range(AT_ONCE)]
+    rows = rows.select("node", "size", *(F.pmod(F.shiftright(s, 6), F.lit(BIT_LONGS)).alias(f"slot{k}") for k, s in enumerate(own)), *(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(s, F.lit(64)).cast("int")).alias(f"bit{k}") for k, s in enumerate(own)))
+    zero = F.lit(0).cast("long")
+    turned = [reduce(Column.bitwiseXOR, (F.when(F.col(f"slot{k}") == j, F.col(f"bit{k}")).otherwise(zero) for k in range(AT_ONCE))) for j in range(BIT_LONGS)]
+    return rows.groupBy("node").agg(F.max("size").alias("size"), *(F.coalesce(F.bit_xor(x), zero).alias(f"b{j}") for j, x in enumerate(turned)))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The documents without lines that repeat another line, exactly or nearly.
 
@@ -113,12 +138,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = likely_in(lines.select("d", "h", "h2", "line"), "h", wanted.select("h"))
     texts = cut(some.join(wanted, ["h", "h2", "d"]).select("node", "line").dropDuplicates(["node"]))
 
-    # each shingle turns one bit, so as many bits as differ between two sets, the sets differ in at least
-    sets = texts.select("node", F.explode(hashed(line, SHINGLE)).alias("s"))
-    slot, bit = F.pmod(F.shiftright("s", 6), F.lit(BIT_LONGS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("s", F.lit(64)).cast("int"))
-    turned = (F.bit_xor(F.when(F.col("slot") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(BIT_LONGS))
-    sized = sets.select("node", slot.alias("slot"), bit.alias("bit")).groupBy("node").agg(F.count(F.lit(1)).alias("size"), *turned)
-    traits = cut(sized.select("node", "size", F.array(*(f"b{j}" for j in range(BIT_LONGS))).alias("bits")))
+    traits = cut(bits_of(texts))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))

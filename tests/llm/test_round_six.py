@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from skarn.llm import suffixes
+from skarn.llm import lines, suffixes
 
 
 def test_intervals_of_one_symbol_are_not_taken_apart(monkeypatch):
@@ -39,3 +39,19 @@ def test_passages_shorter_than_a_string_stay(spark):
     got = {r.doc_id: r for r in suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [got[k].n_bytes for k in range(4)] == [len(t) for _, t in docs]
     assert [got[k].n_removed for k in range(4)] == [0, 0, 402, 402]
+
+
+def test_shingles_of_lines_need_no_regular_expression(spark):
+    """Sets of shingles by characters, not bytes, and bits that differ in as many places as the sets at most."""
+    odd = ["", "ab", "\U0001f600\U0001f600é\U0001f600x\U0001f600", "aaaaaaaaaaaa", "naïve façade — naïve façades", "日本語の行は短い" * 3, "x" * 3 + "yz" * 400, "plain words of a plain line " * 9]
+    df = spark.createDataFrame(list(enumerate(odd)), "node long, line string")
+    made = df.select("node", F.size(lines.hashed(F.col("line"), 5)).alias("n"))
+    assert "regexp" not in made._jdf.queryExecution().optimizedPlan().toString()
+    sets = [{t[i : i + 5] for i in range(max(len(t) - 4, 1))} for t in odd]
+    assert [r.n for r in made.orderBy("node").collect()] == [len(x) for x in sets]
+    rows = {r.node: r for r in lines.bits_of(df).collect()}
+    for i, x in enumerate(sets):
+        assert rows[i]["size"] == len(x)
+        for j, y in enumerate(sets):
+            differ = sum(((rows[i][f"b{k}"] ^ rows[j][f"b{k}"]) & ((1 << 64) - 1)).bit_count() for k in range(lines.BIT_LONGS))
+            assert differ <= len(x ^ y) and (differ - len(x ^ y)) % 2 == 0
