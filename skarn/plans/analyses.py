@@ -120,8 +120,10 @@ def process_measures(spark, sf_dir):
     )
     k = F.col("l_partkey")
     path = F.when(k % 11 == 0, F.concat(F.lit("readme"), k)).otherwise(F.concat(F.lit("s"), k % 5, F.lit("/d"), k % 17, F.lit("/p"), k))
-    changes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), path.alias("path")).agg(F.sum("l_quantity").cast("long").alias("added"), F.sum("l_linenumber").cast("long").alias("deleted"))
-    return process.process_measures(commits, changes)
+    # dealt by commit alone and named after they are summed, so that what is joined by commit isn't dealt again; a part has one path
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_quantity", "l_linenumber").repartition("id")
+    changes = items.groupBy("id", "l_partkey").agg(F.sum("l_quantity").cast("long").alias("added"), F.sum("l_linenumber").cast("long").alias("deleted")).select("id", path.alias("path"), "added", "deleted")
+    return process.process_measures(commits, changes, table(spark, sf_dir, "lineitem").select(path))
 
 
 # --- structure of diffs: an order is a changed file, its items are lines, in two hunks
