@@ -65,7 +65,7 @@ def test_keys_that_go_beyond_batches():
 
 def test_words_hashed_by_bytes_are_those_of_the_pattern(spark):
     rnd = random.Random(8)
-    texts = ["", None, "a", "a b", "Ab_9 ab_9!", "ÄbÇd K_İx", "x" * 8, "x" * 9, "\x00a\x00", "é", "ends", "begins " + "y" * 17] + ["".join(rnd.choice("ab_ 9ZÉ.ß\n") for _ in range(rnd.randrange(60))) for _ in range(300)]
+    texts = ["", None, "a", "a b", "Ab_9 ab_9!", "ÄbÇd K_İx", "x" * 8, "x" * 9, "\x00a\x00", "é", "ends", "", None, "begins " + "y" * 17] + ["".join(rnd.choice("ab_ 9ZÉ.ß\n") for _ in range(rnd.randrange(60))) for _ in range(300)]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     both = rows.select("k", F.lower("t").alias("low"), text.words(F.coalesce("t", F.lit(""))).alias("w")).orderBy("k").collect()
     for size in (1, 40, 1 << 20):
